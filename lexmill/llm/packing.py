@@ -22,7 +22,7 @@ from lexmill.llm.common import checkpointed, spread
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
 #: Pieces per rank bucket: rows of one length are ranked in parallel, a bucket at a time.
-RANK_ROWS = 200_000
+RANK_ROWS = 4_096
 
 
 def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, separator: int = 0, ids: bool = False) -> DataFrame:
@@ -175,7 +175,7 @@ def pack(pieces: DataFrame, keys: list[str], length: str = "length", capacity: i
         n = pieces.count()
     else:
         n = 0
-    buckets = spread(n, RANK_ROWS)
+    buckets = spread(n, RANK_ROWS, 4_096)
     order: list[Column] = [F.col(f"`{k}`") for k in keys]
     salted = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     # at most capacity x buckets rows, and buckets grow by one in RANK_ROWS pieces

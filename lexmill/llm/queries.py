@@ -6,18 +6,42 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import encoding, packing
+from lexmill.llm import encoding, jaccard, language, licenses, packing, quality, sharding, urls
 from lexmill.llm.common import table
 
 
+def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.line_frequency_rules(table(spark, sf_dir, "documents")).drop("row_id", "host", "text_hash")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"))
 
 
+def op3_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents")).drop("class_id")
+
+
+def op4_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.feistel_sharding(table(spark, sf_dir, "documents"))
+
+
 def op6_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_decode(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_best_fit_packing, op6_tree_bpe)}
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"), spans=False)
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_filter(table(spark, sf_dir, "pages"))
+
+
+def op10_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.rank_order_language(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_frequency, op2_best_fit_packing, op3_prefix_tree_join, op4_feistel_shards, op6_tree_bpe, op8_license_scan, op9_url_filter, op10_rank_order_language)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_line_frequency": quality.ORACLE}
