@@ -74,3 +74,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 def columns_of(df: DataFrame, names: Sequence[str]) -> list[Column]:
     """The named columns by exact name, so that names with dots or clashing prefixes do no harm."""
     return [F.col(f"`{n}`") for n in names]
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared checkpoint folder, reread: lineage is cut and columns can be pruned."""
+    import uuid
+
+    spark, sc = df.sparkSession, df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lexmill-"))
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

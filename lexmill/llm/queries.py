@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import encoding, jaccard, language, licenses, packing, quality, sharding, urls
+from lexmill.llm import encoding, jaccard, language, licenses, linededup, packing, quality, sharding, topk, urls
 from lexmill.llm.common import table
 
 
@@ -26,10 +26,19 @@ def op4_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.feistel_sharding(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_array_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.without_repeated_runs(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", "removed_lines")
+
+
 def op6_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_decode(table(spark, sf_dir, "documents"))
 
 
+def op7_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.mtree_topk(table(spark, sf_dir, "embeddings"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"), spans=False)
 
@@ -42,6 +51,12 @@ def op10_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.rank_order_language(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_frequency, op2_best_fit_packing, op3_prefix_tree_join, op4_feistel_shards, op6_tree_bpe, op8_license_scan, op9_url_filter, op10_rank_order_language)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_frequency, op2_best_fit_packing, op3_prefix_tree_join, op4_feistel_shards, op5_suffix_array_lines, op6_tree_bpe, op7_mtree_topk, op8_license_scan, op9_url_filter, op10_rank_order_language, pipeline)}
 
-ORACLES: dict[str, str] = {"op1_line_frequency": quality.ORACLE}
+ORACLES: dict[str, str] = {"op1_line_frequency": quality.ORACLE, "op7_mtree_topk": topk.ORACLE}
