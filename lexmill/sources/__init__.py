@@ -1,0 +1 @@
+"""Readers: everything arrives as a DataFrame of documents, pages or responses."""

@@ -6,7 +6,7 @@ import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
-os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (str(ROOT), os.environ.get("PYTHONPATH", "")) if x)
+os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (str(ROOT), str(ROOT / "tests"), os.environ.get("PYTHONPATH", "")) if x)
 
 SF = "/root/testdata/sf0.001"
 
