@@ -111,12 +111,12 @@ def profiles(train: DataFrame, size: int = PROFILE) -> dict[str, np.ndarray]:
                 part = grams(text.as_py())
                 total[lang].append(part)
                 held += len(part[0])
-                if held > 4_000_000:
+                if held > 1_000_000:
                     small = list(flush())
                     held = sum(len(u) for _, u, _ in small)
                     for lang_, u, n in small:
                         total[lang_].append((u, n))
-                    if held > 2_000_000:
+                    if held > 500_000:
                         for lang_, u, n in flush():
                             yield pa.RecordBatch.from_arrays([pa.array([lang_] * len(u)), pa.array(u.astype("i8")), pa.array(n)], names=["lang", "code", "n"])
                         held = 0
