@@ -3,8 +3,9 @@
 1. Each text becomes a set of 63-bit shingle numbers; equal sets are one class, so copies never meet in pairs.
 2. Numbers are ordered globally: by value, but those of the most frequent shingles (a list of fixed size) come last, the
    most frequent at the very end. Any one order gives the same result; this one keeps common passages out of prefixes.
-3. Two sets with overlap enough for the threshold share a number among the first n - ceil(t n) + 1 of each. Classes that
-   share one, directly or through others, form a cluster; no link leaves a cluster.
+3. Two sets with overlap enough for the threshold share a number among the first n - ceil(t n) + 1 of each, and as many
+   there as what follows cannot make up for. Pairs that share numbers of few holders are kept by that count; the holders of
+   a common number are chained by size. Classes so connected form a cluster; no link leaves a cluster.
 4. In a cluster the ordered sets are stored in a prefix tree, and each is carried down it: sets with a common start share
    the overlap counted so far; a subtree is left when even all remaining numbers could not make the overlap, or when all
    its sets are in one component with the carried set already. Large clusters are dealt out in blocks of bounded size.
@@ -28,18 +29,22 @@ from lexmill.llm.common import checkpointed, connected_components, sized
 WORDS = 5
 THRESHOLD = Fraction(80, 100)
 #: Shingles that are ordered last, by number of documents; a hint for speed, its size a bound on what is sent to tasks.
-HOT_SHINGLES = 1 << 17
-#: A shingle is counted for that list where this many documents of one Arrow batch hold it.
-HOT_IN_BATCH = 4
+HOT_SHINGLES = 1 << 18
+#: A shingle is counted for that list where this many of the documents held at once by a task hold it.
+HOT_IN_BATCH = 2
+#: Shingle numbers that a task holds at once.
+HELD_NUMBERS = 1_500_000
+#: Shared numbers with at most so many holders count for pairs of holders; the holders of others are chained.
+FEW_HOLDERS = 8
 #: Numbers and sets of a block of a large cluster.
-BLOCK_NUMBERS, BLOCK_SETS = 400_000, 2_000
+BLOCK_NUMBERS, BLOCK_SETS = 2_000_000, 4_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], "u8")
 _TOP = np.uint64(1) << np.uint64(63)
 
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -150,11 +155,11 @@ class PrefixTree:
         return root
 
 
-def tree_links(sets: list[np.ndarray], component: list[int], t: Fraction = THRESHOLD, skip=None) -> list[tuple[int, int]]:
+def tree_links(sets: list[np.ndarray], component: list[int], t: Fraction = THRESHOLD) -> list[tuple[int, int]]:
     """Links that connect what the threshold connects: (i, j) index pairs into ``sets``, a spanning forest.
 
     ``component`` names components known before (equal numbers: connected). Pairs inside one component aren't looked
-    at; ``skip(i, j)`` may leave out pairs that another task sees.
+    at. A set is carried down only towards sets that share a number of its prefix and whose size allows a link.
     """
     by = sorted(range(len(sets)), key=lambda i: sets[i].tobytes())
     tree = PrefixTree([sets[i] for i in by])
@@ -172,14 +177,15 @@ def tree_links(sets: list[np.ndarray], component: list[int], t: Fraction = THRES
     links = []
     num, den = t.numerator, t.numerator + t.denominator  # overlap o of sizes a and b is enough if den * o >= num * (a + b)
     lo_, hi_, depth_, children_, edges_, one_, least_, most_, leaf_ = tree.lo, tree.hi, tree.depth, tree.children, tree.edges, tree.one, tree.least, tree.most, tree.leaf
-    for x in range(len(by)):
-        own = tree.sets[x].tolist()
-        held, n = set(own), len(own)
-        # (node, overlap of the path above); subtrees that begin at x or later look back at x themselves
-        todo = [(tree.root, 0)]
+
+    def carry(x: int, own: list[int], held: set[int], wanted: list[int]) -> None:
+        """Takes set x down the tree to those of the ``wanted`` sets, all before x, that it may link to."""
+        n = len(own)
+        todo = [(tree.root, 0)]  # (node, overlap of the path above)
         while todo:
             node, m = todo.pop()
-            if lo_[node] >= x:
+            at = bisect.bisect_left(wanted, lo_[node])
+            if at == len(wanted) or wanted[at] >= hi_[node]:
                 continue
             if one_[node] is not None and find(one_[node]) == find(x):
                 continue
@@ -190,15 +196,33 @@ def tree_links(sets: list[np.ndarray], component: list[int], t: Fraction = THRES
             if den * (m + min(rest, best - depth)) < num * (n + best):
                 continue
             for y in range(lo_[node], min(leaf_[node], x)):
-                if den * m >= num * (n + depth) and find(y) != find(x) and not (skip and skip(by[x], by[y])):
+                if den * m >= num * (n + depth) and find(y) != find(x):
                     links.append((by[x], by[y]))
                     parent[find(y)] = find(x)
             todo += [(c, m) for c in children_[node]]
-            if one_[node] is None and hi_[node] <= x and not children_[node]:
-                r = find(lo_[node])
-                if all(find(y) == r for y in range(lo_[node], hi_[node])):
-                    one_[node] = lo_[node]
-        # nodes above x whose sets are all in one component now
+
+    # numbers that stand in two prefixes at least; the sets met so far that hold each, and whether they are connected
+    heads = [s[: prefix_length(len(s), t)] for s in tree.sets]
+    u, times = np.unique(np.concatenate(heads), return_counts=True)
+    shared = u[times > 1]
+    holders: dict[int, list[int]] = {}
+    united: dict[int, bool] = {}
+    for x, head in enumerate(heads):
+        own = tree.sets[x].tolist()
+        held, n, met = set(own), len(own), set()
+        keys = head[shared[np.minimum(np.searchsorted(shared, head), len(shared) - 1)] == head].tolist() if len(shared) else []
+        for key in keys:
+            others = holders.get(key)
+            if not others or united[key] and find(others[0]) == find(x):
+                continue
+            wanted = [y for y in others if y not in met and t.denominator * min(n, tree.size[y]) >= t.numerator * max(n, tree.size[y])]
+            if wanted:
+                met.update(wanted)
+                carry(x, own, held, wanted)
+        for key in keys:
+            others = holders.setdefault(key, [])
+            united[key] = not others or united[key] and find(others[-1]) == find(x)
+            others.append(x)
         _settle(tree, find, x)
     return links
 
@@ -219,16 +243,6 @@ def _settle(tree: PrefixTree, find, x: int) -> None:
             tree.one[node] = tree.lo[node]
 
 
-def _edges_of(keys: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of (number, class) pairs: each number once with its smallest class; and chain edges between its classes."""
-    by = np.lexsort((classes, keys))
-    keys, classes = keys[by], classes[by]
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[1:] != keys[:-1]
-    linked = np.flatnonzero(~new & (classes != np.roll(classes, 1)))
-    return keys[new], classes[new], classes[linked], classes[linked - 1]
-
-
 def jaccard_components(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, hot_shingles: int = HOT_SHINGLES, block_numbers: int = BLOCK_NUMBERS, block_sets: int = BLOCK_SETS) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id of every row; component_id is the smallest doc_id reachable by links.
 
@@ -239,21 +253,28 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, threshold: Fraction
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.col("text").cast("string"), "UTF-8").alias("text"))
 
     # 1. classes, and the frequent shingles of every batch
-    def classify(batches):
+    def held(batches, column: int):
+        """Texts of a batch in runs of bounded size: (slice of the batch, sets in the slice's order)."""
         for batch in batches:
-            rows, seen = [], {}
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = shingles(text, words)
-                c = class_id(s) if len(s) else None
-                rows.append((doc, len(s), c, xxhash.xxh3_64_intdigest(s.tobytes(), seed=1) >> 1))
-                if c is not None and c not in seen:
-                    seen[c] = s
-            docs_, n, cls, twin = zip(*rows, strict=True) if rows else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(rows), pa.int32()), pa.array(docs_, pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(twin, pa.int64())], names=["kind", "doc_id", "n_shingles", "class_id", "twin"])
-            if seen:
-                u, n = np.unique(np.concatenate(list(seen.values())), return_counts=True)
+            at, sets, n = 0, [], 0
+            for k, text in enumerate(batch.column(column)):
+                sets.append(shingles(text.as_py(), words))
+                n += len(sets[-1])
+                if n >= HELD_NUMBERS or k + 1 == batch.num_rows:
+                    yield batch.slice(at, k + 1 - at), sets
+                    at, sets, n = k + 1, [], 0
+
+    def classify(batches):
+        for batch, sets in held(batches, 1):
+            cls = [class_id(s) if len(s) else None for s in sets]
+            twin = [xxhash.xxh3_64_intdigest(s.tobytes(), seed=1) >> 1 for s in sets]
+            n = [len(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(twin, pa.int64())], names=["kind", "doc_id", "n_shingles", "class_id", "twin"])
+            once = list({c: s for c, s in zip(cls, sets, strict=True) if c is not None}.values())
+            if once:
+                u, n = np.unique(np.concatenate(once), return_counts=True)
                 often = n >= HOT_IN_BATCH
-                u, n = u[often].astype("i8"), n[often]
+                u, n = u[often].astype("i8"), n[often].astype("i8")
                 nothing = pa.nulls(len(u), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(u), "i4")), nothing, pa.array(n), pa.array(u), nothing], names=["kind", "doc_id", "n_shingles", "class_id", "twin"])
 
@@ -268,55 +289,56 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, threshold: Fraction
 
     # 2. numbers of prefixes; classes that share one are chained
     def prefixes(batches):
-        for batch in batches:
-            keys, cls, seen = [], [], set()
-            for text in batch.column(0).to_pylist():
-                s = shingles(text, words)
-                if len(s) and (c := class_id(s)) not in seen:
-                    seen.add(c)
-                    p = order(s)[: prefix_length(len(s), threshold)]
-                    keys.append(p)
-                    cls.append(np.full(len(p), c, "i8"))
-            if keys:
-                k, c, a, b = _edges_of(np.concatenate(keys), np.concatenate(cls))
-                pairs = np.unique(np.stack([a, b]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(k.astype("i8")), pa.array(c), pa.nulls(len(k), pa.int64())], names=["number", "a", "b"])
-                yield pa.RecordBatch.from_arrays([pa.nulls(pairs.shape[1], pa.int64()), pa.array(pairs[0]), pa.array(pairs[1])], names=["number", "a", "b"])
-
-    found = base.where("text IS NOT NULL").select("text").mapInArrow(prefixes, "number long, a long, b long")
-    # a number comes once from a batch, so a common one has no more rows than there are batches; chains found inside
-    # batches have no number and pass through the window, each in a group of its own
-    own = Window.partitionBy("number", F.when(F.col("number").isNull(), F.xxhash64("a", "b"))).orderBy("a")
-    shared = found.select("number", "a", "b", F.lag("a").over(own).alias("p")).select("a", F.when(F.col("number").isNull(), F.col("b")).otherwise(F.col("p")).alias("b"))
-    edges = shared.where("b IS NOT NULL AND a <> b").distinct()
+        for _, sets in held(batches, 0):
+            once = {class_id(s): s for s in sets if len(s)}
+            if once:
+                keys = [order(s)[: prefix_length(len(s), threshold)] for s in once.values()]
+                n = np.repeat(np.array([len(s) for s in once.values()], "i4"), [len(k) for k in keys])
+                cls = np.repeat(np.array(list(once), "i8"), [len(k) for k in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype("i8")), pa.array(n), pa.array(cls)], names=["number", "n", "class_id"])
+
+    found = base.where("text IS NOT NULL").select("text").mapInArrow(prefixes, "number long, n int, class_id long")
+    # a holder's row gets those before it by size. A common number's holders are chained, one row back, and a chain breaks
+    # where no set before can link to one after; so such a number adds as many pairs as it has holders
+    own = Window.partitionBy("number").orderBy("n", "class_id")
+    back = [F.struct(F.lag("class_id", k).over(own).alias("b"), F.lag("n", k).over(own).alias("m"), F.lit(k).alias("k")) for k in range(1, FEW_HOLDERS)]
+    shared = found.select("class_id", "n", F.count("*").over(Window.partitionBy("number")).alias("holders"), F.array(*back).alias("back")).where("holders > 1")
+    few = F.col("holders") <= FEW_HOLDERS
+    fits = lambda x: x["b"].isNotNull() & (x["b"] != F.col("class_id")) & (x["m"] * threshold.denominator >= F.col("n") * threshold.numerator) & (few | (x["k"] == 1))
+    shared = checkpointed(shared.select("class_id", "n", (~few).alias("chain"), F.filter("back", fits).alias("back")))
+    pairs = shared.select(F.col("class_id").alias("a"), "n", "chain", F.inline("back"))
+    # both orders of a pair of one size can't occur: rows are ordered by size, then class
+    pairs = pairs.groupBy("a", "b").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.sum((~F.col("chain")).cast("int")).alias("c"), F.max("chain").alias("chain"))
+    common = sized(checkpointed(shared.where("chain").groupBy("class_id").count()))
+    times = lambda side: common.select(F.col("class_id").alias(side), F.col("count").alias(f"_{side}"))
+    num, den = threshold.numerator, threshold.denominator
+    up = lambda x, d: F.floor((x + (d - 1)) / d)
+    overlap = up(num * (F.col("n") + F.col("m")), num + den)
+    after = F.greatest(up(num * F.col("n"), den), up(num * F.col("m"), den)) - 1  # what the numbers after a prefix can add
+    most = F.col("c") + F.least(F.coalesce("_a", F.lit(0)), F.coalesce("_b", F.lit(0)))
+    weighed = pairs.where("NOT chain").join(times("a"), "a", "left").join(times("b"), "b", "left").where(most >= overlap - after)
+    edges = pairs.where("chain").select("a", "b").union(weighed.select("a", "b"))
     clusters = connected_components(edges, "a", "b").select(F.col("node").alias("class_id"), F.col("component").alias("cluster"))
     clusters = checkpointed(clusters.join(classes.select("class_id", "low", "n"), "class_id"))
 
     # 3. sets of clustered classes, one of each
-    wanted = sized(checkpointed(clusters.select(F.col("low").alias("doc_id")).distinct()))
-    known = clusters.select("class_id", "cluster", "n")
+    known = clusters.select("class_id", "cluster", "n", F.col("low").alias("doc_id"))
 
     def ordered(batches):
-        for batch in batches:
-            out, seen = [], set()
-            for text in batch.column(0).to_pylist():
-                s = shingles(text, words)
-                if len(s) and (c := class_id(s)) not in seen:
-                    seen.add(c)
-                    out.append((c, order(s).tobytes()))
-            if out:
-                cls, sets = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(sets, pa.binary())], names=["class_id", "numbers"])
-
-    texts = base.where("text IS NOT NULL").join(wanted, base["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text")
+        for _, sets in held(batches, 0):
+            once = {class_id(s): s for s in sets if len(s)}
+            if once:
+                yield pa.RecordBatch.from_arrays([pa.array(list(once), pa.int64()), pa.array([order(s).tobytes() for s in once.values()], pa.binary())], names=["class_id", "numbers"])
+
     sizes = known.groupBy("cluster").agg(F.sum("n").alias("numbers"), F.count("*").alias("sets"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("numbers") / block_numbers), F.ceil(F.col("sets") / block_sets)).cast("int")
     sizes = sized(checkpointed(sizes.select("cluster", blocks.alias("blocks"))))
-    member = sized(checkpointed(known.join(sizes, "cluster").select("class_id", "cluster", "blocks", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int").alias("block"))))
-    sets = texts.mapInArrow(ordered, "class_id long, numbers binary").join(member, "class_id")
-    split = not member.where("blocks > 1").isEmpty()
-    if split:
-        sets = checkpointed(sets)
+    member = checkpointed(known.join(sizes, "cluster").select("class_id", "doc_id", "cluster", "blocks", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int").alias("block")))
+
+    def sets_of(members: DataFrame) -> DataFrame:
+        wanted = sized(checkpointed(members.select("doc_id").distinct()))
+        texts = base.where("text IS NOT NULL").join(wanted, base["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text")
+        return texts.mapInArrow(ordered, "class_id long, numbers binary").join(sized(members.drop("doc_id")), "class_id")
 
     # 4. links: inside blocks, between neighbouring blocks, then of all that is not in its cluster's largest component
     def joined(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -328,27 +350,29 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, threshold: Fraction
     def links_of(members: DataFrame, *key: str) -> DataFrame:
         return members.groupBy("cluster", *key).applyInPandas(joined, "a long, b long")
 
-    # clusters are many and mostly small: their tasks are dealt by hash of cluster and block
-    links = checkpointed(links_of(sets.withColumn("component", F.col("class_id")), "block"))
-    if split:
-        large = sets.where("blocks > 1")
+    # clusters are many and mostly small: their tasks are dealt by hash of the cluster
+    links = checkpointed(links_of(sets_of(member.where("blocks = 1")).withColumn("component", F.col("class_id"))))
+    if not member.where("blocks > 1").isEmpty():
+        large = checkpointed(sets_of(member.where("blocks > 1")))
+        links = checkpointed(links.union(links_of(large.withColumn("component", F.col("class_id")), "block")))
 
         def with_components(frame: DataFrame) -> DataFrame:
-            now = connected_components(links.union(frame.select(F.col("class_id").alias("a"), F.col("class_id").alias("b"))), "a", "b")
+            alone = frame.select(F.col("class_id").alias("a"), F.col("class_id").alias("b"))
+            now = sized(checkpointed(connected_components(links.union(alone), "a", "b")))
             return frame.join(now, frame["class_id"] == now["node"]).drop("node")
 
-        near = with_components(large).withColumn("group", F.explode(F.array("block", F.pmod(F.col("block") + 1, F.col("blocks")))))
+        near = with_components(large).withColumn("group", F.explode(F.array_distinct(F.array("block", F.pmod(F.col("block") + 1, F.col("blocks"))))))
         links = checkpointed(links.union(links_of(near, "group")))
-        now = checkpointed(with_components(large))
+        now = with_components(large)
         weight = now.groupBy("cluster", "component").agg(F.count("*").alias("w"))
         largest = weight.groupBy("cluster").agg(F.max_by("component", F.struct("w", "component")).alias("largest"))
-        now = now.join(largest, "cluster")
+        now = now.join(sized(checkpointed(largest)), "cluster")
         minor = now.where("component <> largest")
-        if not minor.isEmpty():
+        parts = checkpointed(minor.select("cluster", F.col("block").alias("part")).distinct())
+        if not parts.isEmpty():
             # each block of the rest meets each block of all: pairs of blocks, every one of bounded size
             rest = minor.withColumn("part", F.col("block")).withColumn("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            parts = minor.select("cluster", F.col("block").alias("part")).distinct()
-            every = now.withColumn("group", F.col("block")).join(parts, "cluster")
+            every = now.withColumn("group", F.col("block")).join(sized(parts), "cluster")
             cols = ["cluster", "group", "part", "class_id", "numbers", "component"]
             links = checkpointed(links.union(links_of(rest.select(cols).union(every.select(cols)), "group", "part")))
 
