@@ -132,7 +132,7 @@ class PrefixTree:
             self.lo.append(lo)
             self.hi.append(hi)
             self.depth.append(depth)
-            self.edges.append(self.sets[lo][above:depth].tolist())
+            self.edges.append(self.sets[lo][above:depth])
             self.children.append([])
             self.one.append(lo if hi - lo == 1 else None)
             self.least.append(min(self.size[lo:hi]))
@@ -189,7 +189,7 @@ def tree_links(sets: list[np.ndarray], component: list[int], t: Fraction = THRES
                 continue
             if one_[node] is not None and find(one_[node]) == find(x):
                 continue
-            edge, depth = edges_[node], depth_[node]
+            edge, depth = edges_[node].tolist(), depth_[node]
             m += len(held.intersection(edge))
             rest = n - bisect.bisect_right(own, edge[-1]) if edge else n
             best = min(max(rest + depth, least_[node]), most_[node])  # the size for which the bound is weakest
