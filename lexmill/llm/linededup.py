@@ -4,9 +4,13 @@ A line's id is a 64-bit hash of its exact text. Suffixes that start with a line
 no repeated run holds them. The others are ranked by their first line, then again and again by twice as many lines: the
 pair of a suffix's rank and the rank of the suffix as many lines further on. Ranks are gapped places in the suffix
 array: a group of suffixes that agree so far is a longest-common-prefix interval, spread over new ranks in the order of
-their second halves. Suffixes leave once nothing else begins with their lines, so the rounds shrink and end with the
-longest repeated run. In every interval the earliest suffix is the source of the later ones; later suffixes in a row with
-sources in a row make up a maximal run that is an exact copy of the source's lines.
+their second halves. Suffixes leave once nothing else begins with their lines.
+
+A run of any length that reaches the least words is the union of least windows: those that reach the words from a first
+line with as few lines as possible, and those that reach them up to a last line. Every one of them has its own earlier
+copy inside the run's source, and every window with an earlier copy is such a run. So each least window is compared with
+all positions: a window of L lines is told by L and the ranks, by the largest power of two up to L, of its first and
+last so many lines. The rounds end when no least window is longer.
 """
 
 from __future__ import annotations
@@ -26,10 +30,11 @@ def _key():
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """key, copy, start, end, words, source_doc_id, source_start: the later copies of maximal repeated runs.
+    """key, copy, start, end, source_doc_id, source_start: the least windows of ``min_words`` (1 at least) words with an earlier copy.
 
-    ``key`` is a hash of a row's id and text, ``copy`` counts rows that are equal in both (from 0); ``start`` and
-    ``end`` are lines from 0, end excluded. Earlier means: smaller doc_id (nulls first), then key, copy and line.
+    Their union is that of all runs of so many words, of any length, that occur earlier. ``key`` is a hash of a row's id
+    and text, ``copy`` counts rows that are equal in both (from 0); ``start`` and ``end`` are lines from 0, end excluded.
+    Earlier means: smaller doc_id (nulls first), then key, copy and line; the source is the earliest copy.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     # rows equal in id and text are one row with a count, so that their copies need no order among the texts
@@ -38,40 +43,60 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     each = rows.select("doc_id", "key", F.explode(F.sequence(F.lit(0), (F.col("times") - 1).cast("int"))).alias("copy"), "lines")
     each = each.select("doc_id", "key", "copy", F.posexplode("lines").alias("line", "x")).select("doc_id", "key", "copy", "line", F.col("x.id").alias("rank"), F.col("x.w").cast("long").alias("w"))
 
-    often = sized(checkpointed(each.groupBy("rank").agg(F.count("*").alias("n"), _earliest().alias("source")).where("n > 1")))
-    own = Window.partitionBy("key", "copy").orderBy("line")
-    to = F.sum("w").over(own)
-    # words before the first and after the last line of the window; only documents' own lines are summed
-    now = each.withColumn("to", to).withColumn("from", F.col("to") - F.col("w")).drop("w").join(often.drop("n"), "rank")
-    now = checkpointed(now)
-    found, size = _chains(now, 1, min_words), 1
+    often = sized(checkpointed(each.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1").drop("n")))
+    windows = checkpointed(_least_windows(rows, min_words).join(often, "rank", "left_semi"))
+    longest = windows.agg(F.max("size")).first()[0] or 0
+    now, size, found = checkpointed(each.drop("w").join(often, "rank", "left_semi")), 1, None
     while True:
-        second = now.select("key", "copy", (F.col("line") - size).alias("line"), F.col("rank").alias("second"), F.col("to").alias("_to"))
-        pairs = checkpointed(now.drop("source", "to").join(second, ["key", "copy", "line"]).withColumnRenamed("_to", "to"))
-        groups = pairs.groupBy("rank", "second").agg(F.count("*").alias("n"), _earliest().alias("source"))
+        copies = _later_copies(now, windows, size)
+        found = copies if found is None else found.unionByName(copies)
+        if 2 * size > longest:
+            return found
+        second = now.select("key", "copy", (F.col("line") - size).alias("line"), F.col("rank").alias("second"))
+        pairs = checkpointed(now.join(second, ["key", "copy", "line"]))
+        groups = pairs.groupBy("rank", "second").agg(F.count("*").alias("n"))
         # groups, not suffixes, meet in the window: a common line's followers are summed before
         before = F.sum("n").over(Window.partitionBy("rank").orderBy("second").rowsBetween(Window.unboundedPreceding, -1))
         groups = groups.withColumn("next", F.col("rank") + F.coalesce(before, F.lit(0))).where("n > 1").drop("n")
-        now = checkpointed(pairs.join(groups, ["rank", "second"]).select("doc_id", "key", "copy", "line", F.col("next").alias("rank"), "to", "from", "source"))
+        now = checkpointed(pairs.join(groups, ["rank", "second"]).select("doc_id", "key", "copy", "line", F.col("next").alias("rank")))
         if now.isEmpty():
             return found
         size *= 2
-        found = found.unionByName(_chains(now, size, min_words))
 
 
-def _earliest():
-    return F.min(F.struct("doc_id", "key", "copy", "line"))
+def _least_windows(rows: DataFrame, min_words: int) -> DataFrame:
+    """key, rank (the id of one of its lines), line, size: the fewest lines with ``min_words`` words from a line on, and up to a line.
 
-
-def _chains(suffixes: DataFrame, size: int, min_words: int) -> DataFrame:
-    """Runs of later suffixes in a row whose sources are in a row: exact copies of ``size`` lines and more."""
-    later = suffixes.where(~F.struct("doc_id", "key", "copy", "line").eqNullSafe(F.col("source")))
-    keys = ["key", "copy", "source.key", "source.copy", "shift"]
-    later = later.withColumn("shift", F.col("line") - F.col("source.line"))
-    own = Window.partitionBy(*keys).orderBy("line")
-    runs = later.withColumn("run", F.col("line") - F.row_number().over(own)).groupBy("key", "copy", F.col("source.key").alias("source_key"), F.col("source.copy").alias("source_copy"), "shift", "run")
-    runs = runs.agg(F.min("line").alias("start"), (F.max("line") + size).alias("end"), (F.max("to") - F.min("from")).alias("words"), F.first("source.doc_id").alias("source_doc_id"))
-    return runs.where(F.col("words") >= min_words).select("key", "copy", "start", "end", "words", "source_doc_id", (F.col("start") - F.col("shift")).alias("source_start"))
+    Words are counted within a document, so its own lines meet and copies of a row have the same windows.
+    """
+    total = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["w"])
+    each = rows.select("key", F.size("lines").alias("n"), total.alias("total"), F.posexplode("lines").alias("line", "x"))
+    each = each.select("key", "n", "total", "line", F.col("x.id").alias("rank"), F.col("x.w").cast("long").alias("w"))
+    own = Window.partitionBy("key")
+    each = each.withColumn("to", F.sum("w").over(own.orderBy("line"))).withColumn("from", F.col("to") - F.col("w"))
+    # a window ends where the first line stands that has enough words between the window's start and itself
+    after = own.orderBy(F.desc("from")).rangeBetween(Window.unboundedPreceding, -min_words)
+    end = F.coalesce(F.min("line").over(after), F.when(F.col("total") - F.col("from") >= min_words, F.col("n")))
+    # and starts behind the last line that has enough words between itself and the window's end
+    until = own.orderBy("to").rangeBetween(Window.unboundedPreceding, -min_words)
+    start = F.coalesce(F.max("line").over(until) + 1, F.when(F.col("to") >= min_words, 0))
+    each = each.withColumn("end", end).withColumn("start", start).withColumn("skipped", F.coalesce(F.max("to").over(until), F.lit(0)))
+    first = F.when(F.col("end").isNotNull(), F.struct("line", (F.col("end") - F.col("line")).alias("size")))
+    # one that would be short of words without its last line is among the first kind
+    other = (F.col("start") < F.col("line")) & (F.col("from") - F.col("skipped") >= min_words)
+    last = F.when(other, F.struct(F.col("start").alias("line"), (F.col("line") + 1 - F.col("start")).alias("size")))
+    return each.select("key", "rank", F.inline(F.array_compact(F.array(first, last))))
+
+
+def _later_copies(suffixes: DataFrame, windows: DataFrame, size: int) -> DataFrame:
+    """Of the least windows of ``size`` to 2 ``size`` - 1 lines those that occur earlier; ``suffixes`` are ranked by ``size`` lines."""
+    some = windows.where(F.col("size").between(size, 2 * size - 1)).drop("rank").join(suffixes, ["key", "line"])
+    some = some.withColumn("tail", F.col("line") + F.col("size") - size)
+    tails = suffixes.select("key", "copy", F.col("line").alias("tail"), F.col("rank").alias("second"))
+    some = checkpointed(some.join(tails, ["key", "copy", "tail"]))
+    groups = some.groupBy("size", "rank", "second").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "copy", "line")).alias("source")).where("n > 1")
+    later = some.join(groups, ["size", "rank", "second"]).where(~F.struct("doc_id", "key", "copy", "line").eqNullSafe(F.col("source")))
+    return checkpointed(later.select("key", "copy", F.col("line").alias("start"), (F.col("line") + F.col("size")).alias("end"), F.col("source.doc_id").alias("source_doc_id"), F.col("source.line").alias("source_start")))
 
 
 def without_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

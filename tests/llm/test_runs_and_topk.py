@@ -64,6 +64,48 @@ def test_runs_equal_brute_force(spark):
     assert sum(r[2] for r in got) > 50
 
 
+def all_runs(rows, least):
+    """Cut texts: every run of every length against all earlier positions."""
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0], i))
+    first, out = {}, []
+    for d, i in enumerate(order):
+        own, gone = rows[i][1].split("\n"), set()
+        for k in range(len(own)):
+            for end in range(k + 1, len(own) + 1):
+                if first.setdefault(tuple(own[k:end]), (d, k)) != (d, k) and sum(map(words, own[k:end])) >= least:
+                    gone |= set(range(k, end))
+        out.append((rows[i][0], "\n".join(x for k, x in enumerate(own) if k not in gone) if gone else rows[i][1], len(gone)))
+    return out
+
+
+def test_a_run_is_found_where_earlier_documents_hold_parts_of_it(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(20)) for x in "abc")
+    rows = [(1, f"one\n{b}\n{c}"), (2, f"two\n{a}\n{b}\n{c}"), (3, f"three\n{a}\n{b}\n{c}\nend")]
+    got = sorted(map(tuple, linededup.without_repeated_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == [(*rows[0], 0), (*rows[1], 0), (3, "three\nend", 3)]
+
+
+def test_runs_of_every_length_against_all_positions(spark):
+    lost = 0
+    for seed, least in ((1, 6), (2, 9), (3, 20)):
+        rnd = random.Random(seed)
+        pool = [" ".join(f"w{rnd.randrange(9)}" for _ in range(rnd.randrange(1, 9))) for _ in range(8)] + ["", " "]
+        pieces = [[rnd.choice(pool) for _ in range(rnd.randrange(2, 20))] for _ in range(6)]
+        rows = []
+        for i in range(60):
+            own = []
+            for _ in range(rnd.randrange(1, 4)):
+                x = rnd.choice(pieces)
+                k = rnd.randrange(len(x))
+                own += [f"own{rnd.random()}"] * (rnd.random() < 0.7) + x[k : k + rnd.randrange(1, 20)]
+            rows.append((i, "\n".join(own)))
+        got = sorted(map(tuple, linededup.without_repeated_runs(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), min_words=least).collect()))
+        want = all_runs(rows, least)
+        assert got == want
+        lost += sum(x != y for x, y in zip(want, brute_runs(rows, least), strict=True))
+    assert lost  # chains of windows of 1, 2, 4, .. lines miss some of them
+
+
 def test_copies_and_edge_rows(spark):
     docs = spark.createDataFrame(EDGE_ROWS, EDGE_SCHEMA)
     out = linededup.without_repeated_runs(docs)
