@@ -7,13 +7,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.llm.common import BROADCAST_ROWS, checkpointed, sized
+
 # Verdict, host and path of each rule.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: Longest context of the models, in bytes.
 ORDER = 4
-#: Contexts and n-grams are counted by hash in tables of this size, whatever the input; so the models' size is fixed.
-SLOTS = 1 << 19
-_PRIME = np.uint64(0x9E3779B97F4A7C15)
+#: Stands before a text; no byte of UTF-8 text.
+_BEFORE = 0xFF
+#: Log ratios are summed in these fixed steps, so that sums don't depend on the order.
+_STEPS = 1 << 40
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -41,76 +44,81 @@ def address(host: Column, path: Column, url: Column) -> Column:
     return F.regexp_replace(F.when(host != "", F.concat(host, path)).otherwise(F.coalesce(url, F.lit(""))), "[0-9]+", "0")
 
 
-def _hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For all bytes of all texts and each order: slot of the context, slot of context and byte; and the texts' starts.
+def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For each order and all bytes of all texts the exact key (order, context, byte) in one number; and the texts' lengths.
 
-    A text ends with a 0 byte, and zeros stand before it.
+    The order stands above 40 bits, below it the context's bytes and the byte: a key without its last 8 bits is the
+    context's. A text ends with a 0 byte.
     """
     raw = [t.encode("utf-8", "replace") + b"\0" for t in texts]
     lengths = np.array([len(r) for r in raw], "i8")
-    x = np.frombuffer(b"".join(raw), "u1").astype("u8") + np.uint64(1)
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype("i8")
-    place = np.arange(len(x)) - np.repeat(starts, lengths)
-    context = np.zeros((ORDER + 1, len(x)), "i8")
-    gram = np.zeros((ORDER + 1, len(x)), "i8")
-    h = np.zeros(len(x), "u8")
-    mix = lambda v: ((v ^ (v >> np.uint64(29))) * _PRIME >> np.uint64(64 - 19)).astype("i8")
+    x = np.frombuffer(b"".join(raw), "u1").astype("i8")
+    place = np.arange(len(x)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    out, gram = np.zeros((ORDER + 1, len(x)), "i8"), x
     for k in range(ORDER + 1):
         if k:
-            back = np.where(place >= k, np.roll(x, k), np.uint64(0))
-            h = (h + back) * _PRIME + np.uint64(k)
-            h ^= h >> np.uint64(31)
-        context[k] = mix(h)
-        gram[k] = mix((h ^ np.uint64(0x5BD1E995)) * _PRIME + x)
-    return context, gram, starts
-
-
-class Models:
-    """Witten-Bell interpolated models of variable order: a context that was never seen leaves the shorter one's answer."""
-
-    def __init__(self, grams: np.ndarray, totals: np.ndarray, kinds: np.ndarray):
-        self.grams, self.totals, self.kinds = grams, totals, kinds
-
-    def ratio(self, texts: list[str]) -> np.ndarray:
-        """Mean log-likelihood ratio of a byte, accepted over rejected."""
-        if not texts:
-            return np.zeros(0)
-        context, gram, starts = _hashes(texts)
-        out = []
-        for c in (0, 1):
-            p = np.full(context.shape[1], 1 / 256)
-            for k in range(ORDER + 1):
-                n, t = self.totals[c][context[k]], self.kinds[c][context[k]]
-                p = np.where(n > 0, (self.grams[c][gram[k]] + t * p) / np.maximum(n + t, 1), p)
-            out.append(np.log(np.maximum(np.minimum(p, 1), 1e-12)))
-        lengths = np.diff([*starts, context.shape[1]])
-        return np.add.reduceat(out[0] - out[1], starts) / lengths
-
-
-def train(labelled: DataFrame) -> Models:
-    """Counts over all rows of ``labelled`` (address, accepted); tasks sum their own n-grams before the shuffle."""
+            gram = gram | np.where(place >= k, np.roll(x, k), _BEFORE) << 8 * k
+        out[k] = (k << 40) | gram
+    return out, lengths
+
+
+def _counts(addresses: DataFrame) -> DataFrame:
+    """gram, allow, block of every n-gram of ``addresses`` (address, allow, block); tasks sum their own before the shuffle."""
 
     def count(frames):
         for pdf in frames:
-            parts = []
-            for accepted, own in pdf.groupby("accepted"):
-                context, gram, _ = _hashes(own["address"].tolist())
-                pairs, n = np.unique((context.ravel() << 20) | gram.ravel(), return_counts=True)
-                parts.append(pd.DataFrame({"c": 0 if accepted else 1, "context": pairs >> 20, "gram": pairs & ((1 << 20) - 1), "n": n}))
-            if parts:
-                yield pd.concat(parts)
-
-    pairs = labelled.select("address", "accepted").mapInPandas(count, "c int, context long, gram long, n long").groupBy("c", "context", "gram").agg(F.sum("n").alias("n"))
-    grams, totals, kinds = (np.zeros((2, SLOTS), "f4") for _ in range(3))
-    # one row for each slot and class at most
-    seen = pairs.select("c", F.explode(F.array(F.struct(F.lit(0).alias("what"), F.col("gram").alias("slot"), "n"), F.struct(F.lit(1).alias("what"), F.col("context").alias("slot"), "n"))).alias("x"))
-    for r in (table := seen.groupBy("c", "x.what", "x.slot").agg(F.sum("x.n").alias("n"), F.count("*").alias("kinds")).toPandas()).groupby(["c", "what"]):
-        (c, what), rows = r
-        (totals if what else grams)[c][rows["slot"].to_numpy()] = rows["n"].to_numpy()
-        if what:
-            kinds[c][rows["slot"].to_numpy()] = rows["kinds"].to_numpy()
-    del table
-    return Models(grams, totals, kinds)
+            if len(pdf):
+                grams, lengths = _grams(pdf["address"].tolist())
+                keys, places = np.unique(grams.ravel(), return_inverse=True)
+                weigh = lambda c: np.bincount(places.ravel(), np.tile(np.repeat(pdf[c].to_numpy(), lengths), ORDER + 1), len(keys)).astype("i8")
+                yield pd.DataFrame({"gram": keys, "allow": weigh("allow"), "block": weigh("block")})
+
+    seen = addresses.select("address", "allow", "block").mapInPandas(count, "gram long, allow long, block long")
+    return seen.groupBy("gram").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
+
+
+def gram_ratios(addresses: DataFrame) -> DataFrame:
+    """gram, steps: the log-likelihood ratio, accepted over rejected, of every longest n-gram that occurs in ``addresses``.
+
+    Witten-Bell interpolated models of variable order: a context that was never seen leaves the shorter one's answer.
+    Counts are exact; the tables grow with the n-grams seen, and joins are broadcast only while those are counted few.
+    """
+    grams = checkpointed(_counts(addresses))
+    near = F.broadcast if grams.count() <= BROADCAST_ROWS else lambda df: df
+    context = F.shiftright("gram", 8).alias("context")
+    # a context has at most one row for each byte
+    totals = grams.groupBy(context).agg(*[f(c).alias(n + c) for c in ("allow", "block") for f, n in ((F.sum, "total_"), (lambda c: F.count_if(F.col(c) > 0), "kinds_"))])
+    known = checkpointed(grams.withColumn("context", F.shiftright("gram", 8)).join(near(totals), "context").drop("context"))
+
+    def level(k: int) -> DataFrame:
+        return known.where(F.shiftright("gram", 40) == k)
+
+    def answer(c: str, shorter) -> Column:
+        n, kinds = F.col(f"total_{c}"), F.col(f"kinds_{c}")
+        return F.when(n > 0, (F.col(c) + kinds * shorter) / (n + kinds)).otherwise(shorter).alias(f"p_{c}")
+
+    now = level(0).select("gram", *[answer(c, F.lit(1 / 256)) for c in ("allow", "block")])
+    for k in range(1, ORDER + 1):
+        shorter = F.col("gram").bitwiseAND((1 << 8 * k) - 1).bitwiseOR((k - 1) << 40)
+        now = level(k).withColumn("shorter", shorter).join(near(now.withColumnRenamed("gram", "shorter")), "shorter")
+        now = now.select("gram", *[answer(c, F.col(f"p_{c}")) for c in ("allow", "block")])
+    ratio = F.log(F.greatest("p_allow", F.lit(1e-12))) - F.log(F.greatest("p_block", F.lit(1e-12)))
+    return checkpointed(now.select("gram", F.round(ratio * _STEPS).cast("long").alias("steps")))
+
+
+def _ratios(addresses: DataFrame) -> DataFrame:
+    """address, ratio: the mean log-likelihood ratio of a byte of each of the distinct ``addresses``."""
+
+    def places(frames):
+        for pdf in frames:
+            if len(pdf):
+                grams, lengths = _grams(pdf["address"].tolist())
+                own = pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), lengths), "gram": grams[ORDER]})
+                yield own.groupby(["id", "gram"], sort=False).size().reset_index(name="n")
+
+    own = addresses.select("id", "address").mapInPandas(places, "id long, gram long, n long")
+    sums = own.join(sized(gram_ratios(addresses)), "gram").groupBy("id").agg((F.sum(F.col("n") * F.col("steps")) / F.sum("n") / _STEPS).alias("ratio"))
+    return addresses.join(sums, "id").select("address", "ratio")
 
 
 def url_filter(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -126,14 +134,10 @@ def url_filter(pages: DataFrame, rules=RULES) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), address(F.col("host"), F.col("path"), F.col("url")).alias("address"))
-    models = train(rows.where("ruled IS NOT NULL").select("address", (F.col("ruled") == "allow").alias("accepted")))
-    shared = pages.sparkSession.sparkContext.broadcast(models)  # its size is fixed by SLOTS
-
-    @F.pandas_udf("double")
-    def ratio(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.ratio(texts.tolist()))
-
-    scored = rows.withColumn("ratio", ratio("address"))
+    rows = checkpointed(rows)
+    ruled = [F.count_if(F.col("ruled") == c).alias(c) for c in ("allow", "block")]
+    addresses = checkpointed(checkpointed(rows.groupBy("address").agg(*ruled)).withColumn("id", F.monotonically_increasing_id()))
+    scored = rows.join(sized(checkpointed(_ratios(addresses))), "address")
     fit = {r["ruled"]: r for r in scored.where("ruled IS NOT NULL").groupBy("ruled").agg(F.avg("ratio").alias("m"), F.stddev_pop("ratio").alias("s")).collect()}
     if len(fit) == 2:
         a, b = fit["allow"], fit["block"]

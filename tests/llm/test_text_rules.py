@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import regex
 
 from lexmill.llm import language, licenses, quality, urls
@@ -138,3 +139,42 @@ def test_url_models_learn_the_difference(spark):
     rows += [(300, "http://s.shop.org/fr/good/9"), (301, "http://s.spam.org/es/casino/9")]
     got = {r.page_id: r.verdict for r in urls.url_filter(spark.createDataFrame(rows, "page_id long, url string")).collect()}
     assert (got[300], got[301]) == ("allow", "block")
+
+
+def test_url_scores_are_those_of_exact_counts(spark):
+    rnd = random.Random(5)
+    tail = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(70))
+    read = [(f"s.com/{tail()}", "allow") for _ in range(1500)] + [(f"s.net/es/{tail()}", "block") for _ in range(1500)]
+    read += read[:40] + [(f"s.org/{tail()}", None) for _ in range(200)]
+
+    def grams(text):
+        x = [-1] * 4 + list(text.encode()) + [0]
+        return [[(k, *x[i - k : i + 1]) for k in range(5)] for i in range(4, len(x))]
+
+    counts = {"allow": Counter(), "block": Counter()}
+    for text, ruled in read:
+        if ruled:
+            counts[ruled].update(g for place in grams(text) for g in place)
+    totals, kinds = ({c: Counter() for c in counts} for _ in range(2))
+    for c, own in counts.items():
+        for g, n in own.items():
+            totals[c][g[:-1]] += n
+            kinds[c][g[:-1]] += 1
+
+    def log_p(c, place):
+        p = 1 / 256
+        for g in place:
+            if n := totals[c][g[:-1]]:
+                p = (counts[c][g] + kinds[c][g[:-1]] * p) / (n + kinds[c][g[:-1]])
+        return np.log(max(p, 1e-12))  # the models' least likelihood
+
+    ratio = [np.mean([log_p("allow", x) - log_p("block", x) for x in grams(text)]) for text, _ in read]
+    fit = {c: [r for r, (_, ruled) in zip(ratio, read, strict=True) if ruled == c] for c in counts}
+    (am, asd), (bm, bsd) = ((np.mean(v), np.std(v)) for v in (fit["allow"], fit["block"]))
+    threshold = (am * bsd + bm * asd) / (asd + bsd)
+    pages = spark.createDataFrame([(i, f"x://{text}") for i, (text, _) in enumerate(read)], "page_id long, url string").repartition(5)
+    got = {r.page_id: r for r in urls.url_filter(pages).collect()}
+    assert len(got) == len(read)
+    for i, (_, ruled) in enumerate(read):
+        assert abs(got[i].score - (ratio[i] - threshold)) < 1e-6
+        assert got[i].verdict == (ruled or ("allow" if got[i].score >= 0 else "block"))
