@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import checkpointed, let, sized
+from lexmill.llm.common import BROADCAST_ROWS, checkpointed, let, sized
 
 #: What parts words, and the symbols that are counted.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -23,6 +23,16 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
+def normal(line: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(line), SPACE, " "))
+
+
+def without_lines(text: Column, hashes: Column) -> Column:
+    """``text`` without the lines whose normalised hashes are in ``hashes``; white lines stay."""
+    gone = lambda x: x.rlike(r"[^\x20\x09-\x0D]") & F.array_contains(hashes, F.xxhash64(normal(x)))
+    return F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~gone(x)), "\n")
+
+
 def repeated_words(words: Column) -> Column:
     """Words (places) inside 3-word windows that occur twice or more; ``words`` should be a lambda variable.
 
@@ -45,7 +55,6 @@ def repeated_words(words: Column) -> Column:
 def measures(text: Column) -> Column:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and lines: hash and words of each normalised line."""
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    normal = lambda x: F.trim(F.regexp_replace(F.lower(x), SPACE, " "))
     hashed = lambda x: let(normal(x), lambda y: F.struct(F.xxhash64(y).alias("h"), (F.length(y) - F.length(F.replace(y, F.lit(" "), F.lit(""))) + 1).alias("w")))
     by_word = let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeated_words(w).alias("n_repeat_words")))
     by_line = let(lines, lambda x: F.struct((F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), F.transform(x, hashed).alias("lines")))
@@ -53,10 +62,10 @@ def measures(text: Column) -> Column:
 
 
 def line_frequency_rules(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, least_left: float = LEAST_LEFT) -> DataFrame:
-    """One row for each row of ``docs`` (row_id, doc_id): the measures, left_words, base_failed and kept.
+    """One row for each row of ``docs`` (row_id, doc_id): the measures, left_words, removed_lines, base_failed and kept.
 
     Line frequency counts distinct texts of a host (null: a host of its own), so exact copies count once. Lines above
-    the limits are removed; a document is kept if the base rules pass and it isn't depleted by the removal. Null and
+    the limits are removed: removed_lines has their hashes (null: none), for ``without_lines``; a document is kept if the base rules pass and it isn't depleted by the removal. Null and
     empty texts have no words and fail; repeated rows are judged each; an empty table gives no rows; only doc_id,
     text and the host column are read.
     """
@@ -70,25 +79,33 @@ def line_frequency_rules(docs: DataFrame, host: str = "source", line_docs: int =
     over = often.join(hosts, often["host"].eqNullSafe(hosts["host"])).where(F.col("docs") > line_share * F.col("host_docs"))
     over = sized(checkpointed(over.select(often["host"].alias("_host"), F.col("h").alias("_h"))))
     removed = lines.join(over, F.col("host").eqNullSafe(F.col("_host")) & (F.col("h") == F.col("_h")))
-    removed = removed.groupBy(F.col("row_id").alias("_row")).agg(F.sum("w").cast("long").alias("_words"))
+    removed = removed.groupBy(F.col("row_id").alias("_row")).agg(F.sum("w").cast("long").alias("_words"), F.collect_set("h").alias("removed_lines"))
     out = one.drop("lines").join(removed, F.col("row_id") == F.col("_row"), "left")
     out = out.withColumn("left_words", F.col("n_words") - F.coalesce("_words", F.lit(0)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     kept = ~failed & (F.col("left_words") >= least_left * F.col("n_words"))
-    return out.select("row_id", "doc_id", "host", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "left_words", failed.alias("base_failed"), kept.alias("kept"))
+    return out.select("row_id", "doc_id", "host", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "left_words", "removed_lines", failed.alias("base_failed"), kept.alias("kept"))
 
 
 def kept_documents(docs: DataFrame, **limits) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with their columns and whole texts.
+    """The rows of ``docs`` that the rules keep, with their columns, and their texts without lines above the limits.
 
-    The rejected rows' keys are anti-joined: broadcast when counted few, else by a shuffle.
+    Where lines went, a column n_chars gets the text's new length. The rejected rows' keys are anti-joined, the removed
+    lines' hashes joined: broadcast when counted few, else by a shuffle.
     """
     key = lambda host, text_hash: F.xxhash64("doc_id", host, text_hash)
-    verdict = line_frequency_rules(docs, **limits)
+    verdict = checkpointed(line_frequency_rules(docs, **limits).select(key("host", "text_hash").alias("_key"), "kept", "removed_lines"))
     host = F.col(f"`{limits.get('host', 'source')}`").cast("string")
-    gone = sized(checkpointed(verdict.where(~F.col("kept")).select(key("host", "text_hash").alias("_key")).distinct()))
+    gone = sized(checkpointed(verdict.where(~F.col("kept")).select("_key").distinct()))
+    cut = verdict.where("kept AND removed_lines IS NOT NULL").select("_key", F.col("removed_lines").alias("_cut")).dropDuplicates(["_key"])
+    cut = sized(checkpointed(cut), BROADCAST_ROWS // 10)  # each with its hashes
     marked = docs.withColumn("_key", key(host, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))))
-    return marked.join(gone, "_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = marked.join(gone, "_key", "left_anti").join(cut, "_key", "left")
+    some = F.col("_cut").isNotNull()
+    out = out.withColumn("text", F.when(some, without_lines(F.col("text").cast("string"), F.col("_cut"))).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(some, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = rf"""

@@ -11,7 +11,7 @@ from lexmill.llm.common import table
 
 
 def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.line_frequency_rules(table(spark, sf_dir, "documents")).drop("row_id", "host", "text_hash")
+    return quality.line_frequency_rules(table(spark, sf_dir, "documents")).drop("row_id", "host", "text_hash", "removed_lines")
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
