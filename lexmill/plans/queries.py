@@ -628,7 +628,7 @@ def box_overlap_join(spark, sf_dir):
 @query()
 def annotation_merge(spark, sf_dir):
     """Each annotation taken once, exact box first, else by overlap."""
-    v = read(spark, sf_dir, "embeddings").where("vec_id < 300").select(F.col("label").cast("long").alias("doc_id"), F.floor(F.col("vec_id") / 40).cast("int").alias("page"), F.col("vec_id").cast("int").alias("ord"), *[F.floor(F.abs(F.col("embedding")[i]) * 100).alias(n) for i, n in ((0, "x0"), (1, "y0"))])
+    v = read(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("doc_id"), F.floor(F.col("vec_id") / 40).cast("int").alias("page"), F.col("vec_id").cast("int").alias("ord"), *[F.floor(F.abs(F.col("embedding")[i]) * 100).alias(n) for i, n in ((0, "x0"), (1, "y0"))])
     boxes = v.select("doc_id", "page", "ord", "x0", "y0", (F.col("x0") + 40).alias("x1"), (F.col("y0") + 40).alias("y1"))
     out = ocr.merge_annotations(boxes.where("ord % 2 = 0"), boxes.where("ord % 2 = 1"))
     return out.withColumn("taken", F.array_join(F.col("taken").cast("array<string>"), ","))
