@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a lookup side is broadcast after it has been counted; beyond it the same join is shuffled.
-BROADCAST_ROWS = 200_000
+#: Bytes up to which a lookup side is broadcast after it has been measured; beyond it the same join is shuffled.
+BROADCAST_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,20 +19,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut in the shared folder that ``spark.checkpoint.dir`` names.
-
-    Only where that setting is absent (tests, one machine) a temporary folder is set.
-    """
-    sc = df.sparkSession.sparkContext
+def _folder(spark: SparkSession) -> str:
+    """The shared folder for cut lineage: what ``spark.checkpoint.dir`` names; unset, a temporary one where one machine does all."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lexmill-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lexmill-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut in the shared checkpoint folder."""
+    _folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a checkpointed lookup side for broadcast if its counted rows are few; else leaves the join to a shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
+def _bytes(name: str, kind: T.DataType) -> Column:
+    """About the bytes of a row's value: the content of strings, binaries and arrays counts."""
+    value = F.col(f"`{name}`")
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 8
+    if isinstance(kind, T.ArrayType):
+        each = 8 * max(1, len(kind.elementType.fields)) if isinstance(kind.elementType, T.StructType) else 8
+        return each * F.coalesce(F.size(value), F.lit(0)) + 8
+    return F.lit(8)
+
+
+def sized(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks a checkpointed lookup side for broadcast if its measured bytes are few; else leaves the join to a shuffle."""
+    row = sum((_bytes(f.name, f.dataType) for f in df.schema), F.lit(16))
+    return F.broadcast(df) if (df.agg(F.sum(row)).first()[0] or 0) <= most else df
 
 
 def let(value: Column, body) -> Column:
@@ -43,7 +63,7 @@ def spread(rows: int, per: int, most: int = 1 << 16) -> int:
     return max(1, min(most, -(-rows // per)))
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 200) -> DataFrame:
     """(node, component) for every node of an undirected edge list; component is the smallest node reachable.
 
     Alternating large-star and small-star steps: every node's smallest neighbour is a map-side combined minimum,
@@ -78,11 +98,6 @@ def columns_of(df: DataFrame, names: Sequence[str]) -> list[Column]:
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared checkpoint folder, reread: lineage is cut and columns can be pruned."""
-    import uuid
-
-    spark, sc = df.sparkSession, df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lexmill-"))
-    path = f"{sc._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    path = f"{_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

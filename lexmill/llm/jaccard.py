@@ -3,9 +3,11 @@
 1. Each text becomes a set of 63-bit shingle numbers; equal sets are one class, so copies never meet in pairs.
 2. Numbers are ordered globally: by value, but those of the most frequent shingles (a list of fixed size) come last, the
    most frequent at the very end. Any one order gives the same result; this one keeps common passages out of prefixes.
-3. Two sets with overlap enough for the threshold share a number among the first n - ceil(t n) + 1 of each, and as many
-   there as what follows cannot make up for. Pairs that share numbers of few holders are kept by that count; the holders of
-   a common number are chained by size. Classes so connected form a cluster; no link leaves a cluster.
+3. Sets with overlap enough for the threshold share, among the first n - ceil(t n) + 1 numbers of each, as many as what
+   follows cannot make up for: of two sets of like size almost half of them. Where the rarest shared number has few
+   holders, the pair is met there and weighed by the numbers it shares. Where it has many, all shared numbers have: then
+   each of the two sets holds so many commoner numbers that the rarest is no common passage beside a text of its own. Only
+   such holders, of sizes that may link, are tied together at a number. Classes so tied form a cluster; no link leaves it.
 4. In a cluster the ordered sets are stored in a prefix tree, and each is carried down it: sets with a common start share
    the overlap counted so far; a subtree is left when even all remaining numbers could not make the overlap, or when all
    its sets are in one component with the carried set already. Large clusters are dealt out in blocks of bounded size.
@@ -32,19 +34,21 @@ THRESHOLD = Fraction(80, 100)
 HOT_SHINGLES = 1 << 18
 #: A shingle is counted for that list where this many of the documents held at once by a task hold it.
 HOT_IN_BATCH = 2
-#: Shingle numbers that a task holds at once.
-HELD_NUMBERS = 1_500_000
-#: Shared numbers with at most so many holders count for pairs of holders; the holders of others are chained.
-FEW_HOLDERS = 8
+#: Shingle numbers that a task holds at once, and classes it remembers to have sent.
+HELD_NUMBERS, HELD_CLASSES = 600_000, 100_000
+#: Shared numbers with at most so many holders are met pair by pair.
+FEW_HOLDERS = 6
+#: Bands of set sizes in a factor of 1 / threshold.
+BANDS = 10
 #: Numbers and sets of a block of a large cluster.
-BLOCK_NUMBERS, BLOCK_SETS = 2_000_000, 4_000
+BLOCK_NUMBERS, BLOCK_SETS = 500_000, 1_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], "u8")
 _TOP = np.uint64(1) << np.uint64(63)
 
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 60_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -76,9 +80,9 @@ def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
     return total[keep]
 
 
-def class_id(numbers: np.ndarray) -> int:
+def class_id(numbers: np.ndarray, seed: int = 0) -> int:
     """A set's class: 63 bits of a hash of its numbers."""
-    return xxhash.xxh3_64_intdigest(numbers.tobytes()) >> 1
+    return xxhash.xxh3_64_intdigest(numbers.tobytes(), seed=seed) >> 1
 
 
 class Order:
@@ -244,13 +248,13 @@ def _settle(tree: PrefixTree, find, x: int) -> None:
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, hot_shingles: int = HOT_SHINGLES, block_numbers: int = BLOCK_NUMBERS, block_sets: int = BLOCK_SETS) -> DataFrame:
-    """doc_id, n_shingles, class_id, component_id of every row; component_id is the smallest doc_id reachable by links.
+    """doc_id, n_shingles, class_id, component_id (and text_hash, group) of every row; component_id is the smallest doc_id reachable by links.
 
     Texts without words (null, empty) have no shingles and are alone; equal texts are one class; repeated rows are
     returned each; ids that occur with several texts name each row's own component; an empty table gives no rows.
     Only doc_id and text are read.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.col("text").cast("string"), "UTF-8").alias("text"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.col("text").cast("string"), "UTF-8").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
 
     # 1. classes, and the frequent shingles of every batch
     def held(batches, column: int):
@@ -264,33 +268,46 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, threshold: Fraction
                     yield batch.slice(at, k + 1 - at), sets
                     at, sets, n = k + 1, [], 0
 
+    names = ["kind", "doc_id", "n_shingles", "class_id", "twin", "text_hash"]
+
     def classify(batches):
         for batch, sets in held(batches, 1):
             cls = [class_id(s) if len(s) else None for s in sets]
-            twin = [xxhash.xxh3_64_intdigest(s.tobytes(), seed=1) >> 1 for s in sets]
+            twin = [class_id(s, 1) for s in sets]
             n = [len(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(twin, pa.int64())], names=["kind", "doc_id", "n_shingles", "class_id", "twin"])
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(twin, pa.int64()), batch.column(2)], names=names)
             once = list({c: s for c, s in zip(cls, sets, strict=True) if c is not None}.values())
             if once:
                 u, n = np.unique(np.concatenate(once), return_counts=True)
                 often = n >= HOT_IN_BATCH
                 u, n = u[often].astype("i8"), n[often].astype("i8")
                 nothing = pa.nulls(len(u), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(u), "i4")), nothing, pa.array(n), pa.array(u), nothing], names=["kind", "doc_id", "n_shingles", "class_id", "twin"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(u), "i4")), nothing, pa.array(n), pa.array(u), nothing, nothing], names=names)
 
-    both = checkpointed(base.mapInArrow(classify, "kind int, doc_id long, n_shingles long, class_id long, twin long"))
+    both = checkpointed(base.mapInArrow(classify, "kind int, doc_id long, n_shingles long, class_id long, twin long, text_hash long"))
     rows = both.where("kind = 0").drop("kind")
     hot = both.where("kind = 1").groupBy("class_id").agg(F.sum("n_shingles").alias("n")).orderBy(F.desc("n"), "class_id").limit(hot_shingles).collect()
     order = Order(np.array([r[0] for r in reversed(hot)], "u8"))
-    classes = rows.where("class_id IS NOT NULL").groupBy("class_id").agg(F.min("doc_id").alias("low"), F.first("n_shingles").alias("n"), F.min("twin").alias("a"), F.max("twin").alias("b"))
-    classes = checkpointed(classes)
-    if not classes.where("a <> b").isEmpty():
-        raise RuntimeError("two sets with one class hash")
-
-    # 2. numbers of prefixes; classes that share one are chained
+    # different sets of one hash: none below a billion sets, a few at 10^11; they are named by their second hash
+    clash = rows.where("class_id IS NOT NULL").groupBy("class_id").agg(F.min("twin").alias("a"), F.max("twin").alias("b")).where("a <> b").select("class_id")
+    clashes = frozenset(r[0] for r in clash.collect())
+    if clashes:
+        rows = rows.join(F.broadcast(clash.withColumn("clash", F.lit(True))), "class_id", "left").withColumn("class_id", F.when(F.col("clash"), F.col("twin")).otherwise(F.col("class_id"))).drop("clash")
+    rows = rows.select("doc_id", "n_shingles", "class_id", "text_hash")
+    classes = checkpointed(rows.where("class_id IS NOT NULL").groupBy("class_id").agg(F.min("doc_id").alias("low"), F.first("n_shingles").alias("n")))
+
+    def named(sets: list[np.ndarray]) -> dict[int, np.ndarray]:
+        """The sets that aren't empty, each once, by class."""
+        return {class_id(s, 1) if c in clashes else c: s for c, s in ((class_id(s), s) for s in sets if len(s))}
+
+    # 2. numbers of prefixes; a task sends a class once, as long as it remembers it
     def prefixes(batches):
+        sent: set[int] = set()
         for _, sets in held(batches, 0):
-            once = {class_id(s): s for s in sets if len(s)}
+            once = {c: s for c, s in named(sets).items() if c not in sent}
+            if len(sent) > HELD_CLASSES:
+                sent.clear()
+            sent.update(once)
             if once:
                 keys = [order(s)[: prefix_length(len(s), threshold)] for s in once.values()]
                 n = np.repeat(np.array([len(s) for s in once.values()], "i4"), [len(k) for k in keys])
@@ -298,42 +315,23 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, threshold: Fraction
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype("i8")), pa.array(n), pa.array(cls)], names=["number", "n", "class_id"])
 
     found = base.where("text IS NOT NULL").select("text").mapInArrow(prefixes, "number long, n int, class_id long")
-    # a holder's row gets those before it by size. A common number's holders are chained, one row back, and a chain breaks
-    # where no set before can link to one after; so such a number adds as many pairs as it has holders
-    own = Window.partitionBy("number").orderBy("n", "class_id")
-    back = [F.struct(F.lag("class_id", k).over(own).alias("b"), F.lag("n", k).over(own).alias("m"), F.lit(k).alias("k")) for k in range(1, FEW_HOLDERS)]
-    shared = found.select("class_id", "n", F.count("*").over(Window.partitionBy("number")).alias("holders"), F.array(*back).alias("back")).where("holders > 1")
-    few = F.col("holders") <= FEW_HOLDERS
-    fits = lambda x: x["b"].isNotNull() & (x["b"] != F.col("class_id")) & (x["m"] * threshold.denominator >= F.col("n") * threshold.numerator) & (few | (x["k"] == 1))
-    shared = checkpointed(shared.select("class_id", "n", (~few).alias("chain"), F.filter("back", fits).alias("back")))
-    pairs = shared.select(F.col("class_id").alias("a"), "n", "chain", F.inline("back"))
-    # both orders of a pair of one size can't occur: rows are ordered by size, then class
-    pairs = pairs.groupBy("a", "b").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.sum((~F.col("chain")).cast("int")).alias("c"), F.max("chain").alias("chain"))
-    common = sized(checkpointed(shared.where("chain").groupBy("class_id").count()))
-    times = lambda side: common.select(F.col("class_id").alias(side), F.col("count").alias(f"_{side}"))
-    num, den = threshold.numerator, threshold.denominator
-    up = lambda x, d: F.floor((x + (d - 1)) / d)
-    overlap = up(num * (F.col("n") + F.col("m")), num + den)
-    after = F.greatest(up(num * F.col("n"), den), up(num * F.col("m"), den)) - 1  # what the numbers after a prefix can add
-    most = F.col("c") + F.least(F.coalesce("_a", F.lit(0)), F.coalesce("_b", F.lit(0)))
-    weighed = pairs.where("NOT chain").join(times("a"), "a", "left").join(times("b"), "b", "left").where(most >= overlap - after)
-    edges = pairs.where("chain").select("a", "b").union(weighed.select("a", "b"))
+    edges = checkpointed(candidate_ties(found, threshold))
     clusters = connected_components(edges, "a", "b").select(F.col("node").alias("class_id"), F.col("component").alias("cluster"))
-    clusters = checkpointed(clusters.join(classes.select("class_id", "low", "n"), "class_id"))
+    clusters = checkpointed(clusters.join(classes, "class_id"))
 
     # 3. sets of clustered classes, one of each
     known = clusters.select("class_id", "cluster", "n", F.col("low").alias("doc_id"))
 
     def ordered(batches):
         for _, sets in held(batches, 0):
-            once = {class_id(s): s for s in sets if len(s)}
+            once = named(sets)
             if once:
                 yield pa.RecordBatch.from_arrays([pa.array(list(once), pa.int64()), pa.array([order(s).tobytes() for s in once.values()], pa.binary())], names=["class_id", "numbers"])
 
     sizes = known.groupBy("cluster").agg(F.sum("n").alias("numbers"), F.count("*").alias("sets"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("numbers") / block_numbers), F.ceil(F.col("sets") / block_sets)).cast("int")
-    sizes = sized(checkpointed(sizes.select("cluster", blocks.alias("blocks"))))
-    member = checkpointed(known.join(sizes, "cluster").select("class_id", "doc_id", "cluster", "blocks", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int").alias("block")))
+    parts = lambda numbers, sets: F.greatest(F.lit(1), F.ceil(F.col(numbers) / block_numbers), F.ceil(F.col(sets) / block_sets)).cast("int")
+    sizes = sized(checkpointed(sizes.select("cluster", parts("numbers", "sets").alias("blocks"))))
+    member = checkpointed(known.join(sizes, "cluster").select("class_id", "doc_id", "n", "cluster", "blocks", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int").alias("block")))
 
     def sets_of(members: DataFrame) -> DataFrame:
         wanted = sized(checkpointed(members.select("doc_id").distinct()))
@@ -348,7 +346,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, threshold: Fraction
         return pd.DataFrame([(ids[i], ids[j]) for i, j in links], columns=["a", "b"], dtype="int64")
 
     def links_of(members: DataFrame, *key: str) -> DataFrame:
-        return members.groupBy("cluster", *key).applyInPandas(joined, "a long, b long")
+        return members.select("cluster", *key, "class_id", "numbers", "component").groupBy("cluster", *key).applyInPandas(joined, "a long, b long")
 
     # clusters are many and mostly small: their tasks are dealt by hash of the cluster
     links = checkpointed(links_of(sets_of(member.where("blocks = 1")).withColumn("component", F.col("class_id"))))
@@ -368,34 +366,94 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, threshold: Fraction
         largest = weight.groupBy("cluster").agg(F.max_by("component", F.struct("w", "component")).alias("largest"))
         now = now.join(sized(checkpointed(largest)), "cluster")
         minor = now.where("component <> largest")
-        parts = checkpointed(minor.select("cluster", F.col("block").alias("part")).distinct())
-        if not parts.isEmpty():
-            # each block of the rest meets each block of all: pairs of blocks, every one of bounded size
-            rest = minor.withColumn("part", F.col("block")).withColumn("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            every = now.withColumn("group", F.col("block")).join(sized(parts), "cluster")
+        deals = checkpointed(minor.groupBy("cluster").agg(F.sum("n").alias("numbers"), F.count("*").alias("sets")).select("cluster", parts("numbers", "sets").alias("parts")))
+        if not deals.isEmpty():
+            # what is left over is dealt in parts of a block's size; each part meets each block once
+            rest = minor.join(sized(deals), "cluster").withColumn("part", F.pmod(F.xxhash64("class_id"), F.col("parts")).cast("int"))
+            rest = rest.withColumn("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            every = now.join(sized(deals), "cluster").withColumn("group", F.col("block")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
             cols = ["cluster", "group", "part", "class_id", "numbers", "component"]
             links = checkpointed(links.union(links_of(rest.select(cols).union(every.select(cols)), "group", "part")))
 
     # 5. components of classes, then of rows
     joint = connected_components(links, "a", "b")
-    named = classes.join(joint, classes["class_id"] == joint["node"], "left").select("class_id", "low", F.coalesce("component", "class_id").alias("component"))
-    lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = sized(checkpointed(named.join(lows, "component").select(F.col("class_id").alias("_class"), "component_id")))
-    out = rows.join(named, F.col("class_id") == F.col("_class"), "left")
-    return out.select("doc_id", "n_shingles", "class_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    lowest = classes.join(joint, classes["class_id"] == joint["node"], "left").select("class_id", "low", F.coalesce("component", "class_id").alias("component"))
+    lows = lowest.groupBy("component").agg(F.min("low").alias("component_id"))
+    lowest = sized(checkpointed(lowest.join(lows, "component").select(F.col("class_id").alias("_class"), "component_id", F.col("component").alias("group"))))
+    out = rows.join(lowest, F.col("class_id") == F.col("_class"), "left")
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "n_shingles", "class_id", component.alias("component_id"), "text_hash", "group")
+
+
+def candidate_ties(found: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
+    """a, b: ties of classes; whatever links by ``threshold`` is connected by them. ``found``: number, n, class_id of prefixes.
+
+    A number of the list is below 0 here. Only it can have a large share of all holders; its tallies (a row each, as many
+    as the list is long) are summed before the shuffle and broadcast, and its holders are never gathered.
+    """
+    t, num, den = float(threshold), threshold.numerator, threshold.denominator
+    up = lambda x, d: F.floor((x + (d - 1)) / d)
+    step = math.log(1 / t) / BANDS
+    band = F.floor(F.log("n") / step).cast("int")
+    bit = lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(b, F.lit(64)).cast("int"))
+    # a listed number's holders are dealt out; here they only pass through
+    salt = F.when(F.col("number") < 0, F.pmod(F.xxhash64("class_id"), F.lit(1 << 12))).otherwise(0)
+    all_of = Window.partitionBy("number", salt)
+    own = all_of.orderBy("n", "class_id")
+    back = [F.struct(F.lag("class_id", k).over(own).alias("b"), F.lag("n", k).over(own).alias("m")) for k in range(1, FEW_HOLDERS)]
+    held = found.select("class_id", "n", "number", F.count("*").over(all_of).alias("holders"), F.bit_or(bit(band)).over(all_of).alias("bands"), F.array(*back).alias("back")).where("holders > 1 OR number < 0")
+    fits = lambda x: x["b"].isNotNull() & (x["b"] != F.col("class_id")) & (x["m"] * den >= F.col("n") * num)
+    few = (F.col("holders") <= FEW_HOLDERS) & (F.col("number") >= 0)
+    again = F.coalesce(F.get("back", 0)["b"] == F.col("class_id"), F.lit(False)) & ~few
+    held = checkpointed(held.where(~again).withColumn("back", F.when(few, F.filter("back", fits))))
+    plain, listed = held.where("number >= 0"), held.where("number < 0").select("class_id", "n", "number")
+    tally = listed.groupBy("number").agg(F.count("*").alias("holders"), F.bit_or(bit(band)).alias("bands"), F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).where("lo < hi").drop("lo", "hi")
+    listed = listed.join(F.broadcast(checkpointed(tally)), "number").select("class_id", "n", "number", "holders", "bands")
+    common = plain.where("back IS NULL").drop("back").union(listed)
+
+    # pairs at numbers of few holders, weighed by what they share there and at most share elsewhere
+    pairs = plain.where("back IS NOT NULL").select(F.col("class_id").alias("a"), "n", F.inline("back"))
+    # both orders of a pair of one size can't occur: rows are ordered by size, then class
+    pairs = pairs.groupBy("a", "b").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.count("*").alias("c"))
+    counts = sized(checkpointed(common.groupBy("class_id").count()))
+    times = lambda side: counts.select(F.col("class_id").alias(side), F.col("count").alias(f"_{side}"))
+    overlap = up(num * (F.col("n") + F.col("m")), num + den)
+    after = F.greatest(up(num * F.col("n"), den), up(num * F.col("m"), den)) - 1  # what the numbers after a prefix can add
+    most = F.col("c") + F.least(F.coalesce("_a", F.lit(0)), F.coalesce("_b", F.lit(0)))
+    pairs = pairs.join(times("a"), "a", "left").join(times("b"), "b", "left").where(most >= overlap - after).select("a", "b")
+
+    # ties at numbers of many holders: beyond a number a set holds `more` commoner ones. A link to a set of size m needs
+    # t (n + m) / (1 + t) - t max(n, m) shared numbers of prefixes at least; that is least at the end of a band of sizes
+    # that lies farther from n
+    more = F.row_number().over(Window.partitionBy("class_id").orderBy(F.desc("holders"), F.desc("number"))) - 1
+    need = lambda m: t / (1 + t) * (F.col("n") + m) - t * F.greatest(F.col("n").cast("double"), m)
+    edge = lambda b: F.exp(b * F.lit(step))
+    may = lambda b: (F.col("bands").bitwiseAND(bit(b)) != 0) & (F.least(need(edge(b) * (1 - 1e-9)), need(edge(b + 1) * (1 + 1e-9))) <= F.col("more") + 1 + 1e-6)
+    reach = F.filter(F.sequence(F.col("band") - (BANDS + 1), F.col("band") + BANDS + 1), may)
+    common = common.withColumn("more", more).withColumn("band", band).select("class_id", "number", "band", F.explode(reach).alias("other"))
+    keys = ["number", "low_band", "high_band"]
+    common = checkpointed(common.select("class_id", "number", "band", F.least("band", "other").alias("low_band"), F.greatest("band", "other").alias("high_band")))
+    centers = common.groupBy(*keys).agg(F.min("class_id").alias("b"), F.max("class_id").alias("_b"), F.min("band").alias("lo"), F.max("band").alias("hi"))
+    centers = sized(checkpointed(centers.where("lo < hi OR low_band = high_band AND b < _b").select(*keys, "b")))
+    stars = common.join(centers, keys).where("class_id <> b").select(F.col("class_id").alias("a"), "b")
+    return pairs.union(stars).distinct()
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` but for near copies: of each component the row with the smallest doc_id stays.
+    """The rows of ``docs`` but for near copies: of each component one row stays, that with the smallest doc_id (null last), then text hash.
 
-    Rows that repeat an id within its component count as copies too; texts without words all stay.
+    So an id that stands on several texts loses only those that are copies, and rows without an id are judged like
+    others. Of rows equal in id and text one stays; texts without words all stay.
     """
-    found = checkpointed(jaccard_components(docs, **how))
-    gone = sized(checkpointed(found.where("n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()))
-    kept = docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
-    twice = found.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
-    twice = checkpointed(twice)
+    found = checkpointed(jaccard_components(docs, **how).where("n_shingles > 0"))
+    key = F.struct(F.isnull("doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("text_hash").alias("c"))
+    stays = found.groupBy("group").agg(F.min(key).alias("stays"), F.count("*").alias("n")).where("n > 1").select("group", "stays.*")
+    judged = found.join(sized(checkpointed(stays)), "group").withColumn("same", F.col("doc_id").eqNullSafe(F.col("b")) & (F.col("text_hash") == F.col("c")))
+    judged = judged.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.first("same").alias("same"), F.count("*").alias("n"))
+    judged = checkpointed(judged.where("NOT same OR n > 1"))
+    mine = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_hash"))
+    kept = docs.join(sized(checkpointed(judged.where("NOT same").select("_id", "_hash"))), mine, "left_anti")
+    twice = checkpointed(judged.where("same").select("_id", "_hash"))
     if twice.isEmpty():
         return kept
-    again = F.col("doc_id").eqNullSafe(F.col("_id"))
-    return kept.join(twice, again, "left_anti").unionByName(kept.join(twice, again, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return kept.join(sized(twice), mine, "left_anti").unionByName(kept.join(sized(twice), mine, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import BROADCAST_ROWS, checkpointed, let, sized
+from lexmill.llm.common import checkpointed, let, sized
 
 #: What parts words, and the symbols that are counted.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -98,7 +98,7 @@ def kept_documents(docs: DataFrame, **limits) -> DataFrame:
     host = F.col(f"`{limits.get('host', 'source')}`").cast("string")
     gone = sized(checkpointed(verdict.where(~F.col("kept")).select("_key").distinct()))
     cut = verdict.where("kept AND removed_lines IS NOT NULL").select("_key", F.col("removed_lines").alias("_cut")).dropDuplicates(["_key"])
-    cut = sized(checkpointed(cut), BROADCAST_ROWS // 10)  # each with its hashes
+    cut = sized(checkpointed(cut))
     marked = docs.withColumn("_key", key(host, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))))
     out = marked.join(gone, "_key", "left_anti").join(cut, "_key", "left")
     some = F.col("_cut").isNotNull()

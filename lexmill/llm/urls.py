@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import BROADCAST_ROWS, checkpointed, sized
+from lexmill.llm.common import BROADCAST_BYTES, checkpointed, sized
 
 # Verdict, host and path of each rule.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -84,7 +84,7 @@ def gram_ratios(addresses: DataFrame) -> DataFrame:
     Counts are exact; the tables grow with the n-grams seen, and joins are broadcast only while those are counted few.
     """
     grams = checkpointed(_counts(addresses))
-    near = F.broadcast if grams.count() <= BROADCAST_ROWS else lambda df: df
+    near = F.broadcast if grams.count() * 64 <= BROADCAST_BYTES else lambda df: df
     context = F.shiftright("gram", 8).alias("context")
     # a context has at most one row for each byte
     totals = grams.groupBy(context).agg(*[f(c).alias(n + c) for c in ("allow", "block") for f, n in ((F.sum, "total_"), (lambda c: F.count_if(F.col(c) > 0), "kinds_"))])

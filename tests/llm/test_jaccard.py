@@ -98,3 +98,26 @@ def test_edge_rows(spark):
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns
     assert sorted(r[0] for r in kept.collect()) == [-11, 1, 2, 3, 4, 5, 6, 7, 10, 12]
+
+
+def test_one_row_of_each_component_stays(spark):
+    body = " ".join(f"w{i}" for i in range(60))
+    near = body + " more"
+    rows = [(1, body), (2, near), (2, "something else entirely that no other text has"), (None, near), (None, "alone without an id"), (3, body), (1, body), (4, None), (4, "")]
+    kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(1, body), (2, "something else entirely that no other text has"), (None, "alone without an id"), (4, None), (4, "")]
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, want))
+
+
+def test_ties_hold_every_link(spark):
+    """Common passages in texts of one's own, and sizes near the threshold's ratio: no link may fall between clusters."""
+    rnd = random.Random(4)
+    passages = [[f"p{k}_{i}" for i in range(rnd.randrange(10, 40))] for k in range(4)]
+    rows = []
+    for _ in range(160):
+        own = [f"o{rnd.randrange(10**6)}" for _ in range(rnd.randrange(0, 25))]
+        rows.append([w for p in rnd.sample(passages, rnd.randrange(1, 4)) for w in p] + own)
+    rows = [(i, " ".join(r)) for i, r in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.jaccard_components(docs, hot_shingles=30).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == brute_components(rows)
