@@ -63,32 +63,31 @@ def spread(rows: int, per: int, most: int = 1 << 16) -> int:
     return max(1, min(most, -(-rows // per)))
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 200) -> DataFrame:
-    """(node, component) for every node of an undirected edge list; component is the smallest node reachable.
-
-    Alternating large-star and small-star steps: every node's smallest neighbour is a map-side combined minimum,
-    so a hub's edges are never gathered in one task, and an iteration moves the edge list only. Each iteration
-    is checkpointed. Self loops keep isolated nodes. Empty input gives an empty result.
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(node, component) for every node of an undirected edge list; component is one node of it, the same for all.
+
+    In each round every node joins its neighbour, or itself, of least hash, and what has joined becomes one node of the
+    next round's edges; the hash is another one in each, so that no order of ids makes long chains, and edges inside a
+    node vanish. A star or a clique is settled in one or two rounds, and rounds shrink geometrically. Minima are combined
+    before the shuffle, so a hub's edges are never gathered; each round is written. Self loops keep isolated
+    nodes. Empty input gives an empty result.
     """
     a, b = F.col(src).cast("long"), F.col(dst).cast("long")
-    e = checkpointed(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    state = None
-    for _ in range(max_rounds):
-        # large-star: every larger neighbour of u points to the smallest of u and its neighbours
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        star = both.where("v >= u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # small-star: the smaller neighbours of u, and u, point to the smallest of them
-        low = star.groupBy("u").agg(F.min("v").alias("m"))
-        step = star.join(low, "u")
-        e = checkpointed(step.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
-    else:
-        raise RuntimeError("components did not settle")
-    return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    e, levels = written(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct()), []
+    while not levels or not e.isEmpty():
+        by = lambda x: F.struct(F.xxhash64(F.lit(len(levels)), x).alias("h"), F.col(x).alias("label"))  # noqa: E731, B023
+        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(F.min(by("v")).alias("low"))
+        level = checkpointed(both.select(F.col("u").alias("node"), F.least("low", by("u"))["label"].alias("label")))
+        levels.append(level)
+        near = sized(level)
+        ends = e.where("u <> v").join(near.toDF("u", "a"), "u").join(near.toDF("v", "b"), "v").where("a <> b")
+        # written, not checkpointed: a checkpoint keeps the planner's size estimate, which joins multiply from round to round
+        e = written(ends.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+    out = levels.pop()
+    while levels:
+        above = sized(checkpointed(out)).toDF("label", "_above")
+        out = levels.pop().join(above, "label", "left").select("node", F.coalesce("_above", "label").alias("label"))
+    return out.withColumnRenamed("label", "component")
 
 
 def columns_of(df: DataFrame, names: Sequence[str]) -> list[Column]:

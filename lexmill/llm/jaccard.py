@@ -351,8 +351,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, threshold: Fraction
     # clusters are many and mostly small: their tasks are dealt by hash of the cluster
     links = checkpointed(links_of(sets_of(member.where("blocks = 1")).withColumn("component", F.col("class_id"))))
     if not member.where("blocks > 1").isEmpty():
-        large = checkpointed(sets_of(member.where("blocks > 1")))
-        links = checkpointed(links.union(links_of(large.withColumn("component", F.col("class_id")), "block")))
+        small, large = links, checkpointed(sets_of(member.where("blocks > 1")))
+        links = checkpointed(links_of(large.withColumn("component", F.col("class_id")), "block"))
 
         def with_components(frame: DataFrame) -> DataFrame:
             alone = frame.select(F.col("class_id").alias("a"), F.col("class_id").alias("b"))
@@ -374,6 +374,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, threshold: Fraction
             every = now.join(sized(deals), "cluster").withColumn("group", F.col("block")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
             cols = ["cluster", "group", "part", "class_id", "numbers", "component"]
             links = checkpointed(links.union(links_of(rest.select(cols).union(every.select(cols)), "group", "part")))
+        links = small.union(links)
 
     # 5. components of classes, then of rows
     joint = connected_components(links, "a", "b")

@@ -121,3 +121,23 @@ def test_ties_hold_every_link(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = jaccard.jaccard_components(docs, hot_shingles=30).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got)) == brute_components(rows)
+
+
+def test_connected_components(spark):
+    from lexmill.llm.common import connected_components
+
+    rnd = random.Random(9)
+    edges = [(i, i + 1) for i in range(0, 90)] + [(200, k) for k in range(201, 260)] + [(300, 300)] + [(rnd.randrange(400, 500), rnd.randrange(400, 500)) for _ in range(70)]
+    parent = {n: n for e in edges for n in e}
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a, b in edges:
+        parent[find(a)] = find(b)
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert set(got) == set(parent)
+    assert len({(got[n], find(n)) for n in parent}) == len({find(n) for n in parent}) == len(set(got.values()))
+    assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
