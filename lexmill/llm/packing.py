@@ -57,52 +57,57 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
 
 
 def reduce_dominated(counts: Counter, capacity: int) -> list[tuple[int, tuple[int, ...]]]:
-    """Takes from ``counts`` the sets that dominate every other set with their largest item; (times, lengths).
-
-    For the largest remaining item j, by Martello and Toth: if nothing fits beside it, {j}; else with k the largest
-    that fits: {j, k} if it fills the bin, or no second item fits beside the smallest, or the best fitting pair
-    (r, s) isn't longer than k while no three fit; {j, r, s} if the largest item of that best pair is k itself and
-    no three fit. A set is taken as often as the counts allow while the reasons hold. Ends with the first j for
-    which none holds; that j and all smaller stay for best fit.
+    """Takes from ``counts`` the sets that dominate every other set with their item j; (times, lengths).
+
+    By Martello and Toth, for each item j from the largest: if nothing fits beside it, {j}; else with k the largest that
+    fits: {j, k} if it fills the bin, or no second item fits beside the smallest, or the best fitting pair (r, s) isn't
+    longer than k while no three fit; {j, r, s} if no three fit, r is as long as k, and no fitting pair has both items
+    longer than s. Each reason outlasts the removal of items, so a set is taken as often as the counts allow. An item
+    for which none holds is set aside, as an alternative for others, and the next is tried; passes end with one that
+    takes nothing. The work follows the number of lengths, never the counts.
     """
     fixed: list[tuple[int, tuple[int, ...]]] = []
-    left = sorted((s for s, n in counts.items() if n), reverse=True)
-
-    def take(times: int, items: tuple[int, ...]) -> None:
-        fixed.append((times, items))
-        for s in items:
-            counts[s] -= times
-
-    while left:
-        if not counts[left[0]]:
-            left.pop(0)
-            continue
-        j = left[0]
-        alive = [s for s in left if counts[s] - (s == j) > 0]
-        room = capacity - j
-        low: list[int] = []
+    while True:
+        before = len(fixed)
+        for j in sorted((s for s, n in counts.items() if n), reverse=True):
+            while counts[j]:
+                items = _dominating(counts, j, capacity)
+                if items is None:
+                    break
+                times = min(counts[s] // n for s, n in Counter(items).items())
+                fixed.append((times, items))
+                for s in items:
+                    counts[s] -= times
+        if len(fixed) == before:
+            return fixed
+
+
+def _dominating(counts: Counter, j: int, capacity: int) -> tuple[int, ...] | None:
+    """The set of lengths that dominates all others with a j, if the rules name one."""
+    alive = sorted((s for s, n in counts.items() if n - (s == j) > 0), reverse=True)
+    room = capacity - j
+    k = next((s for s in alive if s <= room), None)
+    if k is None:
+        return (j,)
+
+    def least(number: int, above: int = 0) -> list[int]:
+        """The smallest remaining items longer than ``above``."""
+        out: list[int] = []
         for s in reversed(alive):
-            low += [s] * min(3 - len(low), counts[s] - (s == j))
-            if len(low) == 3:
-                break
-        k = next((s for s in alive if s <= room), None)
-        if k is None:
-            take(counts[j] if not low or low[0] > room else 1, (j,))
-            continue
-        pair_times = counts[j] // 2 if k == j else min(counts[j], counts[k])
-        if k == room or len(low) < 2 or low[0] + low[1] > room:
-            take(pair_times if len(low) == 3 or k == room else 1, (j, k))
-            continue
-        if len(low) == 3 and sum(low) <= room:
-            break  # three more items fit: sets of up to three items can't dominate
-        best = _best_pair(alive, counts, j, room)
-        if k >= sum(best):
-            take(1 if k in low or j in low else max(1, pair_times - 2), (j, k))
-        elif best[0] == k:
-            take(1, (j, *best))
-        else:
-            break
-    return fixed
+            if s > above and len(out) < number:
+                out += [s] * min(number - len(out), counts[s] - (s == j))
+        return out
+
+    low = least(3)
+    if k == room or len(low) < 2 or low[0] + low[1] > room:
+        return (j, k)
+    if len(low) == 3 and sum(low) <= room:
+        return None  # sets of up to three items can't dominate
+    r, s = _best_pair(alive, counts, j, room)
+    if k >= r + s:
+        return (j, k)
+    between = least(2, s)
+    return (j, r, s) if r == k and (len(between) < 2 or sum(between) > room) else None
 
 
 def _best_pair(alive: list[int], counts: Counter, j: int, room: int) -> tuple[int, int]:

@@ -99,16 +99,31 @@ def fewest(sizes, capacity):
     return best
 
 
+def check_reduction(sizes, capacity):
+    counts = Counter(sizes)
+    fixed = packing.reduce_dominated(counts, capacity)
+    rest = list(counts.elements())
+    assert Counter(rest) + Counter([s for n, items in fixed for s in items * n]) == Counter(sizes)
+    assert all(sum(items) <= capacity for _, items in fixed)
+    assert sum(n for n, _ in fixed) + fewest(rest, capacity) == fewest(sizes, capacity), sizes
+
+
 def test_reduction_never_costs_a_bin():
     rnd = random.Random(7)
-    for _ in range(1500):
-        sizes = [rnd.randrange(1, 31) for _ in range(rnd.randrange(1, 9))]
-        counts = Counter(sizes)
-        fixed = packing.reduce_dominated(counts, 30)
-        rest = list(counts.elements())
-        assert Counter(rest) + Counter([s for n, items in fixed for s in items * n]) == Counter(sizes)
-        assert all(sum(items) <= 30 for _, items in fixed)
-        assert sum(n for n, _ in fixed) + fewest(rest, 30) == fewest(sizes, 30), sizes
+    check_reduction([10, 10, 8, 7, 7, 7, 7, 6, 5, 4], 24)
+    check_reduction([12, 8, 8, 7, 7, 6, 6, 6, 6, 5, 5, 4], 20)
+    for k in range(4000):
+        if k % 2:
+            check_reduction([rnd.randrange(1, 31) for _ in range(rnd.randrange(1, 9))], 30)
+        else:
+            capacity = rnd.randrange(18, 40)
+            check_reduction([rnd.randrange(capacity // 6, capacity // 2 + 2) for _ in range(rnd.randrange(6, 13))], capacity)
+
+
+def test_reduction_goes_on_after_an_item_without_a_rule():
+    counts = Counter({1: 5, 2: 3, 100: 10**9, 1948: 10**9, 700: 4 * 10**8, 900: 3 * 10**8})
+    fixed = packing.reduce_dominated(counts, 2048)
+    assert (10**9, (1948, 100)) in fixed and len(fixed) < 10
 
 
 def test_plan_places_every_rank_once():
