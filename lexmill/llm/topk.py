@@ -2,9 +2,10 @@
 
 Inner products become distances by one more component: with M the largest squared norm, sqrt(M - |x|^2) for a row and 0
 for a query make the squared distance |q|^2 + M - 2 q.x, so the nearest rows are those of the highest products. The index
-has two levels across tasks and more inside them: rows are dealt to the nearest of at most ``PIVOTS`` routing objects,
-whose balls (covering radius) are pruned for a query by the score of its k-th row so far; a ball's rows are pages of
-bounded size, and a page is an M-tree whose nodes keep routing objects, covering radii and distances to the parent.
+has two levels across tasks and more inside them: rows are dealt to the nearest of the routing objects, which grow with
+the rows to ``PIVOTS``; their balls (covering radius) are pruned for a query by the score of its k-th row so far. A ball
+is a page; only where a ball has more rows than a page may, it is dealt out in several. A page is an M-tree whose nodes
+keep routing objects, covering radii and distances to the parent. Queries are sent to pages, first to the nearest.
 """
 
 from __future__ import annotations
@@ -22,10 +23,14 @@ SCALE = 1024
 K = 10
 QUERY_STEP = 100
 #: Routing objects of the top level; a sample of rows by hash. Every row is indexed.
-PIVOTS = 64
-PAGE_ROWS = 4_096
-QUERY_ROWS = 4_096
-FANOUT, LEAF_ROWS = 16, 64
+PIVOTS = 1_024
+#: Rows of a page for which a routing object is added, and rows of a page at most.
+BALL_ROWS, PAGE_ROWS = 4_096, 16_384
+#: Queries that a page's task takes at once.
+QUERY_ROWS = 32_768
+FANOUT, LEAF_ROWS = 16, 256
+#: Integer products are exact in floating point below this squared norm.
+EXACT = float(1 << 52)
 
 
 class MTree:
@@ -34,6 +39,8 @@ class MTree:
     def __init__(self, vectors: np.ndarray, ids: np.ndarray, rows: np.ndarray, largest: float):
         self.x, self.ids, self.rows, self.largest = vectors, ids, rows, largest
         self.points = np.column_stack([vectors.astype("f8"), _extra(vectors, largest)])
+        # products of integers, exact: by floating point where all of them are small enough
+        self.whole = vectors.astype("f8") if largest < EXACT else vectors.astype("i8")
         self.computed = 0
         self.root = self._build(np.arange(len(vectors)), 0) if len(vectors) else None
 
@@ -51,7 +58,7 @@ class MTree:
             while len(chosen) < FANOUT and near.max() > 0:
                 chosen.append(int(members[int(near.argmax())]))
                 near = np.minimum(near, np.linalg.norm(self.points[members] - self.points[chosen[-1]], axis=1))
-            distances = np.linalg.norm(self.points[members][:, None] - self.points[chosen][None], axis=2)
+            distances = _apart(self.points[members], self.points[chosen])
             nearest = distances.argmin(axis=1)
             parts = [(c, members[nearest == k]) for k, c in enumerate(chosen) if (nearest == k).any()]
         children = [self._build(m, c) for c, m in parts]
@@ -67,44 +74,47 @@ class MTree:
         if self.root is None:
             return []
         q = np.append(query.astype("f8"), 0.0)
+        exact = query if self.whole.dtype == np.int64 else q[:-1]
         square = float(q @ q) + self.largest
         slack = 1e-9 * (np.sqrt(square) + 1)
-        best: list[tuple[int, int, int]] = []  # heap of (score, -id, -row): the worst on top
-
-        def reach() -> float:
-            least = max(floor, best[0][0]) if len(best) == k else floor
-            return float(np.sqrt(max(0.0, square - 2 * least))) + slack if least > -np.inf else np.inf
-
+        scores, rows, least = np.zeros(0, self.whole.dtype), np.zeros(0, "i8"), floor  # the best so far, in order
         d = float(np.linalg.norm(q - self.points[self.root["center"]]))
         heap, n = [(max(0.0, d - self.root["radius"]), 0, self.root, d)], 0
+        limit = float(np.sqrt(max(0.0, square - 2 * least))) + slack if least > -np.inf else np.inf
         while heap:
-            least, _, node, d = heapq.heappop(heap)
-            limit = reach()
-            if least > limit:
+            near, _, node, d = heapq.heappop(heap)
+            if near > limit:
                 break
             if "members" in node:
-                may = np.abs(d - node["away"]) <= limit
-                members = node["members"][may]
+                members = node["members"]
+                if limit < np.inf:
+                    members = members[np.abs(d - node["away"]) <= limit]
                 self.computed += len(members)
-                scores = self.x[members] @ query
-                for s, i in zip(scores.tolist(), members.tolist(), strict=True):
-                    if self.rows[i] == own_row or s < floor:
-                        continue
-                    entry = (s, -int(self.ids[i]), -int(self.rows[i]))
-                    if len(best) < k:
-                        heapq.heappush(best, entry)
-                    elif entry > best[0]:
-                        heapq.heapreplace(best, entry)
+                found = self.whole[members] @ exact
+                better = (found >= least) & (self.rows[members] != own_row)
+                if not better.any():
+                    continue
+                scores, rows = np.concatenate([scores, found[better]]), np.concatenate([rows, members[better]])
+                by = np.lexsort((self.rows[rows], self.ids[rows], -scores))[:k]
+                scores, rows = scores[by], rows[by]
+                if len(rows) == k:
+                    least = max(floor, float(scores[-1]))
+                    limit = float(np.sqrt(max(0.0, square - 2 * least))) + slack
                 continue
             may = np.flatnonzero(np.abs(d - node["apart"]) - node["radii"] <= limit)
             self.computed += len(may)
             away = np.linalg.norm(self.points[node["centers"][may]] - q, axis=1)
-            for c, a in zip(may.tolist(), away.tolist(), strict=True):
-                bound = max(0.0, a - float(node["radii"][c]))
+            bounds = np.maximum(0.0, away - node["radii"][may])
+            for c, a, bound in zip(may.tolist(), away.tolist(), bounds.tolist(), strict=True):
                 if bound <= limit:
                     n += 1
                     heapq.heappush(heap, (bound, n, node["children"][c], a))
-        return [(s, -i, -r) for s, i, r in sorted(best, reverse=True)]
+        return list(zip(scores.astype("i8").tolist(), self.ids[rows].tolist(), self.rows[rows].tolist(), strict=True))
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of all of a to all of b."""
+    return np.sqrt(np.maximum(0, (a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a @ b.T))
 
 
 def _extra(vectors: np.ndarray, largest: float) -> np.ndarray:
@@ -142,7 +152,7 @@ def mtree_topk(vectors: DataFrame, is_query: Column | None = None, k: int = K, p
     if not n or not dims:
         return empty
     largest = float(largest)
-    chosen = rows.orderBy(F.xxhash64("vec_id", "row"), "row").limit(max(1, min(pivots, -(-n // page_rows)))).toPandas()
+    chosen = rows.orderBy(F.xxhash64("vec_id", "row"), "row").limit(max(1, min(pivots, -(-n // min(BALL_ROWS, page_rows))))).toPandas()
     centers = _matrix(chosen["x"], dims)
     centers = np.column_stack([centers.astype("f8"), _extra(centers, largest)])
 
@@ -150,7 +160,7 @@ def mtree_topk(vectors: DataFrame, is_query: Column | None = None, k: int = K, p
         for pdf in frames:
             x = _matrix(pdf["x"], dims)
             points = np.column_stack([x.astype("f8"), _extra(x, largest)])
-            d = np.sqrt(np.maximum(0, (points**2).sum(1)[:, None] + (centers**2).sum(1)[None] - 2 * points @ centers.T))
+            d = _apart(points, centers)
             best = d.argmin(axis=1)
             yield pdf.assign(pivot=best, away=d[np.arange(len(d)), best])
 
@@ -165,6 +175,7 @@ def mtree_topk(vectors: DataFrame, is_query: Column | None = None, k: int = K, p
     data = data.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     queries = queries.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int"))
     reach = {p: r for p, (_, r) in balls.items()}
+    slack = 1e-6 + 1e-7 * np.sqrt(largest)  # distances from products are less exact near 0
 
     def route(first: bool):
         """Sends queries with a floor to the ball they lie nearest to, or to all others that may hold a better row."""
@@ -173,13 +184,13 @@ def mtree_topk(vectors: DataFrame, is_query: Column | None = None, k: int = K, p
             for pdf in frames:
                 x = _matrix(pdf["x"], dims)
                 points = np.column_stack([x.astype("f8"), np.zeros(len(x))])
-                d = np.sqrt(np.maximum(0, (points**2).sum(1)[:, None] + (centers**2).sum(1)[None] - 2 * points @ centers.T))
+                d = _apart(points, centers)
                 there = np.array(sorted(reach))
                 bound = np.maximum(0, d[:, there] - np.array([reach[p] for p in there.tolist()]))
                 home = d[:, there].argmin(axis=1)
                 out = []
                 for i, (floor, norm) in enumerate(zip(pdf["floor"].tolist(), (points**2).sum(1).tolist(), strict=True)):
-                    limit = np.inf if floor != floor or floor is None else np.sqrt(max(0.0, norm + largest - 2 * floor)) * (1 + 1e-9) + 1e-6
+                    limit = np.inf if floor != floor or floor is None else np.sqrt(max(0.0, norm + largest - 2 * floor)) * (1 + 1e-9) + slack
                     go = [home[i]] if first else [j for j in np.flatnonzero(bound[i] <= limit) if j != home[i]]
                     out += [(i, int(there[j]), p) for j in go for p in range(pages_of[int(there[j])])]
                 at = [o[0] for o in out]
