@@ -24,8 +24,9 @@ class _Alphabet:
 
     def __init__(self):
         points = np.arange(0x110000, dtype="u4")
+        # all planes: letters stand beyond U+30000, too
         self.to = np.ones(0x110000, "u4")
-        for c in points[:0x30000].tolist():
+        for c in points.tolist():
             x = chr(c)
             if x.isalpha():
                 low = x.lower()

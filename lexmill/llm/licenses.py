@@ -111,10 +111,11 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] | None = None, items:
                         base.add(label)
                         score = 1.0
                 for notice in known:
+                    first, seen = -1, 0  # words are counted once along a text, whatever its notices
                     for a, b, edits in notice.search(joined):
                         labels.add(notice.label)
                         score = max(score, 1 - edits / len(notice.text))
-                        first = joined.count(b" ", 0, a) - 1
+                        first, seen = first + joined.count(b" ", seen, a), a
                         found.append({"label": notice.label, "first_word": first, "last_word": first + joined.count(b" ", a, b), "edits": edits})
                 row = (doc, n, len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), score)
                 rows.append(row + (found,) * spans)

@@ -40,7 +40,7 @@ def op7_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.license_scan(table(spark, sf_dir, "documents"), spans=False)
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
