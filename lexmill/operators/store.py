@@ -104,16 +104,24 @@ def ensure_table(spark: SparkSession, name: str, chunks: DataFrame, partition: s
 
 
 def swap(frame: DataFrame, path: str) -> None:
-    """Writes the new rows beside the old and moves them in place last, so a failure loses nothing."""
+    """Writes the new rows beside the old, sets the old aside, and deletes them once the new stand in place.
+
+    A failure at any point leaves the old rows or the new at ``path``, or the old at ``path.old`` and the new at
+    ``path.new``; nothing is lost.
+    """
     spark = frame.sparkSession
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path
-    new, old = hadoop(path + ".new"), hadoop(path)
-    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    new, now, old = hadoop(path + ".new"), hadoop(path), hadoop(path + ".old")
+    fs = now.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     frame.write.mode("overwrite").parquet(path + ".new")
-    fs.delete(old, True)
-    if not fs.rename(new, old):
+    if fs.exists(now):
+        fs.delete(old, True)  # what an earlier swap left after it had ended
+        if not fs.rename(now, old):
+            raise OSError(f"{path}: the new rows stay in {path}.new")
+    if not fs.rename(new, now):
+        fs.rename(old, now)
         raise OSError(f"{path}: the new rows stay in {path}.new")
+    fs.delete(old, True)
 
 
 def cached(requests: DataFrame, cache: DataFrame, key: str = "sha256") -> tuple[DataFrame, DataFrame]:

@@ -64,22 +64,22 @@ def ingest_result(spark, sf_dir):
     return store.ingest_result(chunking.chunk_documents(read(spark, sf_dir, "documents")))
 
 
-@query("SELECT doc_id, n::INTEGER AS stretch, CASE WHEN n = 0 THEN NULL ELSE (doc_id % 50)::INTEGER END AS page, CASE WHEN n = 2 THEN source END AS section, length(t)::INTEGER AS n_chars FROM (SELECT doc_id, source, unnest([0, 1, 2]) AS n, unnest([lang, ' ' || substring(text, 1, 40), substring(text, 41, 40)]) AS t FROM documents WHERE length(text) > 60)")
+@query("SELECT doc_id, n::INTEGER AS stretch, CASE WHEN n = 0 THEN NULL ELSE (doc_id % 50)::INTEGER END AS page, CASE WHEN n = 2 THEN source END AS section, length(t)::INTEGER AS n_chars FROM (SELECT doc_id, source, unnest([0, 1, 2]) AS n, unnest([lang, ' ' || text, lang]) AS t FROM documents)")
 def located_stretches(spark, sf_dir):
     """Stretches between location markers with their page and section."""
-    d = read(spark, sf_dir, "documents").where("length(text) > 60")
-    marked = F.concat("lang", F.lit("<!--loc:page="), F.col("doc_id") % 50, F.lit("--> "), F.substring("text", 1, 40), F.lit("<!--loc:section="), "source", F.lit("-->"), F.substring("text", 41, 40))
+    d = read(spark, sf_dir, "documents")
+    marked = F.concat("lang", F.lit("<!--loc:page="), F.col("doc_id") % 50, F.lit("--> "), "text", F.lit("<!--loc:section="), "source", F.lit("-->"), "lang")
     return d.select("doc_id", F.posexplode(chunking.locate(marked)).alias("stretch", "s")).select("doc_id", "stretch", "s.page", "s.section", F.length("s.text").alias("n_chars"))
 
 
 @query(
-    "WITH x AS (SELECT doc_id, source, lang, substring(text, 1, 80) AS t, '[Module: ' || source || ' | Type: ' || lang || ']' AS m FROM documents)"
+    "WITH x AS (SELECT doc_id, source, lang, text AS t, '[Module: ' || source || ' | Type: ' || lang || ']' AS m FROM documents)"
     " SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND starts_with(t, lang) THEN '' WHEN doc_id % 3 = 0 THEN source || ' > ' || lang || ' — ' ELSE '' END || CASE WHEN doc_id % 2 = 0 THEN 'p. ' || (doc_id % 90) || ' ' ELSE CASE WHEN doc_id % 3 = 0 THEN '' ELSE '' END END || m || ' ' || t AS enriched FROM x WHERE doc_id % 3 <> 0"
     " UNION ALL SELECT doc_id, source || ' > ' || lang || CASE WHEN doc_id % 2 = 0 THEN ' — p. ' || (doc_id % 90) ELSE '' END || ' ' || m || ' ' || t FROM x WHERE doc_id % 3 = 0"
 )
 def context_prefix(spark, sf_dir):
     """The text to embed with its trail, page and metadata."""
-    d = read(spark, sf_dir, "documents").withColumn("t", F.substring("text", 1, 80))
+    d = read(spark, sf_dir, "documents").withColumn("t", F.col("text"))
     path = F.when(F.col("doc_id") % 3 == 0, F.array("source", "lang"))
     label = F.when(F.col("doc_id") % 2 == 0, (F.col("doc_id") % 90).cast("string"))
     meta = chunking.metadata_prefix(F.col("source"), F.lit(None).cast("string"), F.lit(""), F.col("lang"))
@@ -105,19 +105,19 @@ def html_strip(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", F.length(t).alias("n_chars"), F.md5(t).alias("text_md5"))
 
 
-_SECTION = "CASE doc_id % 5 WHEN 0 THEN 'Titre' || chr(10) || chr(10) || 'Figure : ' || substring(text, 1, (doc_id % 40)::INTEGER) WHEN 1 THEN 'TABLEAU :  ' || substring(text, 1, (doc_id % 30)::INTEGER) WHEN 2 THEN substring(text, 1, 20) || chr(10) || 'photo © ' || source WHEN 3 THEN '25 mm/s 1 carreau = 0,0' || doc_id ELSE text END"
+_SECTION = "CASE doc_id % 5 WHEN 0 THEN 'Titre' || chr(10) || chr(10) || 'Figure : ' || text WHEN 1 THEN 'TABLEAU :  ' || text WHEN 2 THEN text || chr(10) || 'photo © ' || source WHEN 3 THEN '25 mm/s 1 carreau = 0,0' || doc_id ELSE text END"
 
 
 @query(f"SELECT doc_id, length({sql.informative('t')})::INTEGER AS informative, {sql.empty_section('t')} AS is_empty FROM (SELECT doc_id, {_SECTION} AS t FROM documents)")
 def empty_section_filter(spark, sf_dir):
     """what a section says once packaging and credits are gone."""
     d, i = read(spark, sf_dir, "documents"), F.col("doc_id").cast("int")
-    t = F.when(i % 5 == 0, F.concat(F.lit("Titre\n\nFigure : "), F.expr("substring(text, 1, cast(doc_id % 40 as int))"))).when(i % 5 == 1, F.concat(F.lit("TABLEAU :  "), F.expr("substring(text, 1, cast(doc_id % 30 as int))"))).when(i % 5 == 2, F.concat(F.substring("text", 1, 20), F.lit("\nphoto © "), "source")).when(i % 5 == 3, F.concat(F.lit("25 mm/s 1 carreau = 0,0"), "doc_id")).otherwise(F.col("text"))
+    t = F.when(i % 5 == 0, F.concat(F.lit("Titre\n\nFigure : "), "text")).when(i % 5 == 1, F.concat(F.lit("TABLEAU :  "), "text")).when(i % 5 == 2, F.concat("text", F.lit("\nphoto © "), "source")).when(i % 5 == 3, F.concat(F.lit("25 mm/s 1 carreau = 0,0"), "doc_id")).otherwise(F.col("text"))
     d = d.select("doc_id", t.alias("t"))
     return d.select("doc_id", F.length(tx.informative(F.col("t"))).alias("informative"), tx.is_empty_section(F.col("t")).alias("is_empty"))
 
 
-_ASKED = "CASE doc_id % 6 WHEN 0 THEN 'Quelle CLASSIFICATION ' WHEN 1 THEN 'conduite à tenir ' WHEN 2 THEN 'quels critères ' WHEN 3 THEN 'Points à retenir ' ELSE '' END || substring(text, 1, 60)"
+_ASKED = "CASE doc_id % 6 WHEN 0 THEN 'Quelle CLASSIFICATION ' WHEN 1 THEN 'conduite à tenir ' WHEN 2 THEN 'quels critères ' WHEN 3 THEN 'Points à retenir ' ELSE '' END || text"
 
 
 @query(
@@ -127,17 +127,17 @@ _ASKED = "CASE doc_id % 6 WHEN 0 THEN 'Quelle CLASSIFICATION ' WHEN 1 THEN 'cond
 def boosted_kind(spark, sf_dir):
     """the kind of chunk a question asks for."""
     n = F.col("doc_id") % 6
-    t = F.concat(F.when(n == 0, "Quelle CLASSIFICATION ").when(n == 1, "conduite à tenir ").when(n == 2, "quels critères ").when(n == 3, "Points à retenir ").otherwise(""), F.substring("text", 1, 60))
+    t = F.concat(F.when(n == 0, "Quelle CLASSIFICATION ").when(n == 1, "conduite à tenir ").when(n == 2, "quels critères ").when(n == 3, "Points à retenir ").otherwise(""), "text")
     return read(spark, sf_dir, "documents").select("doc_id", tx.boosted_kind(t).alias("kind"))
 
 
 @query(
     rf"SELECT doc_id, substring(regexp_replace({sql.strip(r'''regexp_replace(t, '[^a-zA-Z0-9\-\x{09}-\x{0D}\x{20}]', '', 'g')''')}, '(-|{tx.SPACE})+', '_', 'g'), 1, 60) AS slug,"
-    rf" regexp_replace(regexp_replace(lower(t), 'n[°0o]', '', 'g'), '[^a-z0-9]', '', 'g') AS key, md5(lower(regexp_replace(text, '{tx.SPACE}+', '', 'g'))) AS bare_md5 FROM (SELECT doc_id, text, '**Cas n° ' || doc_id || '** ' || substring(text, 1, 90) AS t FROM documents)"
+    rf" regexp_replace(regexp_replace(lower(t), 'n[°0o]', '', 'g'), '[^a-z0-9]', '', 'g') AS key, md5(lower(regexp_replace(text, '{tx.SPACE}+', '', 'g'))) AS bare_md5 FROM (SELECT doc_id, text, '**Cas n° ' || doc_id || '** ' || text AS t FROM documents)"
 )
 def text_keys(spark, sf_dir):
     """Normal forms of a text."""
-    t = F.concat(F.lit("**Cas n° "), "doc_id", F.lit("** "), F.substring("text", 1, 90))
+    t = F.concat(F.lit("**Cas n° "), "doc_id", F.lit("** "), "text")
     return read(spark, sf_dir, "documents").select("doc_id", tx.slug(t).alias("slug"), tx.normal_key(t).alias("key"), F.md5(tx.bare(F.col("text"))).alias("bare_md5"))
 
 
@@ -146,12 +146,12 @@ def text_keys(spark, sf_dir):
 _COS = "round(list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6)"
 
 
-@query(f"WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, {_COS} AS score FROM embeddings q JOIN embeddings c ON q.label = c.label WHERE q.vec_id % 25 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS n FROM s) SELECT query_id, n::INTEGER AS rank, chunk_id, score FROM k WHERE n <= 5")
+@query(f"WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, {_COS} AS score FROM embeddings q JOIN embeddings c ON q.label = c.label WHERE q.vec_id % 20 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS n FROM s) SELECT query_id, n::INTEGER AS rank, chunk_id, score FROM k WHERE n <= 5")
 def vector_topk_filtered(spark, sf_dir):
     """Exact cosine top-k, the filter applied before ranking."""
     e = read(spark, sf_dir, "embeddings")
     chunks = e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), "label")
-    queries = e.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), F.col("label").alias("wanted"))
+    queries = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), F.col("label").alias("wanted"))
     return retrieval.search(chunks, queries, 5, F.col("label") == F.col("wanted")).select("query_id", F.col("rank").cast("int").alias("rank"), "chunk_id", "score")
 
 
@@ -181,16 +181,16 @@ def _retrieval_sql(top_k: int, every: int) -> str:
     )
 
 
-@query(_retrieval_sql(5, 40) + " SELECT query_id, rank::INTEGER AS rank, parent_id, chunk_id, kind, score FROM r")
+@query(_retrieval_sql(5, 20) + " SELECT query_id, rank::INTEGER AS rank, parent_id, chunk_id, kind, score FROM r")
 def retrieve_parents(spark, sf_dir):
     """Over-fetch, kind branch, best child for its parent, pool, cut."""
-    return _retrieval(spark, sf_dir, 5, 40).select("query_id", F.col("rank").cast("int").alias("rank"), "parent_id", "chunk_id", "kind", "score")
+    return _retrieval(spark, sf_dir, 5, 20).select("query_id", F.col("rank").cast("int").alias("rank"), "parent_id", "chunk_id", "kind", "score")
 
 
-@query(_retrieval_sql(3, 40) + ", g AS (SELECT *, query_id // 200 AS batch FROM r), o AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY batch, parent_id ORDER BY rank, query_id) = 1) SELECT batch, row_number() OVER (PARTITION BY batch ORDER BY rank, query_id)::INTEGER AS position, query_id, parent_id, chunk_id, score FROM o QUALIFY row_number() OVER (PARTITION BY batch ORDER BY rank, query_id) <= 8")
+@query(_retrieval_sql(3, 20) + ", g AS (SELECT *, query_id // 200 AS batch FROM r), o AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY batch, parent_id ORDER BY rank, query_id) = 1) SELECT batch, row_number() OVER (PARTITION BY batch ORDER BY rank, query_id)::INTEGER AS position, query_id, parent_id, chunk_id, score FROM o QUALIFY row_number() OVER (PARTITION BY batch ORDER BY rank, query_id) <= 8")
 def retrieve_many_round_robin(spark, sf_dir):
     """T4: several queries' parents by rank, then query; each parent once."""
-    ranked = _retrieval(spark, sf_dir, 3, 40).withColumn("batch", F.floor(F.col("query_id") / 200).cast("long"))
+    ranked = _retrieval(spark, sf_dir, 3, 20).withColumn("batch", F.floor(F.col("query_id") / 200).cast("long"))
     return retrieval.round_robin(ranked, 8, "query_id", group=["batch"]).select("batch", F.col("position").cast("int").alias("position"), "query_id", "parent_id", "chunk_id", "score")
 
 
@@ -567,13 +567,13 @@ def _responses(spark, sf_dir):
     none = F.lit(None).cast("string")
     block = lambda kind, content, image, table, *b: F.struct(s(kind).alias("type"), s(content).alias("content"), image.alias("image_id"), table.alias("table_id"), *box(*b))
     first = F.get(F.split("text", "\n"), F.lit(0))
-    markdown = F.concat(F.lit("# "), "source", F.lit("\n"), "text", F.lit("\nDoses usuelles\n[t](tbl-0)\n![f](img-0)\nAttention aux "), "lang", F.lit(" sujets fragiles\n"), (F.col("doc_id") % 100).cast("string"))
+    markdown = F.concat(F.lit("# "), "source", F.lit("\n"), "text", F.lit("\nDoses usuelles\n[t](tbl-0)\n![f](img-0)\nAttention aux "), "lang", F.lit(" sujets fragiles\n"), (F.col("doc_id") % 90 + 10).cast("string"))
     note = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('{"figure_type": "box", "transcribed_text": "Encadré '), "lang", F.lit('", "description": "schéma"}')))
     image = F.struct(F.lit("img-0").alias("id"), none.alias("image_base64"), note.alias("image_annotation"), *box(10, 400, 500, 800))
     page = F.struct(
         F.lit(0).alias("index"), markdown.alias("markdown"), none.alias("header"), none.alias("footer"), F.struct(F.lit(1000.0).alias("width"), F.lit(2000.0).alias("height")).alias("dimensions"),
         F.struct(F.lit(0.9).alias("average_page_confidence_score"), F.lit(0.5).alias("minimum_page_confidence_score")).alias("confidence_scores"),
-        F.array(block("title", F.col("source"), none, none, 0, 0, 900, 50), block("text", first, none, none, 0, 60, 900, 300), block("table", "[t](tbl-0)", none, none, 0, 310, 900, 390), block("image", "x", F.lit("img-0"), none, 10, 400, 500, 800), block("footer", (F.col("doc_id") % 100).cast("string"), none, none, 400, 1900, 500, 1950)).alias("blocks"),
+        F.array(block("title", F.col("source"), none, none, 0, 0, 900, 50), block("text", first, none, none, 0, 60, 900, 300), block("table", "[t](tbl-0)", none, none, 0, 310, 900, 390), block("image", "x", F.lit("img-0"), none, 10, 400, 500, 800), block("footer", (F.col("doc_id") % 90 + 10).cast("string"), none, none, 400, 1900, 500, 1950)).alias("blocks"),
         F.array(F.struct(F.lit("tbl-0").alias("id"), F.concat(F.lit("<table><tr><td>"), "lang", F.lit("</td><td>5 mg</td></tr></table>")).alias("content"))).alias("tables"), F.array(image).alias("images"),
     )
     raw = F.to_json(F.struct(F.struct(F.lit(0).alias("pages_processed")).alias("usage_info"), F.array(page).alias("pages")))
@@ -581,12 +581,12 @@ def _responses(spark, sf_dir):
 
 
 @query(
-    "SELECT doc_id, (doc_id % 100)::VARCHAR AS label, 5::INTEGER AS regions, '<table><tr><td>' || lang || '</td><td>5 mg</td></tr></table>' AS table_html, CASE WHEN doc_id % 2 = 0 THEN 'Encadré ' || lang END AS transcribed, 0.098::DOUBLE AS figure_area,"
-    " length('# ' || source || chr(10) || text || chr(10) || 'Doses usuelles' || chr(10) || '[t](tbl-0)' || chr(10) || '![f](img-0)' || chr(10) || 'Attention aux ' || lang || ' sujets fragiles')::INTEGER AS n_chars FROM documents WHERE doc_id % 100 > 9"
+    "SELECT doc_id, (doc_id % 90 + 10)::VARCHAR AS label, 5::INTEGER AS regions, '<table><tr><td>' || lang || '</td><td>5 mg</td></tr></table>' AS table_html, CASE WHEN doc_id % 2 = 0 THEN 'Encadré ' || lang END AS transcribed, 0.098::DOUBLE AS figure_area,"
+    " length('# ' || source || chr(10) || text || chr(10) || 'Doses usuelles' || chr(10) || '[t](tbl-0)' || chr(10) || '![f](img-0)' || chr(10) || 'Attention aux ' || lang || ' sujets fragiles')::INTEGER AS n_chars FROM documents"
 )
 def ocr_pages(spark, sf_dir):
     """Pages and regions of responses."""
-    p = ocr.parse_response(_responses(spark, sf_dir).where("doc_id % 100 > 9"))
+    p = ocr.parse_response(_responses(spark, sf_dir))
     at = lambda i: F.get("regions", F.lit(i))
     return p.select("doc_id", "label", F.size("regions").alias("regions"), at(2)["html"].alias("table_html"), at(3)["transcribed"].alias("transcribed"), F.round(ocr.area(at(3)), 6).alias("figure_area"), F.length("markdown").alias("n_chars"))
 
@@ -644,12 +644,12 @@ def annotation_batches(spark, sf_dir):
     return read(spark, sf_dir, "orders").groupBy("o_custkey").agg(item.alias("p")).select("o_custkey", F.size(ocr.annotation_batches(F.col("p"))).alias("calls"))
 
 
-@query("SELECT lang, 'diagram' AS figure_type, string_agg(source, chr(10) ORDER BY doc_id) AS transcribed_text, string_agg(doc_id::VARCHAR, ' ' ORDER BY doc_id) AS description FROM documents WHERE doc_id < 100 GROUP BY lang")
+@query("SELECT lang, (doc_id // 100)::BIGINT AS part, 'diagram' AS figure_type, string_agg(source, chr(10) ORDER BY doc_id) AS transcribed_text, string_agg(doc_id::VARCHAR, ' ' ORDER BY doc_id) AS description FROM documents GROUP BY lang, doc_id // 100")
 def combined_annotations(spark, sf_dir):
     """Parts of one region's annotation fused."""
-    d = read(spark, sf_dir, "documents").where("doc_id < 100").groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("doc_id", "source"))).alias("x"))
+    d = read(spark, sf_dir, "documents").groupBy("lang", F.floor(F.col("doc_id") / 100).cast("long").alias("part")).agg(F.sort_array(F.collect_list(F.struct("doc_id", "source"))).alias("x"))
     fused = ocr.combine_annotations(F.transform("x", lambda x: x["source"]), F.transform("x", lambda x: x["doc_id"].cast("string")), F.transform("x", lambda x: F.lit("")))
-    return d.select("lang", fused.alias("f")).select("lang", "f.*")
+    return d.select("lang", "part", fused.alias("f")).select("lang", "part", "f.*")
 
 
 # ── sources ──

@@ -1,5 +1,7 @@
 """Every registered query of the core: equal to its DuckDB twin, or at least well formed."""
 
+import numbers
+
 import duckdb
 import pandas as pd
 import pytest
@@ -20,9 +22,9 @@ def duck():
 
 def plain(frame: pd.DataFrame) -> list[tuple]:
     def cell(v):
-        if v is None or v is pd.NaT or isinstance(v, float) and v != v:
+        if pd.api.types.is_scalar(v) and pd.isna(v):
             return ""
-        return f"{v:.6f}" if isinstance(v, float) else str(v)
+        return f"{v:.6f}" if isinstance(v, numbers.Real) and not isinstance(v, bool) else str(v)
 
     frame = frame[sorted(frame.columns)]
     return sorted(tuple(map(cell, row)) for row in frame.itertuples(index=False))
