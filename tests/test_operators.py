@@ -278,26 +278,37 @@ def test_embed_wants_a_vector_for_each_text(spark):
 # ── OCR ──
 
 
-def page(markdown, regions=(), index=0):
-    base = {"id": None, "type": "text", "text": "", "html": None, "transcribed": None, "caption_hint": None, "x0": 0.0, "y0": 0.0, "x1": 1.0, "y1": 1.0}
-    return {"index": index, "label": None, "markdown": markdown, "regions": [base | r for r in regions]}
+REGION = "id string, type string, text string, html string, transcribed string, caption_hint string, figure_type string, image_base64 string, x0 double, y0 double, x1 double, y1 double"
 
 
-def test_walk_trail_captions_and_regions():
-    pages = [
-        page("# A\nune phrase assez longue ici\n### B\nencore une phrase assez longue\n## C\nDoses du produit étudié ici\n[t](t1)\n![f](f1)\n![f](f2)", [{"id": "t1", "type": "table", "html": "<b>x</b>"}, {"id": "f1", "type": "image"}, {"id": "f2", "type": "image", "transcribed": "lu", "caption_hint": "h"}, {"text": "une phrase assez longue ici et plus", "x0": 0.1, "y1": 0.5}]),
-        page("Attention aux sujets fragiles et âgés\nsuite de la ligne", index=1),
-    ]
-    got = list(ocr.walk(pages))
+def ocr_page(markdown, regions=(), index=0, doc=1):
+    base = {"id": None, "type": "text", "text": "", "html": None, "transcribed": None, "caption_hint": None, "figure_type": None, "image_base64": None, "x0": 0.0, "y0": 0.0, "x1": 1.0, "y1": 1.0}
+    return (doc, index, None, markdown, [tuple((base | r).values()) for r in regions])
+
+
+def ocr_parents(spark, *pages):
+    fields = ", ".join(f.replace(" ", ": ") for f in REGION.split(", "))
+    frame = spark.createDataFrame(list(pages), f"doc_id long, index int, label string, markdown string, regions array<struct<{fields}>>")
+    return ocr.ocr_parents(frame).orderBy("doc_id", "parent_index").collect()
+
+
+def test_parents_trail_captions_and_regions(spark):
+    got = ocr_parents(
+        spark,
+        ocr_page("# A\nune phrase assez longue ici\n### B\nencore une phrase assez longue\n## C\nDoses du produit étudié ici\n[t](t1)\n![f](f1)\n![f](f2)", [{"id": "t1", "type": "table", "html": "<b>x</b>"}, {"id": "f1", "type": "image"}, {"id": "f2", "type": "image", "transcribed": "lu", "caption_hint": "h"}, {"text": "une phrase assez longue ici et plus", "x0": 0.1, "y1": 0.5}]),
+        ocr_page("Attention aux sujets fragiles et âgés\nsuite de la ligne", index=1),
+    )
     assert [(p["kind"], p["section_path"], p["page"]) for p in got] == [("prose", ["A"], 1), ("prose", ["A", "B"], 1), ("prose", ["A", "C"], 1), ("table", ["A", "C"], 1), ("callout", ["A", "C"], 1), ("callout", ["A", "C"], 2)]
-    assert got[0]["bbox"] == [0.1, 0.0, 1.0, 0.5] and got[3]["text"] == "A > C\n\nTableau : Doses du produit étudié ici\n\n<b>x</b>" and got[4]["text"] == "A > C\n\nFigure : h\n\nlu"
+    assert got[0]["bbox"] == [0.1, 0.0, 1.0, 0.5] and got[3]["parent_text"] == "A > C\n\nTableau : Doses du produit étudié ici\n\n<b>x</b>" and got[4]["parent_text"] == "A > C\n\nFigure : h\n\nlu"
 
 
-def test_consolidate_limits():
-    prose = lambda n, at=1: {"kind": "prose", "page": at, "section_path": ["S"], "text": "S\n\n" + "x" * n}
-    assert len(ocr.consolidate([prose(297), prose(1397)])) == 2
-    assert ocr.consolidate([prose(297), prose(197)])[0]["text"] == "S\n\n" + "x" * 297 + "\n\n" + "x" * 197
-    assert len(ocr.consolidate([prose(50), prose(50, 2)])) == 2
+def test_merge_limits(spark):
+    # headings of one title end a piece; what follows has the same trail
+    text = lambda *sizes: "\n".join("# S\n" + "x" * n for n in sizes)
+    got = ocr_parents(spark, ocr_page(text(297, 1397)), ocr_page(text(297, 197), doc=2), ocr_page(text(50), doc=3), ocr_page(text(50), index=1, doc=3), ocr_page("y" * 1700 + "\n" + "z" * 10 + "\n![f](u)\n" + "z" * 12, doc=4))
+    by = {d: [p["parent_text"] for p in got if p["doc_id"] == d] for d in (1, 2, 3, 4)}
+    assert len(by[1]) == 2 and by[2] == ["S\n\n" + "x" * 297 + "\n\n" + "x" * 197] and len(by[3]) == 2
+    assert by[4] == ["y" * 1700, "z" * 10 + "\n" + "z" * 12]
 
 
 def test_annotations_are_taken_once(spark):
