@@ -363,6 +363,16 @@ def test_ingest_stream_is_idempotent(spark, tmp_path):
     assert rows.where("source = 'a'").where("text LIKE '%first%'").count() == 0
 
 
+def test_ingest_stream_keeps_a_sources_other_documents(spark, tmp_path):
+    kind = "doc_id long, source string, text string"
+    src, target = str(tmp_path / "in"), str(tmp_path / "out")
+    for rows in ([(1, "a", "one. " * 100), (2, "a", "two. " * 100)], [(2, "a", "new. " * 100), (3, "b", "three. " * 100)]):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(src)
+        ingest.ingest_stream(spark, src, kind, target, str(tmp_path / "cp")).awaitTermination()
+    got = {(r.source, r.doc_id, r.text[:4]) for r in spark.read.parquet(target).collect()}
+    assert got == {("a", 1, "one."), ("a", 2, "new."), ("b", 3, "thre")}
+
+
 def test_case_memory():
     assert ingest.remember("Patient de 60 ans.\n1. Quelle ?", "") == (True, "Patient de 60 ans.")
     assert ingest.remember("Bilan : ASAT 40\n3. Quelle ?", "Patient") == (False, "Patient\n\nBilan : ASAT 40")
