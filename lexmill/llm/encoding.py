@@ -159,9 +159,11 @@ def encode_decode(docs: DataFrame, path: str | None = None, leaf_chars: int = LE
     # the leaves of the halving, in the JVM: 2^depth parts whose borders halve the length again and again
     long = both.where(F.length("text") > leaf_chars).withColumn("_row", F.monotonically_increasing_id())
     depth = F.ceil(F.log2(F.length("text") / F.lit(float(leaf_chars)))).cast("int")
-    long = long.withColumn("_n", F.shiftleft(F.lit(1), 0) * F.pow(F.lit(2), depth).cast("int")).withColumn("_leaf", F.explode(F.expr("sequence(0, _n - 1)")))
-    lo, hi = F.floor(F.length("text") * F.col("_leaf") / F.col("_n")).cast("int"), F.floor(F.length("text") * (F.col("_leaf") + 1) / F.col("_n")).cast("int")
-    long = long.select("_row", "doc_id", F.col("_leaf").cast("int").alias("_leaf"), F.substring("text", lo + 1, hi - lo).alias("_text"))
+    long = long.withColumn("_n", F.pow(F.lit(2), depth).cast("long"))
+    border = lambda k: F.floor(F.length("text").cast("long") * k / F.col("_n")).cast("int")
+    # all leaves of a row are cut at once: the rows that are dealt out carry a leaf each, never the text
+    cut = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1), lambda k: F.substring("text", border(k) + 1, border(k + 1) - border(k)))
+    long = long.select("_row", "doc_id", F.posexplode(cut).alias("_leaf", "_text"))
     long = long.repartition("_row", "_leaf").mapInArrow(leaves, "_row long, doc_id long, _leaf int, _text string, _chars array<int>, _counts array<int>, _ids binary")
     whole = long.groupBy("_row").applyInPandas(together, schema)
     return both.where(F.length("text") <= leaf_chars).select("doc_id", "text").mapInArrow(short, schema).unionByName(whole)

@@ -50,6 +50,14 @@ def test_encode_decode_rows(spark, monkeypatch):
     assert encoding.encode_decode(docs.limit(0)).count() == 0
 
 
+def test_leaf_borders_of_a_long_text(spark):
+    # characters times leaves go beyond 32 bits
+    text = "".join(random.Random(9).choice("aé中 z🙂") for _ in range(100_000))
+    ids = Tokenizer.from_file(bpe.public_path(encoding.VOCABULARY)).encode(text, add_special_tokens=False).ids
+    got = encoding.encode_decode(spark.createDataFrame([(1, text)], "doc_id long, text string"), leaf_chars=4, ids=True).collect()
+    assert [r.ids for r in got] == [ids]
+
+
 def test_packing_rows(spark):
     library = Tokenizer.from_file(bpe.public_path(packing.VOCABULARY))
     docs = spark.createDataFrame(EDGE_ROWS, EDGE_SCHEMA)
