@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import checkpointed, sized
+from lexmill.llm.common import checkpointed, let, sized
 
 #: Later copies of runs with at least so many words are removed.
 MIN_WORDS = 50
@@ -106,8 +106,13 @@ def without_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFr
     repeated rows are handled like others: of rows equal in id and text the first keeps its lines. Clashing names do
     no harm: ``docs``' other columns pass through in a struct. An empty table gives no rows.
     """
-    spans = F.array_sort(F.collect_set(F.struct("start", "end")))
-    runs = checkpointed(repeated_runs(docs, min_words).groupBy("key", "copy").agg(spans.alias("spans")))
+    # overlapping windows are joined to disjoint spans first, so that a text's spans hold each of its lines once at most
+    own = Window.partitionBy("key", "copy").orderBy("start", "end")
+    before = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.when(F.col("start") > F.coalesce(before, F.lit(-1)), 1).otherwise(0)
+    spans = repeated_runs(docs, min_words).select("key", "copy", "start", "end").distinct().withColumn("begins", begins)
+    spans = spans.withColumn("span", F.sum("begins").over(own)).groupBy("key", "copy", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    runs = checkpointed(spans.groupBy("key", "copy").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
     names = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     packed = packed.withColumn("_key", _key()).drop("doc_id")
@@ -122,7 +127,8 @@ def without_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFr
     runs = sized(runs)
     out = packed.join(runs, (F.col("_key") == F.col("key")) & (F.col("_copy") == F.col("copy")), "left")
     lines = F.split("text", "\n", -1)
-    left = F.filter(lines, lambda _, i: ~F.exists(F.col("spans"), lambda s: (i >= s["start"]) & (i < s["end"])))
+    gone = F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["end"] - 1)))
+    left = let(lines, lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), gone), lambda i: F.get(x, i)))
     text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     out = out.withColumn("_text", text)
     removed = F.when(F.col("spans").isNull(), 0).otherwise(F.size(lines) - F.size(left)).cast("long")

@@ -121,6 +121,20 @@ def test_copies_and_edge_rows(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r[0] for r in EDGE_ROWS if r[0] != 8)
 
 
+def test_texts_lose_the_union_of_their_runs(spark):
+    rnd = random.Random(12)
+    rows = [(i, "\n".join(rnd.choice(["a b c", "d e", "", "f g h i", "k"]) for _ in range(rnd.randrange(1, 60)))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = {}
+    for r in linededup.repeated_runs(docs, 6).join(docs.select("doc_id", linededup._key().alias("key")), "key").collect():
+        gone.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+    assert len(gone) > 40
+    for r in linededup.without_repeated_runs(docs, 6).collect():
+        lines = dict(rows)[r.doc_id].split("\n")
+        assert r.text == "\n".join(x for i, x in enumerate(lines) if i not in gone.get(r.doc_id, ()))
+        assert r.removed_lines == len(gone.get(r.doc_id, ()))
+
+
 def brute_topk(rows, k=10):
     fine = [(i, v) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     x = [[int(np.floor(1024 * float(c))) for c in v] for _, v in fine]
