@@ -12,9 +12,10 @@ SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A line is boilerplate in more than this many distinct texts of a host, and in more than this share of them.
-LINE_DOCS = 50
-LINE_SHARE = 0.005
+#: A line is boilerplate in more than this share of a host's distinct texts. The count only guards against chance in
+#: hosts of a few hundred texts: beyond them the share alone decides, whatever the host's size.
+LINE_DOCS = 5
+LINE_SHARE = 0.01
 #: A document is depleted if less than this share of its words is outside boilerplate lines.
 LEAST_LEFT = 0.2
 
@@ -93,14 +94,15 @@ def kept_documents(docs: DataFrame, **limits) -> DataFrame:
     Where lines went, a column n_chars gets the text's new length. The rejected rows' keys are anti-joined, the removed
     lines' hashes joined: broadcast when counted few, else by a shuffle.
     """
-    key = lambda host, text_hash: F.xxhash64("doc_id", host, text_hash)
-    verdict = checkpointed(line_frequency_rules(docs, **limits).select(key("host", "text_hash").alias("_key"), "kept", "removed_lines"))
-    host = F.col(f"`{limits.get('host', 'source')}`").cast("string")
-    gone = sized(checkpointed(verdict.where(~F.col("kept")).select("_key").distinct()))
-    cut = verdict.where("kept AND removed_lines IS NOT NULL").select("_key", F.col("removed_lines").alias("_cut")).dropDuplicates(["_key"])
+    key = {"_id": F.col("doc_id"), "_host": F.col("host"), "_hash": F.col("text_hash")}
+    verdict = checkpointed(line_frequency_rules(docs, **limits).select(*[c.alias(k) for k, c in key.items()], "kept", "removed_lines"))
+    gone = sized(checkpointed(verdict.where(~F.col("kept")).select(*key).distinct()))
+    cut = verdict.where("kept AND removed_lines IS NOT NULL").select(*key, F.col("removed_lines").alias("_cut")).dropDuplicates(list(key))
     cut = sized(checkpointed(cut))
-    marked = docs.withColumn("_key", key(host, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))))
-    out = marked.join(gone, "_key", "left_anti").join(cut, "_key", "left")
+    text_hash = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    host = F.col(f"`{limits.get('host', 'source')}`").cast("string")
+    mine = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & host.eqNullSafe(F.col("_host")) & (text_hash == F.col("_hash"))
+    out = docs.join(gone, mine, "left_anti").join(cut, mine, "left")
     some = F.col("_cut").isNotNull()
     out = out.withColumn("text", F.when(some, without_lines(F.col("text").cast("string"), F.col("_cut"))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
