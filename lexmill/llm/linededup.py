@@ -1,10 +1,12 @@
 """Removal of repeated line runs by a suffix array over line ids, built by distributed prefix doubling.
 
-A line's id is a 64-bit hash of its exact text. Suffixes that start with a line that occurs once are left out at once:
-no repeated run holds them. The others are ranked by their first line, then again and again by twice as many lines: the
-pair of a suffix's rank and the rank of the suffix as many lines further on. Ranks are gapped places in the suffix
-array: a group of suffixes that agree so far is a longest-common-prefix interval, spread over new ranks in the order of
-their second halves. Suffixes leave once nothing else begins with their lines.
+A line is told by two 64-bit hashes of its exact text, a row by the 128 bits of its id and text. Suffixes that start
+with a line that occurs once are left out at once: no repeated run holds them. The others are ranked by their first
+line, then again and again by twice as many lines: the pair of a suffix's rank and the rank of the suffix as many lines
+further on. A rank is a gapped place in the suffix array, the number of suffixes in groups before its own, so two groups
+never share one: a group of suffixes that agree so far is a longest-common-prefix interval, spread over its own places
+in the order of their second halves. Suffixes leave once nothing else begins with their lines. The groups behind one
+common line are counted by parts of the places first, so no task holds all that follows it.
 
 A run of any length that reaches the least words is the union of least windows: those that reach the words from a first
 line with as few lines as possible, and those that reach them up to a last line. Every one of them has its own earlier
@@ -15,7 +17,7 @@ last so many lines. The rounds end when no least window is longer.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import checkpointed, let, sized
@@ -23,30 +25,49 @@ from lexmill.llm.common import checkpointed, let, sized
 #: Later copies of runs with at least so many words are removed.
 MIN_WORDS = 50
 SPACE = r"[\x20\x09-\x0D]+"
+#: Parts of the suffix array's places that what follows one group is counted by.
+PARTS = 4_096
 
 
-def _key():
-    return F.xxhash64(F.lit("row"), F.col("doc_id"), F.col("text"))
+def _key() -> Column:
+    """128 bits of a row's id and text; null for a null text."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), F.col("text"))))
+
+
+def _with_place(groups: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """``groups`` with before: the sum of n over those ahead of it under the same ``by``, in the order of part, then ``order``.
+
+    Parts are summed first: a window holds the parts of one ``by``, or the groups of one part.
+    """
+    groups = checkpointed(groups)
+    ahead = lambda n, w: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = groups.groupBy(*by, "part").agg(F.sum("n").alias("_n"))
+    parts = checkpointed(parts.withColumn("_ahead", ahead("_n", Window.partitionBy(*by).orderBy("part"))).drop("_n"))
+    own = groups.withColumn("before", ahead("n", Window.partitionBy(*by, "part").orderBy(*order)))
+    return own.join(sized(parts), [*by, "part"]).withColumn("before", F.col("before") + F.col("_ahead")).drop("_ahead", "part")
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """key, copy, start, end, source_doc_id, source_start: the least windows of ``min_words`` (1 at least) words with an earlier copy.
 
-    Their union is that of all runs of so many words, of any length, that occur earlier. ``key`` is a hash of a row's id
+    Their union is that of all runs of so many words, of any length, that occur earlier. ``key`` stands for a row's id
     and text, ``copy`` counts rows that are equal in both (from 0); ``start`` and ``end`` are lines from 0, end excluded.
     Earlier means: smaller doc_id (nulls first), then key, copy and line; the source is the earliest copy.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     # rows equal in id and text are one row with a count, so that their copies need no order among the texts
-    lines = F.transform(F.split("text", "\n", -1), lambda x: F.struct(F.xxhash64(x).alias("id"), F.size(F.filter(F.split(x, SPACE), lambda w: w != "")).alias("w")))
+    lines = F.transform(F.split("text", "\n", -1), lambda x: F.struct(F.xxhash64(x).alias("id"), F.xxhash64(F.lit(1), x).alias("check"), F.size(F.filter(F.split(x, SPACE), lambda w: w != "")).alias("w")))
     rows = checkpointed(rows.select("doc_id", _key().alias("key"), lines.alias("lines")).groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("lines").alias("lines"), F.count("*").alias("times")))
     each = rows.select("doc_id", "key", F.explode(F.sequence(F.lit(0), (F.col("times") - 1).cast("int"))).alias("copy"), "lines")
-    each = each.select("doc_id", "key", "copy", F.posexplode("lines").alias("line", "x")).select("doc_id", "key", "copy", "line", F.col("x.id").alias("rank"), F.col("x.w").cast("long").alias("w"))
+    each = each.select("doc_id", "key", "copy", F.posexplode("lines").alias("line", "x")).select("doc_id", "key", "copy", "line", "x.id", "x.check")
 
-    often = sized(checkpointed(each.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1").drop("n")))
-    windows = checkpointed(_least_windows(rows, min_words).join(often, "rank", "left_semi"))
+    often = checkpointed(each.groupBy("id", "check").agg(F.count("*").alias("n")).where("n > 1"))
+    places = often.agg(F.sum("n")).first()[0] or 0
+    often = _with_place(often.withColumn("part", F.shiftright("id", 48)), [], ["id", "check"]).drop("n").withColumnRenamed("before", "rank")
+    often = sized(checkpointed(often))
+    windows = checkpointed(_least_windows(rows, min_words).join(often, ["id", "check"], "left_semi").drop("id", "check"))
     longest = windows.agg(F.max("size")).first()[0] or 0
-    now, size, found = checkpointed(each.drop("w").join(often, "rank", "left_semi")), 1, None
+    now, size, found = checkpointed(each.join(often, ["id", "check"]).drop("id", "check")), 1, None
     while True:
         copies = _later_copies(now, windows, size)
         found = copies if found is None else found.unionByName(copies)
@@ -54,10 +75,9 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             return found
         second = now.select("key", "copy", (F.col("line") - size).alias("line"), F.col("rank").alias("second"))
         pairs = checkpointed(now.join(second, ["key", "copy", "line"]))
-        groups = pairs.groupBy("rank", "second").agg(F.count("*").alias("n"))
-        # groups, not suffixes, meet in the window: a common line's followers are summed before
-        before = F.sum("n").over(Window.partitionBy("rank").orderBy("second").rowsBetween(Window.unboundedPreceding, -1))
-        groups = groups.withColumn("next", F.col("rank") + F.coalesce(before, F.lit(0))).where("n > 1").drop("n")
+        # groups, not suffixes, are put in order: a common line's followers are summed before
+        groups = pairs.groupBy("rank", "second").agg(F.count("*").alias("n")).withColumn("part", F.expr(f"second div {places // PARTS + 1}"))
+        groups = _with_place(groups, ["rank"], ["second"]).withColumn("next", F.col("rank") + F.col("before")).where("n > 1").drop("n", "before")
         now = checkpointed(pairs.join(groups, ["rank", "second"]).select("doc_id", "key", "copy", "line", F.col("next").alias("rank")))
         if now.isEmpty():
             return found
@@ -65,13 +85,13 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def _least_windows(rows: DataFrame, min_words: int) -> DataFrame:
-    """key, rank (the id of one of its lines), line, size: the fewest lines with ``min_words`` words from a line on, and up to a line.
+    """key, id and check (of one of its lines), line, size: the fewest lines with ``min_words`` words from a line on, and up to a line.
 
     Words are counted within a document, so its own lines meet and copies of a row have the same windows.
     """
     total = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["w"])
     each = rows.select("key", F.size("lines").alias("n"), total.alias("total"), F.posexplode("lines").alias("line", "x"))
-    each = each.select("key", "n", "total", "line", F.col("x.id").alias("rank"), F.col("x.w").cast("long").alias("w"))
+    each = each.select("key", "n", "total", "line", "x.id", "x.check", F.col("x.w").cast("long").alias("w"))
     own = Window.partitionBy("key")
     each = each.withColumn("to", F.sum("w").over(own.orderBy("line"))).withColumn("from", F.col("to") - F.col("w"))
     # a window ends where the first line stands that has enough words between the window's start and itself
@@ -85,12 +105,12 @@ def _least_windows(rows: DataFrame, min_words: int) -> DataFrame:
     # one that would be short of words without its last line is among the first kind
     other = (F.col("start") < F.col("line")) & (F.col("from") - F.col("skipped") >= min_words)
     last = F.when(other, F.struct(F.col("start").alias("line"), (F.col("line") + 1 - F.col("start")).alias("size")))
-    return each.select("key", "rank", F.inline(F.array_compact(F.array(first, last))))
+    return each.select("key", "id", "check", F.inline(F.array_compact(F.array(first, last))))
 
 
 def _later_copies(suffixes: DataFrame, windows: DataFrame, size: int) -> DataFrame:
     """Of the least windows of ``size`` to 2 ``size`` - 1 lines those that occur earlier; ``suffixes`` are ranked by ``size`` lines."""
-    some = windows.where(F.col("size").between(size, 2 * size - 1)).drop("rank").join(suffixes, ["key", "line"])
+    some = windows.where(F.col("size").between(size, 2 * size - 1)).join(suffixes, ["key", "line"])
     some = some.withColumn("tail", F.col("line") + F.col("size") - size)
     tails = suffixes.select("key", "copy", F.col("line").alias("tail"), F.col("rank").alias("second"))
     some = checkpointed(some.join(tails, ["key", "copy", "tail"]))
