@@ -13,6 +13,8 @@ from lexmill.llm.common import BROADCAST_BYTES, checkpointed, sized
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: Longest context of the models, in bytes.
 ORDER = 4
+#: One of so many addresses that rules decide is kept from the models, to calibrate the threshold and measure the error.
+FOLDS = 5
 #: Stands before a text; no byte of UTF-8 text.
 _BEFORE = 0xFF
 #: Log ratios are summed in these fixed steps, so that sums don't depend on the order.
@@ -107,7 +109,7 @@ def gram_ratios(addresses: DataFrame) -> DataFrame:
 
 
 def _ratios(addresses: DataFrame) -> DataFrame:
-    """address, ratio: the mean log-likelihood ratio of a byte of each of the distinct ``addresses``."""
+    """address, held, ratio: the mean log-likelihood ratio of a byte of each of the distinct ``addresses``; held ones teach nothing."""
 
     def places(frames):
         for pdf in frames:
@@ -117,18 +119,22 @@ def _ratios(addresses: DataFrame) -> DataFrame:
                 yield own.groupby(["id", "gram"], sort=False).size().reset_index(name="n")
 
     own = addresses.select("id", "address").mapInPandas(places, "id long, gram long, n long")
-    sums = own.join(sized(gram_ratios(addresses)), "gram").groupBy("id").agg((F.sum(F.col("n") * F.col("steps")) / F.sum("n") / _STEPS).alias("ratio"))
-    return addresses.join(sums, "id").select("address", "ratio")
-
-
-def url_filter(pages: DataFrame, rules=RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict, score of every row.
-
-    The models learn from all urls that a rule decides. score: the mean log-likelihood ratio of a byte, less the
-    threshold that stands as many standard deviations below the accepted urls' mean as above the rejected ones'; urls
-    without a rule are allowed from 0 on. With no accepted or no rejected url to learn from, they are allowed.
-    Null urls, and urls without '://', have an empty host and path and no rule; repeated rows are judged each; an
-    empty table gives no rows; html and further columns are not read.
+    taught = addresses.select("id", "address", *[F.when(F.col("held"), 0).otherwise(F.col(c)).alias(c) for c in ("allow", "block")])
+    sums = own.join(sized(gram_ratios(taught)), "gram").groupBy("id").agg((F.sum(F.col("n") * F.col("steps")) / F.sum("n") / _STEPS).alias("ratio"))
+    return addresses.join(sums, "id").select("address", "held", "ratio")
+
+
+def url_filter(pages: DataFrame, rules=RULES, folds: int = FOLDS) -> DataFrame:
+    """page_id, host, path, rule, verdict, score, held_out of every row.
+
+    The models learn from the urls that a rule decides, but for one in ``folds`` addresses (by hash; equal addresses go
+    together). These calibrate: the threshold stands as many of their standard deviations below the accepted ones' mean
+    as above the rejected ones'. score: the mean log-likelihood ratio of a byte, less the threshold; urls without a rule
+    are allowed from 0 on. held_out: decided by a rule and not learned from, so the share of these rows whose score
+    speaks against their verdict is the method's error. Where either part lacks accepted or rejected urls, all are
+    learned from, none is held out and the threshold is 0; with no accepted or no rejected url at all, the rest are
+    allowed with score 0. Null urls, and urls without '://', have an empty host and path and no rule; repeated rows are
+    judged each; an empty table gives no rows; html and further columns are not read.
     """
     url = F.col("url").cast("string")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"))
@@ -136,14 +142,20 @@ def url_filter(pages: DataFrame, rules=RULES) -> DataFrame:
     rows = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), address(F.col("host"), F.col("path"), F.col("url")).alias("address"))
     rows = checkpointed(rows)
     ruled = [F.count_if(F.col("ruled") == c).alias(c) for c in ("allow", "block")]
-    addresses = checkpointed(checkpointed(rows.groupBy("address").agg(*ruled)).withColumn("id", F.monotonically_increasing_id()))
+    held = F.pmod(F.xxhash64("address"), F.lit(folds)) == 0
+    addresses = checkpointed(checkpointed(rows.groupBy("address").agg(*ruled)).withColumn("id", F.monotonically_increasing_id()).withColumn("held", held))
+    parts = addresses.groupBy("held").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).collect()
+    calibrated = len(parts) == 2 and all(r["allow"] and r["block"] for r in parts)
+    learned = all(sum(r[c] for r in parts) for c in ("allow", "block"))
+    if not calibrated:
+        addresses = addresses.withColumn("held", F.lit(False))
     scored = rows.join(sized(checkpointed(_ratios(addresses))), "address")
-    fit = {r["ruled"]: r for r in scored.where("ruled IS NOT NULL").groupBy("ruled").agg(F.avg("ratio").alias("m"), F.stddev_pop("ratio").alias("s")).collect()}
-    if len(fit) == 2:
+    threshold = 0.0
+    if calibrated:
+        fit = {r["ruled"]: r for r in scored.where("held AND ruled IS NOT NULL").groupBy("ruled").agg(F.avg("ratio").alias("m"), F.stddev_pop("ratio").alias("s")).collect()}
         a, b = fit["allow"], fit["block"]
         spread = a["s"] + b["s"]
         threshold = (a["m"] * b["s"] + b["m"] * a["s"]) / spread if spread else (a["m"] + b["m"]) / 2
-    else:
-        threshold = float("-inf")
-    score = F.col("ratio") - F.lit(threshold) if fit and len(fit) == 2 else F.lit(0.0)
-    return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(score >= 0, "allow").otherwise("block")).alias("verdict"), score.alias("score"))
+    score = F.col("ratio") - F.lit(threshold) if learned else F.lit(0.0)
+    says = F.coalesce("ruled", F.when(score >= 0, "allow").otherwise("block"))
+    return scored.select("page_id", "host", "path", "rule", says.alias("verdict"), score.alias("score"), (F.col("held") & F.col("ruled").isNotNull()).alias("held_out"))

@@ -151,9 +151,15 @@ def test_url_scores_are_those_of_exact_counts(spark):
         x = [-1] * 4 + list(text.encode()) + [0]
         return [[(k, *x[i - k : i + 1]) for k in range(5)] for i in range(4, len(x))]
 
+    pages = spark.createDataFrame([(i, f"x://{text}") for i, (text, _) in enumerate(read)], "page_id long, url string").repartition(5)
+    got = {r.page_id: r for r in urls.url_filter(pages).collect()}
+    assert len(got) == len(read)
+    held = [got[i].held_out for i in range(len(read))]
+    assert 450 < sum(held) < 750 and not any(h for h, (_, ruled) in zip(held, read, strict=True) if not ruled)
+
     counts = {"allow": Counter(), "block": Counter()}
-    for text, ruled in read:
-        if ruled:
+    for (text, ruled), out in zip(read, held, strict=True):
+        if ruled and not out:
             counts[ruled].update(g for place in grams(text) for g in place)
     totals, kinds = ({c: Counter() for c in counts} for _ in range(2))
     for c, own in counts.items():
@@ -169,12 +175,9 @@ def test_url_scores_are_those_of_exact_counts(spark):
         return np.log(max(p, 1e-12))  # the models' least likelihood
 
     ratio = [np.mean([log_p("allow", x) - log_p("block", x) for x in grams(text)]) for text, _ in read]
-    fit = {c: [r for r, (_, ruled) in zip(ratio, read, strict=True) if ruled == c] for c in counts}
+    fit = {c: [r for r, (_, ruled), out in zip(ratio, read, held, strict=True) if out and ruled == c] for c in counts}
     (am, asd), (bm, bsd) = ((np.mean(v), np.std(v)) for v in (fit["allow"], fit["block"]))
     threshold = (am * bsd + bm * asd) / (asd + bsd)
-    pages = spark.createDataFrame([(i, f"x://{text}") for i, (text, _) in enumerate(read)], "page_id long, url string").repartition(5)
-    got = {r.page_id: r for r in urls.url_filter(pages).collect()}
-    assert len(got) == len(read)
     for i, (_, ruled) in enumerate(read):
         assert abs(got[i].score - (ratio[i] - threshold)) < 1e-6
         assert got[i].verdict == (ruled or ("allow" if got[i].score >= 0 else "block"))
