@@ -1,7 +1,7 @@
 """Byte-pair encoding of whole texts by tree concatenation, and decoding.
 
-A text longer than a leaf is halved until its parts are leaves; leaves are encoded on their own, in parallel tasks,
-and neighbours are joined up the tree. At a join a window around it is encoded anew and grown until, on both sides,
+Every text is halved until its parts are leaves; leaves are encoded on their own, and neighbours are joined up the
+tree. Of a long text the upper halves are dealt out, so that parallel tasks build their parts of the tree. At a join a window around it is encoded anew and grown until, on both sides,
 it cuts the text where the parts' own encodings do; from there on both agree, so the parts' ids can be kept. Inside
 a single pre-token that spans the join (text that nothing splits), the window is one of ids: once its first and
 last id are those the parts have, all neighbours in the row of ids are stable and the row is the encoding.
@@ -21,7 +21,9 @@ from lexmill.llm import bpe
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Characters of a leaf.
-LEAF = 32_768
+LEAF = 1_024
+#: Characters of a long text that one task takes at a time.
+SHARE = 32_768
 #: No pre-token rule looks further ahead than this, and no special token is longer.
 MARGIN = 32
 #: A pre-token from this size on is joined by windows of ids.
@@ -101,6 +103,11 @@ def tree(encoder: bpe.Bpe, parts: list[Part]) -> Part:
     return parts[0]
 
 
+def encoded(encoder: bpe.Bpe, text: str, leaf_chars: int = LEAF) -> Part:
+    """The exact encoding of a text, from its leaves up."""
+    return tree(encoder, [leaf(encoder, part) for part in halves(text, leaf_chars)])
+
+
 def halves(text: str, size: int) -> list[str]:
     """The leaves of a text: halved until no part is longer than ``size``."""
     if len(text) <= size:
@@ -109,12 +116,12 @@ def halves(text: str, size: int) -> list[str]:
     return halves(text[:mid], size) + halves(text[mid:], size)
 
 
-def encode_decode(docs: DataFrame, path: str | None = None, leaf_chars: int = LEAF, ids: bool = False, decoded: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str | None = None, leaf_chars: int = LEAF, share: int = SHARE, ids: bool = False, decoded: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, and the decoded text) of every row.
 
     Null texts count as empty; an empty text has no ids. Repeated rows are encoded each; no rows give no rows;
-    further columns are not looked at. Texts of more than one leaf are dealt out leaf by leaf, so that one very long
-    text keeps several tasks busy; then each such text's ids meet in one task.
+    further columns are not looked at. Texts of more than ``share`` characters are dealt out in halves of halves up to
+    that size, so that one very long text keeps several tasks busy; then each such text's ids meet in one task.
     """
     path = path or bpe.public_path(VOCABULARY)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>" * ids + ", decoded string" * decoded
@@ -134,7 +141,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, leaf_chars: int = LE
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                rows = [digest(encoder, d, encoder.packed(t or ""), digits) for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
+                rows = [digest(encoder, d, b"".join(encoded(encoder, t or "", leaf_chars).ids), digits) for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
                 cols = list(zip(*rows, strict=True)) or [[]] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
@@ -142,7 +149,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, leaf_chars: int = LE
         encoder = bpe.load(path)
         for batch in batches:
             for row, doc, k, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x = leaf(encoder, text)
+                x = encoded(encoder, text, leaf_chars)
                 sizes = [len(p) for p in x.pretokens]
                 yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), pa.array([doc], pa.int64()), pa.array([k], pa.int32()), pa.array([text]), pa.array([sizes], pa.list_(pa.int32())), pa.array([[len(i) // 4 for i in x.ids]], pa.list_(pa.int32())), pa.array([b"".join(x.ids)], pa.binary())], names=["_row", "doc_id", "_leaf", "_text", "_chars", "_counts", "_ids"])
 
@@ -156,14 +163,14 @@ def encode_decode(docs: DataFrame, path: str | None = None, leaf_chars: int = LE
         return pd.DataFrame([digest(encoder, int(pdf["doc_id"].iloc[0]) if pd.notna(pdf["doc_id"].iloc[0]) else None, b"".join(tree(encoder, parts).ids), digits)], columns=names)
 
     both = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    # the leaves of the halving, in the JVM: 2^depth parts whose borders halve the length again and again
-    long = both.where(F.length("text") > leaf_chars).withColumn("_row", F.monotonically_increasing_id())
-    depth = F.ceil(F.log2(F.length("text") / F.lit(float(leaf_chars)))).cast("int")
+    # the upper halves, in the JVM: 2^depth parts whose borders halve the length again and again
+    long = both.where(F.length("text") > share).withColumn("_row", F.monotonically_increasing_id())
+    depth = F.ceil(F.log2(F.length("text") / F.lit(float(share)))).cast("int")
     long = long.withColumn("_n", F.pow(F.lit(2), depth).cast("long"))
     border = lambda k: F.floor(F.length("text").cast("long") * k / F.col("_n")).cast("int")
-    # all leaves of a row are cut at once: the rows that are dealt out carry a leaf each, never the text
+    # all parts of a row are cut at once: the rows that are dealt out carry a part each, never the text
     cut = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1), lambda k: F.substring("text", border(k) + 1, border(k + 1) - border(k)))
     long = long.select("_row", "doc_id", F.posexplode(cut).alias("_leaf", "_text"))
     long = long.repartition("_row", "_leaf").mapInArrow(leaves, "_row long, doc_id long, _leaf int, _text string, _chars array<int>, _counts array<int>, _ids binary")
     whole = long.groupBy("_row").applyInPandas(together, schema)
-    return both.where(F.length("text") <= leaf_chars).select("doc_id", "text").mapInArrow(short, schema).unionByName(whole)
+    return both.where(F.length("text") <= share).select("doc_id", "text").mapInArrow(short, schema).unionByName(whole)

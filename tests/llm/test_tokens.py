@@ -40,13 +40,13 @@ def test_tree_concatenation_is_exact():
 def test_encode_decode_rows(spark, monkeypatch):
     library = Tokenizer.from_file(bpe.public_path(encoding.VOCABULARY))
     docs = spark.createDataFrame(EDGE_ROWS, EDGE_SCHEMA)
-    got = sorted(map(tuple, encoding.encode_decode(docs, leaf_chars=50).collect()))
     want = []
     for doc, text, *_ in EDGE_ROWS:
         ids = library.encode(text or "", add_special_tokens=False).ids
         back = library.decode(ids, skip_special_tokens=False)
         want.append((doc, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
-    assert got == sorted(want)
+    for sizes in ({}, {"leaf_chars": 50}, {"leaf_chars": 20, "share": 50}):
+        assert sorted(map(tuple, encoding.encode_decode(docs, **sizes).collect())) == sorted(want)
     assert encoding.encode_decode(docs.limit(0)).count() == 0
 
 
@@ -54,7 +54,7 @@ def test_leaf_borders_of_a_long_text(spark):
     # characters times leaves go beyond 32 bits
     text = "".join(random.Random(9).choice("aé中 z🙂") for _ in range(100_000))
     ids = Tokenizer.from_file(bpe.public_path(encoding.VOCABULARY)).encode(text, add_special_tokens=False).ids
-    got = encoding.encode_decode(spark.createDataFrame([(1, text)], "doc_id long, text string"), leaf_chars=4, ids=True).collect()
+    got = encoding.encode_decode(spark.createDataFrame([(1, text)], "doc_id long, text string"), leaf_chars=4, share=4, ids=True).collect()
     assert [r.ids for r in got] == [ids]
 
 
