@@ -54,10 +54,11 @@ def provider(name: str) -> Model:
         raise ValueError(f"unknown provider {name!r}; known: {', '.join(PROVIDERS)}") from None
 
 
-def ask(prompts: DataFrame, make: Callable[[], Model], key: str, prompt: str = "prompt", tries: int = 4, wait: float = 1.0, on_failure: str = "skip") -> DataFrame:
-    """key, reply, error of every prompt. Transient failures are tried again with growing waits.
+def ask(prompts: DataFrame, make: Callable[[], Model], key: str, prompt: str = "prompt", tries: int = 4, wait: float = 1.0, on_failure: str = "skip", every: bool = False) -> DataFrame:
+    """key, reply, error of every prompt. Transient failures (``every``: all) are tried again with growing waits.
 
-    on_failure: 'skip' leaves a null reply and the error, 'raise' fails the task. Join answered prompts away first
+    on_failure: 'skip' leaves a null reply and the error, 'raise' fails the task, 'settle' fails it unless the last
+    failure is transient. Join answered prompts away first
     (``store.cached``): a task that Spark repeats asks again.
     """
 
@@ -73,8 +74,9 @@ def ask(prompts: DataFrame, make: Callable[[], Model], key: str, prompt: str = "
                         break
                     except Exception as exc:  # noqa: BLE001 - the policy below decides
                         error = f"{type(exc).__name__}: {exc}"
-                        if not model.transient(exc) or n == tries - 1:
-                            if on_failure == "raise":
+                        passing = model.transient(exc)
+                        if n == tries - 1 or not (every or passing):
+                            if on_failure == "raise" or on_failure == "settle" and not passing:
                                 raise
                             break
                         time.sleep(wait * 2**n * (0.5 + random.random()))
@@ -85,15 +87,26 @@ def ask(prompts: DataFrame, make: Callable[[], Model], key: str, prompt: str = "
     return prompts.select(key, prompt).mapInPandas(run, f"{key} {kind}, reply string, error string")
 
 
-def embed(texts: DataFrame, make: Callable[[], Callable[[list[str]], list[list[float]]]], key: str, text: str = "text", batch: int = 50) -> DataFrame:
-    """key, vector: texts in batches of ``batch``. A call that answers with fewer vectors than texts fails the task."""
+def embed(texts: DataFrame, make: Callable[[], Callable[[list[str]], list[list[float]]]], key: str, text: str = "text", batch: int = 50, tries: int = 4, wait: float = 1.0, transient: Callable[[Exception], bool] = lambda error: False) -> DataFrame:
+    """key, vector: texts in batches of ``batch``, a batch that fails in passing tried again with growing waits.
+
+    A call that answers with fewer vectors than texts fails the task. ``make`` gives the call for documents or for
+    queries, whichever the texts are.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = make()
         for pdf in frames:
             for at in range(0, len(pdf), batch):
                 part = pdf.iloc[at : at + batch]
-                vectors = call(part[text].tolist())
+                for n in range(tries):
+                    try:
+                        vectors = call(part[text].tolist())
+                        break
+                    except Exception as exc:  # noqa: BLE001 - ``transient`` decides
+                        if n == tries - 1 or not transient(exc):
+                            raise
+                        time.sleep(wait * 2**n)
                 if len(vectors) != len(part):
                     raise ValueError(f"{len(part)} texts, {len(vectors)} vectors")
                 yield pd.DataFrame({key: part[key], "vector": vectors})

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as tx
-from lexmill.operators import chunking, correction, exam, models, ocr, profile, retrieval, store
+from lexmill.operators import chunking, correction, exam, models, ocr, profile, retrieval, services, store
 from lexmill.plans import sql
 from lexmill.sources import files
 
@@ -695,3 +695,88 @@ def batch_result(spark, sf_dir):
     return ocr.first_result(lines).select("ordinal", F.when(F.get_json_object("raw", "$.pages").isNotNull(), "ok").otherwise("bad").alias("kind"))
 
 
+
+
+# ── services ──
+
+
+@query("SELECT o_orderkey, o_orderstatus <> 'O' AS done, o_orderstatus = 'F' AS ok, CASE WHEN o_orderstatus = 'F' AND o_orderkey % 2 = 0 THEN 2 ELSE 0 END::BIGINT AS files FROM orders")
+def batch_states(spark, sf_dir):
+    """jobs' states, and the uploads that may go once the result is stored."""
+    status = F.when(F.col("o_orderstatus") == "F", "SUCCESS").when(F.col("o_orderstatus") == "O", "RUNNING").otherwise("TIMEOUT_EXCEEDED")
+    jobs = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), status.alias("status"), F.concat(F.lit("f"), "o_orderkey").alias("file_id"), F.concat(F.lit("b"), "o_orderkey").alias("batch_file_id"))
+    files = services.removable(jobs, jobs.where("job_id % 2 = 0")).groupBy("job_id").agg(F.count("*").alias("files"))
+    done, ok = services.ended(F.col("status"))
+    return jobs.join(files, "job_id", "left").select(F.col("job_id").alias("o_orderkey"), done.alias("done"), ok.alias("ok"), F.coalesce("files", F.lit(0)).cast("long").alias("files"))
+
+
+@query("SELECT doc_id, 'blocks,images,index' AS page_keys, coalesce(source, '') AS types, 'blocks,images' AS lists FROM documents")
+def response_contract(spark, sf_dir):
+    """Fields, block types and list fields of responses."""
+    page = F.struct(F.col("doc_id").alias("index"), F.array(F.struct(F.col("source").alias("type"))).alias("blocks"), F.array().cast("array<string>").alias("images"))
+    raw = read(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct(F.array(page).alias("pages"))).alias("raw"))
+    return services.contract(raw, "doc_id").select("doc_id", *[F.array_join(c, ",").alias(c) for c in ("page_keys", "types", "lists")])
+
+
+@query("SELECT p_partkey, p_name AS model, CASE WHEN contains(p_name, '2.5') OR contains(p_name, 'latest') THEN CASE WHEN contains(p_name, 'pro') THEN 128 ELSE 0 END END AS budget FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'pro-latest-' WHEN 1 THEN 'flash-2.5-' ELSE 'old-' END || p_partkey AS p_name FROM part) WHERE p_partkey % 2 = 0 AND p_partkey % 5 > 0")
+def model_listing(spark, sf_dir):
+    """Models of a listing that generate content, and what they may think with."""
+    k = F.col("p_partkey")
+    name = F.concat(F.lit("models/"), F.when(k % 3 == 0, "pro-latest-").when(k % 3 == 1, "flash-2.5-").otherwise("old-"), k)
+    method = F.when(k % 2 == 0, "generateContent").otherwise("embedContent")
+    listing = F.to_json(F.struct(F.array(F.struct(name.alias("name"), F.array(method).alias("supportedGenerationMethods"))).alias("models")))
+    replies = read(spark, sf_dir, "part").select("p_partkey", F.when(k % 5 > 0, listing).otherwise("503 unavailable").alias("reply"))
+    return services.usable_models(replies, "p_partkey").withColumn("budget", services.thinking_budget(F.col("model")))
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN turn = 0 ELSE turn % 3 = 1 END AS is_new FROM conversations")
+def case_decision(spark, sf_dir):
+    """A classifier's word, and what holds without one."""
+    reply = F.when(F.col("turn") % 3 == 1, "new.").when(F.col("turn") % 3 == 2, "Continuation, not new")
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", services.starts_case(reply, F.when(F.col("turn") > 0, F.coalesce("text", F.lit("x")))).alias("is_new"))
+
+
+_POOL = "c AS (SELECT o_custkey AS query_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS position, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders), v AS (SELECT o_custkey AS query_id, o_orderkey AS ord, o_orderkey % 7 - 1 AS position, (o_orderkey % 11)::DOUBLE AS score FROM orders WHERE o_custkey % 3 > 0), w AS (SELECT c.query_id, c.o_orderkey, v.ord, c.position, v.score FROM c JOIN v USING (query_id, position) WHERE c.n > 1), u AS (SELECT * FROM w UNION ALL SELECT query_id, o_orderkey, position, position, NULL FROM c WHERE position < 5 AND query_id NOT IN (SELECT query_id FROM w))"
+
+
+@query(f"WITH {_POOL} SELECT query_id, o_orderkey, score AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY ord, position)::INTEGER AS rank FROM u")
+def reranked_or_dense(spark, sf_dir):
+    """A reranker's order; wrong indices are passed over, without an answer the dense order holds."""
+    o = read(spark, sf_dir, "orders")
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    candidates = o.select(F.col("o_custkey").alias("query_id"), "o_orderkey", place.cast("long").alias("position"))
+    answers = o.where("o_custkey % 3 > 0").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("ord"), (F.col("o_orderkey") % 7 - 1).cast("long").alias("index"), (F.col("o_orderkey") % 11).alias("score"))
+    return services.reranked(candidates, answers, 5).select("query_id", "o_orderkey", "rerank_score", "rank")
+
+
+@query("SELECT doc_id, 0 AS ord, source AS description FROM documents WHERE doc_id % 4 > 0 AND source IS NOT NULL")
+def model_extraction(spark, sf_dir):
+    """L1 to L4: chunks to prompts to replies to questions; a reply that holds none gives no rows."""
+    from json import dumps
+
+    def reply(prompt: str) -> str:
+        doc, _, source = prompt.split("\n\n", 1)[1].partition(" ")
+        return dumps({"questions": [{"description": source}]}) if int(doc) % 4 else "none found"
+
+    chunks = read(spark, sf_dir, "documents").where("source IS NOT NULL").select("doc_id", F.concat_ws(" ", "doc_id", "source").alias("text"))
+    return services.extract(chunks, "openai", "doc_id", "Extract.", lambda: models.Scripted(reply)).select("doc_id", "ord", "description")
+
+
+@query("SELECT o_orderkey AS job_id, o_orderstatus <> 'P' AS ok, CASE WHEN o_orderstatus = 'P' THEN '{\"jobId\":' || o_orderkey || ',\"error\":\"ValueError: status P\"}' ELSE '{\"jobId\":' || o_orderkey || ',\"totalQuestions\":' || o_custkey || '}' END AS body FROM orders")
+def job_outcomes(spark, sf_dir):
+    """K9: what is reported of jobs that ended and of those that failed."""
+    o = read(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "job_id")
+    good = o.where("o_orderstatus <> 'P'").select("job_id", F.col("o_custkey").alias("totalQuestions"))
+    return services.outcomes(good, o.where("o_orderstatus = 'P'").select("job_id", F.lit("ValueError").alias("kind"), F.lit("status P").alias("message")))
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN '' ELSE 't' || turn END AS text, CASE WHEN turn % 4 = 3 THEN 1 ELSE 0 END AS missing, CASE WHEN turn % 4 = 3 THEN '1 fields missing' END AS error FROM conversations")
+def translation_retry(spark, sf_dir):
+    """Questions with missing fields are translated once more, then reported."""
+    source = read(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("question_id"), F.lit(0).alias("ord"), F.lit("A").alias("label"), F.lit("x").alias("text"), F.lit("").alias("explanation"))
+
+    def translate(rows, n):
+        said = rows.select("question_id", "ord", "label", F.concat(F.lit("t"), F.col("question_id.turn")).alias("text"), "explanation")
+        return said.where(F.col("question_id.turn") % (2, 4)[n] != (1, 3)[n])
+
+    return services.translated(source, translate).select("question_id.conv_id", "question_id.turn", "text", "missing", "error")
