@@ -13,7 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 
-CACHE_ITEMS = 100_000
+CACHE_ITEMS = 50_000
 
 # The pre-token patterns of the two public tokenizer files, with their character classes written out
 # for the code points below U+0250 and common punctuation.
