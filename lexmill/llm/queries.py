@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexmill.llm import conversations, encoding, jaccard, language, licenses, linededup, negatives, packing, quality, sharding, topk, urls
+from lexmill.llm import conversations, encoding, jaccard, language, licenses, linededup, negatives, packing, passages, quality, sharding, topk, urls
 from lexmill.llm.common import table
 
 
@@ -55,6 +56,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repaired_damage(table(spark, sf_dir, "conversations"))
 
 
+def op12_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = passages.without_repeated_passages(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(negatives.relabelled(table(spark, sf_dir, "embeddings")))
 
@@ -65,6 +71,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_frequency, op2_best_fit_packing, op3_prefix_tree_join, op4_feistel_shards, op5_suffix_array_lines, op6_tree_bpe, op7_mtree_topk, op8_license_scan, op9_url_filter, op10_rank_order_language, op11_conversation_repair, op13_hard_negatives, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_frequency, op2_best_fit_packing, op3_prefix_tree_join, op4_feistel_shards, op5_suffix_array_lines, op6_tree_bpe, op7_mtree_topk, op8_license_scan, op9_url_filter, op10_rank_order_language, op11_conversation_repair, op12_repeated_passages, op13_hard_negatives, pipeline)}
 
 ORACLES: dict[str, str] = {"op1_line_frequency": quality.ORACLE, "op7_mtree_topk": topk.ORACLE, "op11_conversation_repair": conversations.ORACLE, "op13_hard_negatives": negatives.ORACLE}
