@@ -13,11 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from lexmill.functions.text import boosted_kind, case_variants, is_empty_section
+from lexmill.operators import vectors
 
 FILTER_KEYS = ("year", "module", "type", "course", "source", "kind")
 POOL_WITH_RERANKER = 25
-#: Queries up to which the query table is broadcast; more of them are searched in blocks.
-BROADCAST_QUERIES = 20_000
 
 
 def metadata_filter(meta: Mapping[str, object]) -> Column | None:
@@ -56,16 +55,17 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((scale > 0) & (F.size(a) == F.size(b)), dot(a, b) / scale)
 
 
-def search(chunks: DataFrame, queries: DataFrame, limit: int | Column, condition: Column | None = None, chunk_key: str = "chunk_id", vector: str = "vector", query_vector: str = "query_vector") -> DataFrame:
-    """Exact top-k of every query: query_id, rank, score and ``chunk_key``.
+def search(chunks: DataFrame, queries: DataFrame, limit: int, match: Mapping[str, Column] | None = None, chunk_key: str = "chunk_id", vector: str = "vector", query_vector: str = "query_vector") -> DataFrame:
+    """Exact top-k of every query: query_id, rank, ``chunk_key`` and score.
 
-    ``condition`` (on columns of both) applies before ranking. Only keys and vectors are ranked: join texts afterwards.
-    Ranks are cut inside every task before rows are exchanged by query, so what is exchanged is k rows a query and task.
+    ``match`` gives, by column of ``chunks``, the value that a query wants of it (a string in any spelling of the filter's,
+    null or empty: any); it applies before ranking. Only keys and vectors are ranked: join texts afterwards.
     """
-    scored = chunks.join(F.broadcast(queries) if queries.count() <= BROADCAST_QUERIES else queries, condition if condition is not None else F.lit(True))
-    scored = scored.select("query_id", chunk_key, F.round(cosine(F.col(vector), F.col(query_vector)), 6).alias("score")).where("score IS NOT NULL")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), chunk_key)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    return vectors.top_k(chunks, queries, [(limit, _accepted(chunks, match))], chunk_key, vector, query_vector).drop("heap")
+
+
+def _accepted(chunks: DataFrame, match: Mapping[str, Column] | None) -> dict[str, Column]:
+    return {c: vectors.accepted(wanted, dict(chunks.dtypes)[c]) for c, wanted in (match or {}).items()}
 
 
 def pool_size(top_k: int, reranker: bool) -> int:
@@ -76,26 +76,25 @@ def retrieve(
     chunks: DataFrame,
     queries: DataFrame,
     top_k: int = 5,
-    condition: Column | None = None,
+    match: Mapping[str, Column] | None = None,
     reranker: Callable[[DataFrame], DataFrame] | None = None,
     parents: DataFrame | None = None,
 ) -> DataFrame:
     """Best parents of every query: query_id, rank, parent_id, chunk_id, score, kind and the parent's text.
 
-    ``chunks``: chunk_id, parent_id, vector, kind (null: prose) and what ``condition`` reads; ``queries``: query_id,
-    query (text), query_vector and what it reads; ``parents``: parent_id, parent_text. Children are over-fetched, a
-    question that asks for a kind adds that kind's own best, the best child stands for its parent, parents that say
+    ``chunks``: chunk_id, parent_id, vector, kind (null: prose) and the columns of ``match``; ``queries``: query_id,
+    query (text), query_vector and what ``match`` wants; ``parents``: parent_id, parent_text. Children are over-fetched, a
+    question that asks for a kind adds that kind's own best (a second heap over the same products), the best child stands for its parent, parents that say
     nothing are dropped after the pool's cut, then the reranker (or the dense order) decides.
     """
     pool = pool_size(top_k, reranker is not None)
-    dense = search(chunks, queries, 4 * max(pool, top_k), condition).select("query_id", "chunk_id", "score")
-    parent_of = chunks.select("chunk_id", "parent_id", F.coalesce("kind", F.lit("prose")).alias("kind"))
-    hits = dense.join(parent_of, "chunk_id")
-    asking = queries.withColumn("_kind", boosted_kind(F.col("query"))).where("_kind IS NOT NULL")
-    asked = F.col("_kind") == F.col("kind")
-    extra = search(chunks, asking, max(4, top_k), asked if condition is None else asked & condition).select("query_id", "chunk_id", "score").join(parent_of, "chunk_id")
-    seen = hits.select("query_id", "parent_id").distinct()
-    hits = hits.unionByName(extra.join(seen, ["query_id", "parent_id"], "left_anti"))
+    wanted = _accepted(chunks, match)
+    asked = F.coalesce(F.array(boosted_kind(F.col("query"))), F.array().cast("array<string>"))
+    asked = F.filter(asked, lambda k: k.isNotNull())  # no kind asked for: nothing is accepted
+    of_kind = F.when(wanted["kind"].isNull(), asked).otherwise(F.array_intersect(wanted["kind"], asked)) if "kind" in wanted else asked
+    both = vectors.top_k(chunks, queries, [(4 * max(pool, top_k), wanted), (max(4, top_k), wanted | {"kind": of_kind})])
+    # a row that only the second heap has comes after all of the first, so a parent's best is the first heap's if that has any
+    hits = both.join(chunks.select("chunk_id", "parent_id", F.coalesce("kind", F.lit("prose")).alias("kind")), "chunk_id").drop("heap", "rank")
     best = Window.partitionBy("query_id", "parent_id").orderBy(F.desc("score"), "chunk_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     merged = hits.where("parent_id IS NOT NULL").withColumn("_n", F.row_number().over(best)).where("_n = 1").withColumn("_pool", F.row_number().over(order)).where(F.col("_pool") <= pool)

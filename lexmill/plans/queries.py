@@ -152,7 +152,7 @@ def vector_topk_filtered(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings")
     chunks = e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), "label")
     queries = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), F.col("label").alias("wanted"))
-    return retrieval.search(chunks, queries, 5, F.col("label") == F.col("wanted")).select("query_id", F.col("rank").cast("int").alias("rank"), "chunk_id", "score")
+    return retrieval.search(chunks, queries, 5, {"label": F.col("wanted")}).select("query_id", F.col("rank").cast("int").alias("rank"), "chunk_id", "score")
 
 
 _KIND = "CASE label WHEN 0 THEN 'table' WHEN 1 THEN 'callout' END"
@@ -199,7 +199,7 @@ def retrieve_reranked(spark, sf_dir):
     """Hashed embeddings of chunk texts, wide pool, a pluggable reranker (stand-in)."""
     parents = chunking.parent_chunks(read(spark, sf_dir, "documents"))
     chunks = chunking.child_chunks(parents).withColumn("vector", retrieval.embed_hashed(F.col("text"))).withColumn("kind", F.lit(None).cast("string"))
-    queries = read(spark, sf_dir, "benchmark").where("item_id % 10 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), retrieval.embed_hashed(F.col("text")).alias("query_vector"))
+    queries = read(spark, sf_dir, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), retrieval.embed_hashed(F.col("text")).alias("query_vector"))
     out = retrieval.retrieve(chunks.select("chunk_id", "parent_id", "vector", "kind"), queries, 3, reranker=models.overlap_reranker(queries, parents), parents=parents)
     return out.select("query_id", "rank", "parent_id", "chunk_id", "score", "rerank_score")
 
