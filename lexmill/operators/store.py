@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.functions.pack import greedy_pack
+from lexmill.operators.ordered import greedy_bins
 from lexmill.operators.retrieval import metadata_filter
 
 BATCH_BYTES, BATCH_ROWS, BYTES_PER_DIM = 16 * 1024 * 1024, 256, 20
@@ -37,11 +37,11 @@ def point_bytes(fields: list[Column], vector: Column | None = None) -> Column:
 
 
 def write_batches(rows: DataFrame, group: str, order: str, size: str, capacity: int = BATCH_BYTES, most: int = BATCH_ROWS) -> DataFrame:
-    """(group, batch, rows, bytes): each group's rows in order, closed by bytes or count; an oversize row goes alone."""
-    item = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("bigint").alias("n"))))
-    kind = rows.schema[order].dataType.simpleString()
-    bins = rows.groupBy(group).agg(item.alias("items")).select(group, F.posexplode(greedy_pack(F.col("items"), lambda x: x["n"], capacity, most, f"struct<o: {kind}, n: bigint>")).alias("batch", "b"))
-    return bins.select(group, "batch", F.size("b").alias("rows"), F.aggregate("b", F.lit(0).cast("bigint"), lambda a, x: a + x["n"]).alias("bytes"))
+    """(group, batch, rows, bytes): each group's rows in order, closed by bytes or count; an oversize row goes alone.
+
+    A group of any length will do: its rows are never gathered.
+    """
+    return greedy_bins(rows, group, order, size, capacity, most)
 
 
 def replace_sources(stored: DataFrame, fresh: DataFrame, key: str = "source") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as tx
-from lexmill.operators import chunking, correction, exam, models, ocr, profile, retrieval, services, store
+from lexmill.operators import boxes, chunking, correction, exam, models, ocr, profile, retrieval, services, store
 from lexmill.plans import sql
 from lexmill.sources import files
 
@@ -588,7 +588,7 @@ def ocr_pages(spark, sf_dir):
     """Pages and regions of responses."""
     p = ocr.parse_response(_responses(spark, sf_dir))
     at = lambda i: F.get("regions", F.lit(i))
-    return p.select("doc_id", "label", F.size("regions").alias("regions"), at(2)["html"].alias("table_html"), at(3)["transcribed"].alias("transcribed"), F.round(ocr.area(at(3)), 6).alias("figure_area"), F.length("markdown").alias("n_chars"))
+    return p.select("doc_id", "label", F.size("regions").alias("regions"), at(2)["html"].alias("table_html"), at(3)["transcribed"].alias("transcribed"), F.round(boxes.area(at(3)), 6).alias("figure_area"), F.length("markdown").alias("n_chars"))
 
 
 @query("SELECT doc_id, 1::INTEGER AS figures, 0 AS page, 1::INTEGER AS billed, 0.002::DOUBLE AS cost FROM documents WHERE doc_id % 2 = 1")
@@ -620,17 +620,16 @@ def box_overlap_join(spark, sf_dir):
     x = lambda i: F.col("embedding")[i].cast("double") * 100
     box = F.struct(x(0).alias("x0"), x(1).alias("y0"), (x(0) + F.abs(x(2)) + 1).alias("x1"), (x(1) + F.abs(x(3)) + 1).alias("y1"))
     b = read(spark, sf_dir, "embeddings").select("vec_id", "label", box.alias("box"))
-    l, r = b.select(F.col("vec_id").alias("a"), "label", F.col("box").alias("p")), b.select(F.col("vec_id").alias("b"), "label", F.col("box").alias("q"))
-    ratio = ocr.overlap_ratio(F.col("p"), F.col("q"))
-    return l.join(r, "label").where("a < b").where(ratio >= ocr.MIN_OVERLAP).select("a", "b", F.round(ratio, 6).alias("overlap"))
+    pairs = boxes.overlap_join(b, b, ["label"], ocr.MIN_OVERLAP)
+    return pairs.where("l.vec_id < r.vec_id").select(F.col("l.vec_id").alias("a"), F.col("r.vec_id").alias("b"), F.round("overlap", 6).alias("overlap"))
 
 
 @query()
 def annotation_merge(spark, sf_dir):
     """Each annotation taken once, exact box first, else by overlap."""
     v = read(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("doc_id"), F.floor(F.col("vec_id") / 40).cast("int").alias("page"), F.col("vec_id").cast("int").alias("ord"), *[F.floor(F.abs(F.col("embedding")[i]) * 100).alias(n) for i, n in ((0, "x0"), (1, "y0"))])
-    boxes = v.select("doc_id", "page", "ord", "x0", "y0", (F.col("x0") + 40).alias("x1"), (F.col("y0") + 40).alias("y1"))
-    out = ocr.merge_annotations(boxes.where("ord % 2 = 0"), boxes.where("ord % 2 = 1"))
+    b = v.select("doc_id", "page", "ord", "x0", "y0", (F.col("x0") + 40).alias("x1"), (F.col("y0") + 40).alias("y1"))
+    out = ocr.merge_annotations(b.where("ord % 2 = 0"), b.where("ord % 2 = 1"))
     return out.withColumn("taken", F.array_join(F.col("taken").cast("array<string>"), ","))
 
 
