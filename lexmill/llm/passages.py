@@ -6,7 +6,7 @@ an anchor that stands twice, and one or two words in 14 are anchors. Only stretc
 recurs go on. Stretches of equal words are one kind with a count.
 
 Kinds are dealt to shards by their anchor, so all places of a window meet in one shard. A shard confirms, word by word, which of
-its windows recur, joins them to passages, compiles these into automata of a bounded size over one letter a word, and lets
+its windows recur, joins them to passages, compiles these into automata of a bounded size over blocks of words, and lets
 every kind's words run through them. What they find is put back to the places of each kind, and words under a found window
 go. A shard with very many kinds (the edges of a passage that very many documents share) is dealt out in parts, whose counts
 are summed and which all get its passages.
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import product
 
 import ahocorasick
 import numpy as np
@@ -30,13 +31,12 @@ from lexmill.llm.common import checkpointed, let, sized, spread, written
 WINDOW, SEED = 35, 8
 SPACE = r"[\x20\x09-\x0D]+"
 #: Kinds of a shard on average, and of one of its parts; windows of an automaton.
-SHARD_KINDS, PART_KINDS, AUTOMATON_WINDOWS = 1_500, 6_000, 10_000
+SHARD_KINDS, PART_KINDS, AUTOMATON_WINDOWS = 1_500, 6_000, 20_000
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd, so that they have inverses modulo 2^64
-_TO_SPACE = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 
 
 def _words(text: str) -> list[bytes]:
-    return [w for w in text.encode("utf-8", "surrogatepass").translate(_TO_SPACE).split(b" ") if w]
+    return text.encode("utf-8", "surrogatepass").split()  # bytes are split at ASCII white space only
 
 
 def _powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -132,19 +132,44 @@ def confirm(kinds: pd.DataFrame, window: int) -> Iterator[tuple[str, int]]:
             i = j
 
 
+class Digits(dict):
+    """Four characters for each block, in order of appearance: its number's digits, each place with characters of its own."""
+
+    def __init__(self) -> None:
+        self.codes = map("".join, product(*[[chr(1 + 48 * place + digit) for digit in range(48)] for place in range(4)]))
+
+    def __missing__(self, block: str) -> str:
+        self[block] = code = next(self.codes)
+        return code
+
+
+def _blocks(window: int) -> int:
+    """Words of a block: the larger one of the window's two divisors nearest to its root, so that a window is a few blocks."""
+    return min(b for b in range(1, window + 1) if window % b == 0 and b * b >= window)
+
+
 def locate(texts: list[str], passages: list[str], window: int, most: int = AUTOMATON_WINDOWS) -> list[set[int]]:
-    """For each text the word places where a window of a passage begins, by automata of ``most`` windows each."""
-    found, left = [set() for _ in texts], list(passages)
+    """For each text the word places where a window of a passage begins, by automata of ``most`` windows each.
+
+    Words are read in blocks, a block as four characters of a small alphabet (nodes look up their children one by one);
+    a text is read once from each place in a block.
+    """
+    per, left, found = _blocks(window), list(passages), [set() for _ in texts]
+    split = [t.split(" ") for t in texts]
     while left:
-        letters, automaton, n = Letters(), ahocorasick.Automaton(), 0
+        letters, digits, automaton, n = Letters(), Digits(), ahocorasick.Automaton(), 0
         while left and n < most:
-            code = "".join([letters[w] for w in left.pop().split(" ")])
-            for i in range(len(code) - window + 1):
-                n += automaton.add_word(code[i : i + window], True)
+            passage = "".join([letters[w] for w in left.pop().split(" ")])
+            blocks = [digits[passage[i : i + per]] for i in range(len(passage) - per + 1)]
+            for i in range(len(passage) - window + 1):
+                n += automaton.add_word("".join(blocks[i : i + window : per]), True)
         automaton.make_automaton()
-        known = letters.get
-        for text, at in zip(texts, found, strict=True):
-            at.update(end - window + 1 for end, _ in automaton.iter("".join([known(w, "\0") for w in text.split(" ")])))
+        letter, block = letters.get, digits.get
+        for words, at in zip(split, found, strict=True):
+            code = "".join([letter(w, "\0") for w in words])
+            blocks = [block(code[i : i + per], "\0\0\0\0") for i in range(len(code) - per + 1)]
+            for phase in range(min(per, len(blocks))):
+                at.update([phase + per * (end // 4 + 1) - window for end, _ in automaton.iter("".join(blocks[phase::per]))])
     return found
 
 
