@@ -91,6 +91,19 @@ def walk(rows: list[tuple], to_go: list[tuple[int, ...]], state: int, last: bool
         yield "I", -1, state
 
 
+def _framed(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows as frames of some hundreds, or of fewer if their texts (last) are long."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1])
+        if len(held) >= 512 or size >= PIECE_CHARS:
+            yield pd.DataFrame(held, columns=columns)
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=columns)
+
+
 def _illegal(before: str | None, initial: str, times: int = 1) -> int:
     """Pairs of neighbours that aren't su, ua or au: the first with ``before``, and a turn's further copies."""
     return (before is not None and before + initial not in ("su", "ua", "au")) + times - 1
@@ -158,7 +171,12 @@ def _entries(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _repair(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pieces (part, conv, piece, whole, first, final, illegal, cost, audit, text) of repaired conversations, in order."""
+    """Pieces of repaired conversations, in order."""
+    return _framed(_pieces(frames), ["part", "conv", "piece", "whole", "first", "final", "illegal", "cost", "audit", "text"])
+
+
+def _pieces(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """(part, conv, piece, whole, first, final, illegal, cost, audit, text) of repaired conversations, in order."""
     for (part, conv), rows, (_, _, to_go, last, entry) in _runs(frames, ["role", "text", "to_go", "last", "entry"]):
         whole = to_go is None
         end, state = (ENDS, START) if whole else (tuple(int(x) for x in to_go), int(entry))
@@ -185,7 +203,7 @@ def _repair(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         piece()
         if whole:
             out = [(*out[0][:-1], hashlib.sha256(out[0][-1].encode("utf-8", "surrogatepass")).hexdigest())]
-        yield pd.DataFrame(out, columns=["part", "conv", "piece", "whole", "first", "final", "illegal", "cost", "audit", "text"])
+        yield from out
 
 
 def _joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
