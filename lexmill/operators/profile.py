@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import strip
+from lexmill.operators import ranks
 
 
 def sample_pages(n: Column, k: int = 18) -> Column:
@@ -41,19 +42,34 @@ def page_measures(pages: DataFrame) -> DataFrame:
 
 
 def metrics(measures: DataFrame) -> DataFrame:
-    """One row a document. p90 is the nearest rank below: sorted[max(0, int(0.9 n) - 1)]."""
-    chars = F.sort_array(F.collect_list("chars"))  # sampled pages: at most 18 a document
+    """One row a document. p90 is the nearest rank below: sorted[max(0, int(0.9 n) - 1)].
+
+    Documents may have any number of pages (``sampled`` takes some): medians and p90 are found by rank, not by gathering.
+    """
     ratio = lambda a, b: F.when(F.sum(b) > 0, F.sum(a) / F.sum(b)).otherwise(0.0)
-    return measures.groupBy("doc_id").agg(
+    sums = measures.groupBy("doc_id").agg(
         F.count("*").alias("pages"),
-        F.percentile("chars", F.lit(0.5)).alias("chars_median"),
-        F.element_at(chars, F.greatest(F.lit(1), F.floor(F.count("*") * 0.9).cast("int"))).alias("chars_p90"),
-        F.percentile("image_ratio", F.lit(0.5)).alias("image_median"),
         F.avg((F.col("chars") < 20).cast("double")).alias("no_text"),
         ratio("garbage", "raw").alias("garbage_ratio"),
         (5 * ratio("words", "raw")).alias("word_like"),
         F.bool_or("has_fonts").alias("has_fonts"),
     )
+    n = F.col("n")
+    middle = {"low": F.floor((n + 1) / 2), "high": F.floor(n / 2) + 1}
+    chars = ranks.values_at(measures, "doc_id", "chars", middle | {"p90": F.greatest(F.lit(1), F.floor(n * 0.9))})
+    images = ranks.values_at(measures, "doc_id", "image_ratio", middle)
+    half = (F.col("low") + F.col("high")) / 2
+    chars = chars.select(F.col("doc_id").alias("_c"), half.alias("chars_median"), F.col("p90").cast("int").alias("chars_p90"))
+    images = images.select(F.col("doc_id").alias("_i"), half.alias("image_median"))
+    same = lambda c: F.col("doc_id").eqNullSafe(F.col(c))
+    return sums.join(chars, same("_c")).join(images, same("_i")).select("doc_id", "pages", "chars_median", "chars_p90", "image_median", "no_text", "garbage_ratio", "word_like", "has_fonts")
+
+
+def sampled(pages: DataFrame, k: int = 18) -> DataFrame:
+    """The pages (doc_id, page from 0) of each document that ``sample_pages`` takes: all of a short one, ``k`` of a long one."""
+    n = pages.groupBy("doc_id").agg((F.max("page") + 1).cast("int").alias("_n")).withColumnRenamed("doc_id", "_doc")
+    picks = n.select("_doc", F.explode(sample_pages(F.col("_n"), k)).alias("_page"))
+    return pages.join(picks, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("page") == F.col("_page")), "left_semi")
 
 
 def verdict() -> tuple[Column, Column]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as tx
-from lexmill.operators import boxes, chunking, correction, exam, models, ocr, profile, retrieval, services, store
+from lexmill.operators import boxes, chunking, correction, exam, models, ocr, ordered, profile, retrieval, services, store
 from lexmill.plans import sql
 from lexmill.sources import files
 
@@ -687,13 +687,23 @@ def cache_lookup(spark, sf_dir):
     return hits.select("vec_id", F.lit("hit").alias("outcome")).unionByName(misses.select("vec_id", F.lit("miss").alias("outcome")))
 
 
-@query("SELECT 3 AS ordinal, 'ok' AS kind")
+@query(
+    "WITH n AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS ordinal FROM documents WHERE lang IS NOT NULL), r AS (SELECT * FROM n WHERE doc_id % 3 > 0 AND (doc_id % 5 <> 1 OR doc_id % 4 = 0) AND text <> '')"
+    " SELECT lang, ordinal, doc_id, md5(text) AS text_md5, ordinal = min(ordinal) OVER (PARTITION BY lang) AS first FROM r"
+)
 def batch_result(spark, sf_dir):
-    """The first result line with a body."""
-    lines = spark.createDataFrame([(0, ""), (1, "  "), (2, '{"response": {"body": {}}}'), (3, '{"response": {"body": {"pages": []}}}'), (4, '{"pages": []}')], "ordinal int, value string")
-    return ocr.first_result(lines).select("ordinal", F.when(F.get_json_object("raw", "$.pages").isNotNull(), "ok").otherwise("bad").alias("kind"))
-
-
+    """Responses among the lines of batch result files (one a language, as a service would leave them), and each file's first."""
+    d, i = read(spark, sf_dir, "documents").where("lang IS NOT NULL"), F.col("doc_id")
+    body = F.struct(F.array(F.struct(i.alias("index"), F.nullif("text", F.lit("")).alias("markdown"))).alias("pages"))
+    empty = F.lit('{"response": {"body": {}}}')
+    line = F.when(i % 3 == 0, F.when(i % 2 == 0, "").otherwise("  ")).when(F.coalesce("text", F.lit("")) == "", empty).when(i % 4 == 0, F.to_json(body)).when(i % 5 == 1, empty).otherwise(F.to_json(F.struct(F.struct(body.alias("body")).alias("response"))))
+    folder = ordered.shared_path(spark, "batch-results")
+    d.select("lang", "doc_id", line.alias("line")).repartition("lang").sortWithinPartitions("lang", "doc_id").select("lang", "line").write.partitionBy("lang").text(folder)
+    lines = files.result_lines(spark, folder)
+    first = ocr.first_result(lines).select("file", F.col("ordinal").alias("least"))
+    page = F.from_json("raw", "pages array<struct<index: long, markdown: string>>")["pages"][0]
+    out = ocr.results(lines).join(first, "file").select(F.regexp_extract("file", "lang=([^/]+)", 1).alias("lang"), "ordinal", page["index"].alias("doc_id"), F.md5(page["markdown"]).alias("text_md5"), (F.col("ordinal") == F.col("least")).alias("first"))
+    return out
 
 
 # ── services ──

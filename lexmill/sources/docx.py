@@ -28,7 +28,7 @@ def rich_text(paragraph) -> str:
             lead, trail = text[: len(text) - len(text.lstrip())], text[len(text.rstrip()) :]
             text = f"{lead}{mark}{core}{mark}{trail}"
         out.append(text)
-    return "".join(out).replace("****", "")
+    return re.sub(r"\*\*\s*\*\*", " ", "".join(out))
 
 
 def _rows(table) -> list[str]:

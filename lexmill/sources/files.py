@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import strip, strip_markup
@@ -24,9 +24,19 @@ def ocr_responses(spark: SparkSession, path: str) -> DataFrame:
 
 
 def result_lines(spark: SparkSession, path: str) -> DataFrame:
-    """ordinal, value of a JSONL result file, in file order."""
-    one = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r\n|\n")).alias("ordinal", "value"))
-    return one.where(F.trim("value") != "")
+    """file, ordinal (of the line in its file, from 0) and value of the lines of JSONL files that aren't blank.
+
+    Files are read in splits, wherever lines end. A split's lines are numbered within it, and the splits' counts are summed
+    over those before it in its file; so no file is read by one task.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    # a reader gives an empty split no rows; the splits of a file are few
+    counts = lines.groupBy("file", "block").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("file", "block").orderBy("at")) - 1
+    numbered = lines.withColumn("own", own).join(counts, ["file", "block"])
+    return numbered.where(F.trim("value") != "").select("file", (F.col("before") + F.col("own")).cast("long").alias("ordinal"), F.rtrim("value").alias("value"))
 
 
 def extension(name: Column) -> Column:

@@ -319,9 +319,38 @@ def test_annotations_are_taken_once(spark):
 
 
 def test_lines_box(spark):
-    lines = ["a line that is long enough", "short"]
-    row = spark.createDataFrame([(lines, [("text", "a line that is long enough for it", 0.1, 0.2, 0.3, 0.4), ("header", "short", 0.0, 0.0, 1.0, 1.0)])], "l array<string>, r array<struct<type: string, text: string, x0: double, y0: double, x1: double, y1: double>>")
-    assert row.select(ocr.lines_box(F.col("l"), F.col("r"))).first()[0] == [0.1, 0.2, 0.3, 0.4]
+    regions = [(0.1, 0.2, 0.2, 0.3), (0.9, 0.9, 0.9, 0.9), (0.2, 0.25, 0.3, 0.4)]
+    row = spark.createDataFrame([([0, -1, 2], regions), ([-1], regions), ([], regions)], "l array<int>, r array<struct<x0: double, y0: double, x1: double, y1: double>>")
+    assert [r[0] for r in row.select(ocr.lines_box(F.col("l"), F.col("r"))).collect()] == [[0.1, 0.2, 0.3, 0.4], None, None]
+
+
+def test_lines_find_their_regions_as_all_pairs_do(spark):
+    rnd = random.Random(8)
+    say = lambda n: "".join(rnd.choice("ab é") for _ in range(n))
+    pages = []
+    for _ in range(120):
+        texts = [rnd.choice([None, "", say(rnd.randint(1, 60))]) for _ in range(rnd.randint(0, 6))]
+        lines = [rnd.choice([None, say(rnd.randint(0, 30)), *(t[rnd.randint(0, 9):][:rnd.randint(1, 30)] for t in texts if t), *(f"{say(9)}{t}{say(9)}" for t in texts if t)]) for _ in range(rnd.randint(0, 8))]
+        pages.append((lines, texts))
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "i int, l array<string>, t array<string>")
+    got = dict(rows.select("i", ocr.held_by("l", "t")).collect())
+    for i, (lines, texts) in enumerate(pages):
+        assert got[i] == [next((n for n, t in enumerate(texts) if t and (t in x or x in t)), -1) if x is not None and len(x) >= ocr.LINE_CHARS else -1 for x in lines]
+
+
+def test_pieces_end_with_the_line_that_makes_them_long(spark):
+    rnd = random.Random(2)
+    values = [["x" * rnd.choice([1, 400, 900, 1600, 2000]) for _ in range(rnd.randint(0, 9))] for _ in range(60)]
+
+    def model(lines):
+        out, at = [], 0
+        for i in range(len(lines)):
+            if sum(map(len, lines[at : i + 1])) >= ocr.TARGET_CHARS or i == len(lines) - 1:
+                out.append((at, i + 1))
+                at = i + 1
+        return out
+
+    assert [[tuple(p) for p in x] for x in column(spark, values, ocr._cut, "array<string>")] == [model(v) for v in values]
 
 
 # ── sources and streams ──
@@ -339,7 +368,7 @@ def test_docx():
     run = lambda t, mark="": f'<w:r><w:rPr>{mark}</w:rPr><w:t xml:space="preserve">{t}</w:t></w:r>'
     body = f'<w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr>{run("Cardio")}</w:p><w:p>{run("il ")}{run("ne ", "<w:b/>")}{run("faut", "<w:b/>")}{run(" pas")}</w:p><w:tbl><w:tr><w:tc><w:p>{run("a|b")}</w:p></w:tc><w:tc><w:p>{run("c")}</w:p></w:tc></w:tr></w:tbl>'
     got = docx.extract_docx(document(body))
-    assert got.startswith("<!--loc:section=Cardio-->\n# Cardio\nil **ne** **faut** pas")
+    assert got.startswith("<!--loc:section=Cardio-->\n# Cardio\nil **ne faut** pas")
     assert "| a\\|b | c |" in got
 
 
