@@ -29,8 +29,10 @@ BALL_ROWS, PAGE_ROWS = 4_096, 16_384
 #: Queries that a page's task takes at once.
 QUERY_ROWS = 32_768
 FANOUT, LEAF_ROWS = 16, 256
-#: Integer products are exact in floating point below this squared norm.
+#: Sums of integers are exact in floating point below this product of norms.
 EXACT = float(1 << 52)
+#: Scores beyond a long count as the nearest long.
+LONG = (1 << 63) - 1
 
 
 class MTree:
@@ -39,8 +41,7 @@ class MTree:
     def __init__(self, vectors: np.ndarray, ids: np.ndarray, rows: np.ndarray, largest: float):
         self.x, self.ids, self.rows, self.largest = vectors, ids, rows, largest
         self.points = np.column_stack([vectors.astype("f8"), _extra(vectors, largest)])
-        # products of integers, exact: by floating point where all of them are small enough
-        self.whole = vectors.astype("f8") if largest < EXACT else vectors.astype("i8")
+        self.norms = np.linalg.norm(vectors.astype("f8"), axis=1)
         self.computed = 0
         self.root = self._build(np.arange(len(vectors)), 0) if len(vectors) else None
 
@@ -74,10 +75,10 @@ class MTree:
         if self.root is None:
             return []
         q = np.append(query.astype("f8"), 0.0)
-        exact = query if self.whole.dtype == np.int64 else q[:-1]
+        length = float(np.linalg.norm(q))
         square = float(q @ q) + self.largest
         slack = 1e-9 * (np.sqrt(square) + 1)
-        scores, rows, least = np.zeros(0, self.whole.dtype), np.zeros(0, "i8"), floor  # the best so far, in order
+        scores, rows, least = np.zeros(0, "i8"), np.zeros(0, "i8"), floor  # the best so far, in order
         d = float(np.linalg.norm(q - self.points[self.root["center"]]))
         heap, n = [(max(0.0, d - self.root["radius"]), 0, self.root, d)], 0
         limit = float(np.sqrt(max(0.0, square - 2 * least))) + slack if least > -np.inf else np.inf
@@ -90,7 +91,7 @@ class MTree:
                 if limit < np.inf:
                     members = members[np.abs(d - node["away"]) <= limit]
                 self.computed += len(members)
-                found = self.whole[members] @ exact
+                found = _products(self.x[members], q[:-1], self.norms[members] * length)
                 better = (found >= least) & (self.rows[members] != own_row)
                 if not better.any():
                     continue
@@ -112,6 +113,19 @@ class MTree:
         return list(zip(scores.astype("i8").tolist(), self.ids[rows].tolist(), self.rows[rows].tolist(), strict=True))
 
 
+def _products(x: np.ndarray, q: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Exact products of rows of whole numbers with one: by floating point where ``most`` bounds them, else by Python's integers."""
+    large = most >= EXACT
+    if not large.any():
+        return (x @ q).astype("i8")
+    out = np.empty(len(x), "i8")
+    out[~large] = x[~large] @ q
+    whole = [int(v) for v in q.tolist()]
+    for i in np.flatnonzero(large).tolist():
+        out[i] = max(-LONG, min(LONG, sum(int(a) * b for a, b in zip(x[i].tolist(), whole, strict=True))))
+    return out
+
+
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Distances of all of a to all of b."""
     return np.sqrt(np.maximum(0, (a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a @ b.T))
@@ -123,17 +137,18 @@ def _extra(vectors: np.ndarray, largest: float) -> np.ndarray:
 
 
 def _matrix(column: pd.Series, dims: int) -> np.ndarray:
-    out = np.zeros((len(column), dims), "i8")
+    out = np.zeros((len(column), dims))
     for k, v in enumerate(column):
         out[k, : len(v)] = v
     return out
 
 
 def integer_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """row, vec_id, x: floor(scale * component) of each vector without null and non-finite components."""
+    """row, vec_id, x: floor(scale * component), as doubles, of each vector without null and non-finite components."""
     e = F.col("embedding")
     fine = e.isNotNull() & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
-    x = F.transform(e, lambda v: F.floor(F.lit(scale) * v.cast("double")).cast("long"))
+    whole = lambda v: F.when(F.abs(v) < EXACT, F.floor(v).cast("double")).otherwise(v)  # noqa: E731  larger ones have no fraction, and may exceed a long
+    x = F.transform(e, lambda v: whole(F.lit(scale) * v.cast("double")))
     return vectors.where(fine).select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"))
 
 
@@ -142,11 +157,12 @@ def mtree_topk(vectors: DataFrame, is_query: Column | None = None, k: int = K, p
 
     Ties go to the smaller vec_id; fewer rows give fewer ranks. Null vectors and those with null or non-finite
     components take no part; shorter vectors count as padded with zeros; rows that repeat an id are rows of their own
-    (and queries of their own); rows with a null id take no part; an empty table gives no rows.
+    (and queries of their own); rows with a null id take no part; an empty table gives no rows. Components may be of any
+    finite size; a score that exceeds a long counts as the nearest long.
     """
     is_query = F.col("vec_id") % QUERY_STEP == 0 if is_query is None else is_query
     rows = checkpointed(integer_vectors(vectors).where("vec_id IS NOT NULL"))
-    square = F.aggregate("x", F.lit(0).cast("long"), lambda a, v: a + v * v)
+    square = F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)
     n, dims, largest = rows.agg(F.count("*"), F.max(F.size("x")), F.max(square)).first()
     empty = rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score")).where("false")
     if not n or not dims:
@@ -164,7 +180,7 @@ def mtree_topk(vectors: DataFrame, is_query: Column | None = None, k: int = K, p
             best = d.argmin(axis=1)
             yield pdf.assign(pivot=best, away=d[np.arange(len(d)), best])
 
-    dealt = checkpointed(rows.mapInPandas(deal, "row long, vec_id long, x array<long>, pivot long, away double"))
+    dealt = checkpointed(rows.mapInPandas(deal, "row long, vec_id long, x array<double>, pivot long, away double"))
     # one row for each pivot: bounded by their number
     balls = {int(r[0]): (int(r[1]), float(r[2])) for r in dealt.groupBy("pivot").agg(F.count("*"), F.max("away")).collect()}
     pages_of = {p: max(1, -(-c // page_rows)) for p, (c, _) in balls.items()}
@@ -208,7 +224,7 @@ def mtree_topk(vectors: DataFrame, is_query: Column | None = None, k: int = K, p
         return pd.DataFrame(found, columns=["query_row", "query_id", "vec_id", "row", "score"], dtype="int64")
 
     def searched(asked: DataFrame, first: bool) -> DataFrame:
-        sent = asked.mapInPandas(route(first), "row long, vec_id long, x array<long>, part int, floor double, pivot long, page int")
+        sent = asked.mapInPandas(route(first), "row long, vec_id long, x array<double>, part int, floor double, pivot long, page int")
         keys = ["pivot", "page", "part"]
         return data.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(look, "query_row long, query_id long, vec_id long, row long, score long")
 

@@ -162,6 +162,20 @@ def test_topk_equals_brute_force(spark):
     assert sorted(map(tuple, few)) == brute_topk([r for r in rows if r[0] in (100, 3, 1000)])
 
 
+def test_topk_of_large_components(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    rows = [(n, [rng.uniform(-1, 1) * 10 ** rng.choice([0, 2, 6]) for _ in range(2)]) for n in range(40)] + [(40, [4e6, 4e6]), (41, [1.0, 2.0]), (42, [1e38, 1.0]), (43, [3e38, -3e38]), (44, [1e12, 3.0])]
+    rows = [(v, [float(np.float32(x)) for x in e]) for v, e in rows]
+    got = topk.mtree_topk(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 2 == 0, 5, page_rows=16).collect()
+    want, most = [], (1 << 63) - 1
+    for v, e in rows:
+        scored = sorted((-max(-most, min(most, sum(int(np.floor(1024 * a)) * int(np.floor(1024 * b)) for a, b in zip(e, f, strict=True)))), w) for w, f in rows if w != v)[:5]
+        want += [(v, n + 1, w, -s) for n, (s, w) in enumerate(scored) if v % 2 == 0]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_trees_leave_most_distances_uncomputed():
     rng = np.random.default_rng(2)
     centers = rng.normal(size=(40, 16))
@@ -175,6 +189,24 @@ def test_trees_leave_most_distances_uncomputed():
     assert tree.computed < 20 * 4000 * 0.5
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    from lexmill.llm import jaccard, language, packing, quality
+
+    names = ["_id", "_hash", "_host", "_cut", "_doc", "_mine", "_said", "_at", "h", "w", "group", "kept", "row_id", "host", "same", "n", "number", "class_id", "code", "_row", "_key", "_copy"]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    plain = docs.unionByName(docs.limit(3))
+    wide = plain.select("*", *[plain["doc_id"].cast("string").alias(c) for c in names])
+    for stage in (language.identified_documents, quality.kept_documents, linededup.deduplicated_documents, jaccard.one_of_each):
+        want, out = stage(plain), stage(wide)
+        assert out.columns == wide.columns
+        assert sorted(map(str, out.select(docs.columns).collect())) == sorted(map(str, want.collect())), stage
+        assert all(r["_id"] == str(r["doc_id"]) == r["_key"] for r in out.collect())
+    assert packing.best_fit_packing(wide).count() == packing.best_fit_packing(plain).count()
+    pieces = packing.token_pieces(plain).selectExpr("*", "1 AS _bucket", "2 AS _rank", "3 AS _size", "4 AS _b", "5 AS _first", "6 AS _place", "7 AS _piece", "8 AS _length")
+    placed = packing.pack(pieces, ["doc_id", "piece"])
+    assert placed.columns == [*pieces.columns, "sequence_id", "offset"] and placed.where("_bucket = 1 AND _place = 6 AND _length = 8").count() == pieces.count()
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from test_tokens import assert_packed
