@@ -86,6 +86,12 @@ class Bpe:
         self.cache.trim()
         return b"".join(map(self.cache.__getitem__, pretokens))
 
+    def forget(self) -> None:
+        """Empties the caches, so that an idle worker holds the vocabulary alone."""
+        for cache in (self.cache, self.chunks):
+            cache.clear()
+            cache.old = {}
+
     def packed(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit numbers.
 

@@ -452,9 +452,11 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     judged = found.join(sized(checkpointed(stays)), "group").withColumn("same", F.col("doc_id").eqNullSafe(F.col("b")) & (F.col("text_hash") == F.col("c")))
     judged = judged.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.first("same").alias("same"), F.count("*").alias("n"))
     judged = checkpointed(judged.where("NOT same OR n > 1"))
-    mine = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_hash"))
-    kept = docs.join(sized(checkpointed(judged.where("NOT same").select("_id", "_hash"))), mine, "left_anti")
+    # a row's columns travel in a struct, so their names can't clash with the keys'
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("doc_id").cast("long").alias("_mine"), F.xxhash64(F.col("text").cast("string")).alias("_said"))
+    mine = F.col("_mine").eqNullSafe(F.col("_id")) & (F.col("_said") == F.col("_hash"))
+    kept = rows.join(sized(checkpointed(judged.where("NOT same").select("_id", "_hash"))), mine, "left_anti")
     twice = checkpointed(judged.where("same").select("_id", "_hash"))
-    if twice.isEmpty():
-        return kept
-    return kept.join(sized(twice), mine, "left_anti").unionByName(kept.join(sized(twice), mine, "left_semi").dropDuplicates(["doc_id", "text"]))
+    if not twice.isEmpty():
+        kept = kept.join(sized(twice), mine, "left_anti").unionByName(kept.join(sized(twice), mine, "left_semi").dropDuplicates(["_mine", "_said"]))
+    return kept.select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])

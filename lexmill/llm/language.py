@@ -23,10 +23,9 @@ class _Alphabet:
     """Code points as small numbers: 1 what isn't a letter, else a letter's lower-case code point (below 2^21)."""
 
     def __init__(self):
-        points = np.arange(0x110000, dtype="u4")
         # all planes: letters stand beyond U+30000, too
         self.to = np.ones(0x110000, "u4")
-        for c in points.tolist():
+        for c in range(0x110000):
             x = chr(c)
             if x.isalpha():
                 low = x.lower()

@@ -52,6 +52,8 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + ids]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[: 5 + ids], types, strict=False)], names=names)
+        encoder.forget()
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, schema)
 
@@ -181,8 +183,10 @@ def pack(pieces: DataFrame, keys: list[str], length: str = "length", capacity: i
     else:
         n = 0
     buckets = spread(n, RANK_ROWS, 4_096)
-    order: list[Column] = [F.col(f"`{k}`") for k in keys]
-    salted = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    # a piece's columns travel in a struct, so their names can't clash with those of the plan
+    order: list[Column] = [F.col(f"_piece.`{k}`") for k in keys]
+    salted = pieces.select(F.struct(*[F.col(f"`{c}`") for c in pieces.columns]).alias("_piece"), F.col(f"`{length}`").cast("long").alias("_length"))
+    salted, length = salted.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int")), "_length"
     # at most capacity x buckets rows, and buckets grow by one in RANK_ROWS pieces
     tally = salted.groupBy(F.col(length).alias("_size"), "_bucket").count()
     first = F.sum("count").over(Window.partitionBy("_size").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
@@ -209,7 +213,7 @@ def pack(pieces: DataFrame, keys: list[str], length: str = "length", capacity: i
             out[part, 1] = seg[k, 2]
         return pd.DataFrame(out, columns=["sequence_id", "offset"])
 
-    return ranked.withColumn("_place", place(F.col(length).cast("long"), "_rank")).select(*[F.col(f"`{c}`") for c in pieces.columns], "_place.sequence_id", "_place.offset")
+    return ranked.withColumn("_place", place(F.col(length).cast("long"), "_rank")).select(*[F.col(f"_piece.`{c}`").alias(c) for c in pieces.columns], "_place.sequence_id", "_place.offset")
 
 
 def best_fit_packing(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, separator: int = 0) -> DataFrame:

@@ -99,15 +99,16 @@ def kept_documents(docs: DataFrame, **limits) -> DataFrame:
     gone = sized(checkpointed(verdict.where(~F.col("kept")).select(*key).distinct()))
     cut = verdict.where("kept AND removed_lines IS NOT NULL").select(*key, F.col("removed_lines").alias("_cut")).dropDuplicates(list(key))
     cut = sized(checkpointed(cut))
-    text_hash = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    host = F.col(f"`{limits.get('host', 'source')}`").cast("string")
-    mine = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & host.eqNullSafe(F.col("_host")) & (text_hash == F.col("_hash"))
-    out = docs.join(gone, mine, "left_anti").join(cut, mine, "left")
-    some = F.col("_cut").isNotNull()
-    out = out.withColumn("text", F.when(some, without_lines(F.col("text").cast("string"), F.col("_cut"))).otherwise(F.col("text")))
+    # a row's columns travel in a struct, so their names can't clash with the keys'
+    text, host = F.col("text").cast("string"), F.col(f"`{limits.get('host', 'source')}`").cast("string")
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("doc_id").cast("long").alias("_mine"), host.alias("_at"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_said"))
+    mine = F.col("_mine").eqNullSafe(F.col("_id")) & F.col("_at").eqNullSafe(F.col("_host")) & (F.col("_said") == F.col("_hash"))
+    out = out.join(gone, mine, "left_anti").join(cut, mine, "left")
+    some, text = F.col("_cut").isNotNull(), F.col("_doc.text").cast("string")
+    new = {"text": F.when(some, without_lines(text, F.col("_cut"))).otherwise(F.col("_doc.text"))}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(some, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        new["n_chars"] = F.when(some, F.length(without_lines(text, F.col("_cut"))).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_doc.n_chars"))
+    return out.select(*[new.get(c, F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 ORACLE = rf"""
