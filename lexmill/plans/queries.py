@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as tx
-from lexmill.operators import boxes, chunking, correction, exam, models, ocr, ordered, profile, retrieval, services, store
+from lexmill.operators import boxes, chunking, correction, exam, figures, models, ocr, ordered, profile, retrieval, services, store
 from lexmill.plans import sql
 from lexmill.sources import files
 
@@ -600,6 +600,30 @@ def ocr_figures(spark, sf_dir):
     return ocr.figure_pages(raw).join(counts, "doc_id").select("doc_id", "figures", "page", "billed", "cost")
 
 
+@query(
+    "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Encadré ' || lang WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN 'lu ' || doc_id WHEN doc_id % 3 = 1 THEN 'haut ' || doc_id || chr(10) || 'bas' END AS transcribed,"
+    " CASE WHEN doc_id % 2 = 0 OR doc_id % 5 = 0 OR doc_id % 3 = 2 THEN 0 WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END::BIGINT AS merged, CASE WHEN doc_id % 2 = 0 OR doc_id % 5 = 0 THEN 0 WHEN doc_id % 3 = 1 THEN 2 ELSE 1 END::BIGINT AS expected,"
+    " CASE WHEN doc_id % 2 = 1 AND doc_id % 5 = 0 THEN 'RuntimeError: no answer for ' || doc_id ELSE '' END AS errors, md5(text) AS text_md5 FROM documents"
+)
+def figures_annotated(spark, sf_dir):
+    """Figures without annotation are asked for, and what comes back is merged by box."""
+    from json import dumps, loads
+
+    def reply(prompt: str) -> str:
+        doc = loads(prompt)["doc_id"]
+        if doc % 5 == 0:
+            raise RuntimeError(f"no answer for {doc}")
+        note = lambda said: dumps({"figure_type": "graph", "transcribed_text": said, "description": ""})
+        box = lambda y0, y1, said: {"top_left_x": 9, "top_left_y": y0, "bottom_right_x": 500, "bottom_right_y": y1, "image_annotation": note(said)}
+        boxes = ([box(400, 799, f"lu {doc}")], [box(400, 600, f"haut {doc}"), box(600, 800, "bas")], [box(1500, 1900, "ailleurs")])[doc % 3]
+        return dumps({"pages": [{"index": 0, "images": boxes}]})
+
+    out = figures.annotate_figures(_responses(spark, sf_dir), lambda: models.Scripted(reply), wait=0.0)
+    page = ocr.parse_response(out.select("doc_id", "raw")).select("doc_id", F.get("regions", F.lit(3))["transcribed"].alias("transcribed"))
+    texts = read(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("text_md5"))
+    return out.select("doc_id", "merged", "expected", F.array_join("errors", ",").alias("errors")).join(page, "doc_id").join(texts, "doc_id")
+
+
 @query()
 def ocr_chunks(spark, sf_dir):
     """Structure-aware parents and their children."""
