@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as tx
-from lexmill.operators import boxes, chunking, correction, exam, figures, models, ocr, ordered, profile, retrieval, services, store
+from lexmill.operators import boxes, chunking, correction, exam, figures, models, ocr, ordered, profile, retrieval, services, snapshots, store
 from lexmill.plans import sql
 from lexmill.sources import files
 
@@ -282,6 +282,41 @@ def job_registry(spark, sf_dir):
     return store.jobs(log, 20).select("job_id", ms("created").alias("created_ms"), ms("updated").alias("updated_ms"), "status")
 
 
+_CHANGED = (
+    "a AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN upper(source) ELSE source END AS source, lang AS module, n_chars, 'old' AS file_url FROM documents WHERE source IS NOT NULL AND doc_id % 4 > 0),"
+    " f AS (SELECT doc_id, source, lang AS module, n_chars, 'new' AS file_url FROM documents WHERE source IN ('src1', 'src2', 'src3') AND doc_id % 4 = 0),"
+    " s AS (SELECT DISTINCT unnest([source, upper(source), upper(source[1:1]) || lower(source[2:])]) AS source FROM f),"
+    " b AS (SELECT * FROM a WHERE source NOT IN (SELECT source FROM s) UNION ALL SELECT * FROM f),"
+    " d AS (SELECT *, coalesce(source IN ('src4', 'SRC4', 'Src4') AND module IN ('en', 'EN', 'En'), false) AS gone FROM b),"
+    " t AS (SELECT doc_id, source, CASE WHEN source IN ('src5', 'SRC5', 'Src5') THEN 'tagged' ELSE file_url END AS file_url, n_chars FROM d WHERE NOT gone)"
+)
+
+
+@query(
+    f"WITH {_CHANGED} SELECT 'rows of ' || source AS what, count(*)::BIGINT AS rows, sum(doc_id)::BIGINT AS ids, string_agg(DISTINCT file_url, ',' ORDER BY file_url) AS urls FROM t GROUP BY source"
+    " UNION ALL SELECT 'removed', (SELECT count(*) FROM a WHERE source IN (SELECT source FROM s)), (SELECT count(*) FROM f), ''"
+    " UNION ALL SELECT 'deleted', (SELECT count(*) FROM d WHERE gone), 0, '' UNION ALL SELECT 'retagged', (SELECT count(*) FROM t WHERE file_url = 'tagged'), 0, ''"
+    " UNION ALL SELECT 'first snapshot', (SELECT count(*) FROM a), (SELECT sum(doc_id)::BIGINT FROM a), ''"
+)
+def table_changes(spark, sf_dir):
+    """K3 to K6: a stored table created, replaced by source, deleted from and retagged; each change's counts, and what it leaves."""
+    d, i = read(spark, sf_dir, "documents"), F.col("doc_id")
+    row = lambda source, url: ["doc_id", source.alias("source"), F.col("lang").alias("module"), "n_chars", F.lit(url).alias("file_url")]
+    first = d.where("source IS NOT NULL AND doc_id % 4 > 0").select(*row(F.when(i % 3 == 0, F.upper("source")).otherwise(F.col("source")), "old"))
+    table = snapshots.ChunkTable(spark, ordered.shared_path(spark, "chunk-table"))
+    table.create(first.schema)
+    table.replace_sources(first)
+    removed, added = table.replace_sources(d.where("source IN ('src1', 'src2', 'src3') AND doc_id % 4 = 0").select(*row(F.col("source"), "new")))
+    deleted, retagged = table.delete({"source": "src4", "module": "EN"}), table.retag("src5", "tagged")
+    step = lambda what, n, ids: spark.range(1).select(F.lit(what).alias("what"), F.lit(n).cast("long").alias("rows"), F.lit(ids).cast("long").alias("ids"), F.lit("").alias("urls"))
+    urls = F.array_join(F.sort_array(F.collect_set("file_url")), ",").alias("urls")
+    out = table.read().groupBy(F.concat(F.lit("rows of "), "source").alias("what")).agg(F.count("*").alias("rows"), F.sum("doc_id").alias("ids"), urls)
+    before = table.read(1).agg(F.count("*").alias("rows"), F.sum("doc_id").alias("ids")).select(F.lit("first snapshot").alias("what"), "rows", "ids", F.lit("").alias("urls"))
+    for more in (step("removed", removed, added), step("deleted", deleted, 0), step("retagged", retagged, 0), before):
+        out = out.unionByName(more)
+    return out
+
+
 # ── profiles ──
 
 
