@@ -11,6 +11,7 @@ from lexmill.functions import text as tx
 from lexmill.operators import boxes, chunking, correction, exam, figures, models, ocr, ordered, profile, retrieval, services, snapshots, store
 from lexmill.plans import sql
 from lexmill.sources import files
+from lexmill.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -804,6 +805,20 @@ def case_decision(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", services.starts_case(reply, F.when(F.col("turn") > 0, F.coalesce("text", F.lit("x")))).alias("is_new"))
 
 
+@query()
+def streamed_cases(spark, sf_dir):
+    """Case memory as keyed state: conversations arrive two turns at a time, in several batches of one stream."""
+    text = F.when(F.col("turn") % 4 == 0, F.concat(F.lit("Cas clinique "), "conv_id", F.lit(" : "), "text")).when(F.col("turn") % 4 == 2, F.concat("text", F.lit("\n2. Quel traitement ?"))).otherwise(F.concat(F.lit("1. "), "text"))
+    messages = read(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("text"))
+    source, target = ordered.shared_path(spark, "messages"), ordered.shared_path(spark, "cases")
+    last = messages.agg(F.max("turn")).first()[0] or 0
+    for begin in range(0, min(last, 7) + 1, 2):  # the fourth part takes all later turns
+        part = messages.where(f"turn >= {begin}" + (f" AND turn < {begin + 2}" if begin < 6 else ""))
+        part.repartition(4, "conv_id").write.mode("append").parquet(source)
+    ingest.case_stream(spark, source, target, ordered.shared_path(spark, "cases-state"), files=4).awaitTermination()
+    return spark.read.schema("conv_id long, turn long, is_new boolean, context string").parquet(target).select("conv_id", "turn", "is_new", F.md5("context").alias("context_md5"))
+
+
 _POOL = "c AS (SELECT o_custkey AS query_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS position, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders), v AS (SELECT o_custkey AS query_id, o_orderkey AS ord, o_orderkey % 7 - 1 AS position, (o_orderkey % 11)::DOUBLE AS score FROM orders WHERE o_custkey % 3 > 0), w AS (SELECT c.query_id, c.o_orderkey, v.ord, c.position, v.score FROM c JOIN v USING (query_id, position) WHERE c.n > 1), u AS (SELECT * FROM w UNION ALL SELECT query_id, o_orderkey, position, position, NULL FROM c WHERE position < 5 AND query_id NOT IN (SELECT query_id FROM w))"
 
 
