@@ -5,14 +5,14 @@ A service itself is a ``Model`` or a function given by the deployment; nothing h
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.operators import correction, models
+from lexmill.operators import correction, keys, models
 
 # The states in which a batch job has ended, well or badly.
 ENDED_WELL = ("SUCCESS",)
@@ -75,13 +75,20 @@ def starts_case(reply: Column, remembered: Column) -> Column:
     return F.when(reply.isNull(), F.coalesce(remembered, F.lit("")) == "").otherwise(says.contains("NEW") & ~says.contains("CONTINU"))
 
 
-def extract(chunks: DataFrame, provider: str, key: str, instruction: str = "", make: Callable[[], models.Model] | None = None, wait: float = 1.0) -> DataFrame:
-    """key, ord and the fields of every question a provider finds in ``chunks`` (key, text), by its policy of tries and failures."""
+def extract(chunks: DataFrame, provider: str, key: str, instruction: str = "", make: Callable[..., models.Model] | None = None, wait: float = 1.0, api_keys: Sequence[str] = (), per_minute: float | None = None) -> DataFrame:
+    """key, ord and the fields of every question a provider finds in ``chunks`` (key, text), by its policy of tries and failures.
+
+    With ``api_keys``, ``make`` takes one of them; a key that is refused for its rate gives way to the next, and the tasks
+    share ``per_minute`` calls. A chunk for which all are spent is passed over.
+    """
     if provider.lower() not in POLICIES:
         raise ValueError(f"unknown provider {provider!r}; known: {', '.join(POLICIES)}")
     tries, policy = POLICIES[provider.lower()]
     prompts = chunks.select(key, F.concat(F.lit(instruction), F.lit("\n\n"), F.coalesce("text", F.lit(""))).alias("prompt"))
-    answered = models.ask(prompts, make or (lambda: models.provider(provider)), key, tries=tries, wait=wait, on_failure=policy, every=True)
+    if api_keys:
+        answered = keys.ask(prompts, make or (lambda _: models.provider(provider)), api_keys, key, tries=tries, per_minute=per_minute, wait=wait)
+    else:
+        answered = models.ask(prompts, make or (lambda: models.provider(provider)), key, tries=tries, wait=wait, on_failure=policy, every=True)
     return correction.parse_questions(answered.select(key, F.get_json_object("reply", "$.questions").alias("reply")), key, "reply")
 
 

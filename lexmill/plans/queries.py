@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as tx
-from lexmill.operators import boxes, chunking, correction, exam, figures, models, ocr, ordered, profile, retrieval, services, snapshots, store
+from lexmill.operators import boxes, chunking, correction, exam, figures, keys, models, ocr, ordered, profile, retrieval, services, snapshots, store
 from lexmill.plans import sql
 from lexmill.sources import files
 from lexmill.streaming import ingest
@@ -845,6 +845,26 @@ def model_extraction(spark, sf_dir):
     return services.extract(chunks, "openai", "doc_id", "Extract.", lambda: models.Scripted(reply)).select("doc_id", "ord", "description")
 
 
+@query(
+    "SELECT doc_id, CASE WHEN doc_id % 7 > 0 THEN 'k' || (doc_id % 3) || ':' || length(text) END AS reply, CASE WHEN doc_id % 7 = 0 THEN 'RuntimeError: 429 too many requests' END AS error FROM documents"
+)
+def keyed_calls(spark, sf_dir):
+    """L3: a key that is refused for its rate gives way to the next; what all keys refuse is passed over."""
+
+    class Service:
+        def __init__(self, key: str):
+            self.key = key
+
+        def answer(self, prompt: str) -> str:
+            doc, _, text = prompt.partition(" ")
+            if int(doc) % 7 == 0 or self.key != f"k{int(doc) % 3}":
+                raise RuntimeError("429 too many requests")
+            return f"{self.key}:{len(text)}"
+
+    prompts = read(spark, sf_dir, "documents").select("doc_id", F.concat("doc_id", F.lit(" "), "text").alias("prompt"))
+    return keys.ask(prompts, Service, ["k0", "k1", "k2"], "doc_id", wait=0.0).select("doc_id", "reply", "error")
+
+
 @query("SELECT o_orderkey AS job_id, o_orderstatus <> 'P' AS ok, CASE WHEN o_orderstatus = 'P' THEN '{\"jobId\":' || o_orderkey || ',\"error\":\"ValueError: status P\"}' ELSE '{\"jobId\":' || o_orderkey || ',\"totalQuestions\":' || o_custkey || '}' END AS body FROM orders")
 def job_outcomes(spark, sf_dir):
     """K9: what is reported of jobs that ended and of those that failed."""
