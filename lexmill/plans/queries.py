@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import text as tx
 from lexmill.operators import boxes, chunking, correction, exam, figures, keys, models, ocr, ordered, profile, retrieval, services, snapshots, store
 from lexmill.plans import sql
-from lexmill.sources import files
+from lexmill.sources import files, paged
 from lexmill.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -721,6 +721,34 @@ def html_pages(spark, sf_dir):
     return p.select("page_id", "title", "n_headings", F.length("text").alias("n_chars"), F.size("tables").alias("tables"))
 
 
+@query(
+    r"WITH n AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS page FROM documents WHERE source IS NOT NULL AND NOT contains(text, chr(12))),"
+    rf" l AS (SELECT source, page, list_filter(list_transform(string_split(text, chr(10)), lambda x: {sql.strip('x')}), lambda x: x <> '') AS ls FROM n)"
+    " SELECT source, page::INTEGER AS page, len(ls)::BIGINT AS lines, md5('<!--loc:page=' || (page + 1) || '-->' || array_to_string(list_transform(ls, lambda x: chr(10) || x), '')) AS text_md5 FROM l"
+)
+def paged_documents(spark, sf_dir):
+    """Paged files (a source's documents as its pages) read by ranges of pages, with an extractor plugged in."""
+
+    class Leaves:
+        def __init__(self, data: bytes):
+            self.texts = data.decode().removesuffix("\f").split("\f")
+
+        def pages(self) -> int:
+            return len(self.texts)
+
+        def blocks(self, page: int) -> list[paged.Block]:
+            return [paged.Block("text", lines=[[paged.Span(line)] for line in self.texts[page].split("\n")])]
+
+    d = read(spark, sf_dir, "documents").where("source IS NOT NULL AND NOT contains(text, '\f')")
+    folder = ordered.shared_path(spark, "paged")
+    d.select("source", "doc_id", "text").repartition("source").sortWithinPartitions("source", "doc_id").select("source", "text").write.partitionBy("source").option("lineSep", "\f").text(folder)
+    paged.register(spark, "lexmill_leaves", Leaves)
+    rows = spark.read.format("lexmill_leaves").load(folder)
+    lines = rows.groupBy("source", "page").agg(F.count_if(F.col("kind") == "line").alias("lines"))
+    name = F.regexp_extract("source", "source=([^/]+)", 1).alias("source")
+    return paged.page_texts(rows).join(lines, ["source", "page"]).select(name, "page", "lines", F.md5("text").alias("text_md5"))
+
+
 @query("SELECT page_id, CASE WHEN e IN ('pdf', 'docx') THEN '' ELSE 'unsupported extension: ' || e END AS reason FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'pdf' WHEN 1 THEN 'docx' ELSE 'html' END AS e FROM pages)")
 def extension_guard(spark, sf_dir):
     """F16: only known extensions pass; the rest keep a reason."""
