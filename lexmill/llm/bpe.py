@@ -51,15 +51,18 @@ class Bpe:
         bytewise = tiktoken.Encoding("pre-token", pat_str=".", mergeable_ranks=merged, special_tokens={})
         one, end = bytewise._encode_single_piece, b"\xff" if self.words else b""
 
+        packed = [int(i).to_bytes(4, "little") for i in ids]
+
         def miss(pretoken: str) -> bytes:
-            if self.special.fullmatch(pretoken):
+            if pretoken[:2] == "<|" and self.special.fullmatch(pretoken):
                 return np.array([self.library.token_to_id(pretoken)], "<u4").tobytes()
-            return ids[one(pretoken.encode() + end)].tobytes()
+            return b"".join([packed[rank] for rank in one(pretoken.encode() + end)])
 
         self.bytes_ids = lambda raw: ids[one(raw)]  # of bytes inside one pre-token
         self.cache = _Cache(miss)
         lead = "" if self.words else " "
-        self.chunks = _Cache(lambda chunk: b"".join(map(self.cache.__getitem__, self.find(lead + chunk))))
+        # letters alone are one pre-token
+        self.chunks = _Cache(lambda chunk: self.cache[lead + chunk] if chunk.isalpha() else b"".join(map(self.cache.__getitem__, self.find(lead + chunk))))
         byte = {c: b for b, c in shown.items()}
         self.pieces: list[bytes] = [b""] * self.library.get_vocab_size()
         for token, i in self.library.get_vocab().items():
