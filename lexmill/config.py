@@ -1,4 +1,4 @@
-"""Typed options, read once from the session's configuration (``spark.lexmill.*``)."""
+"""Typed options from the session's configuration (``spark.lexmill.*``): what operators take where a caller names no value."""
 
 from __future__ import annotations
 
@@ -9,22 +9,14 @@ from pyspark.sql import SparkSession
 
 @dataclass(frozen=True)
 class Options:
-    parent_chars: int = 1500
-    child_chars: int = 450
-    child_overlap: int = 1
     top_k: int = 5
-    top_k_many: int = 3
     most_many: int = 8
     rerank_pool: int = 25
-    least_informative: int = 15
     batch_bytes: int = 16 * 1024 * 1024
     batch_rows: int = 256
     embed_batch: int = 50
-    exam_chars: int = 2000
-    most_questions: int = 8
     job_cap: int = 200
     model_tries: int = 4
-    snippet_chars: int = 400
 
     @classmethod
     def of(cls, spark: SparkSession) -> Options:

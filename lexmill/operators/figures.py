@@ -26,7 +26,7 @@ def calls(responses: DataFrame, min_area: float = 0.0, skip_annotated: bool = Tr
     return pages.select("doc_id", F.posexplode(ocr.annotation_batches(F.col("pages"))).alias("batch", "x")).select("doc_id", "batch", F.transform("x", lambda p: p["page"]).alias("pages"))
 
 
-def asked(batches: DataFrame, make: Callable[[], models.Model], tries: int = 4, wait: float = 1.0) -> DataFrame:
+def asked(batches: DataFrame, make: Callable[[], models.Model], tries: int | None = None, wait: float = 1.0) -> DataFrame:
     """doc_id, batch, reply, error of every call; one that fails for good keeps its error, and the others their replies."""
     kind = batches.schema["doc_id"].dataType.simpleString()
     key = F.to_json(F.struct("doc_id", "batch"), {"ignoreNullFields": "false"})
@@ -80,7 +80,7 @@ def _with_notes(raw: pd.Series, notes: pd.Series) -> pd.Series:
     return pd.Series([one(t, n) for t, n in zip(raw, notes, strict=True)])
 
 
-def annotate_figures(responses: DataFrame, make: Callable[[], models.Model], min_area: float = 0.0, skip_annotated: bool = True, tries: int = 4, wait: float = 1.0) -> DataFrame:
+def annotate_figures(responses: DataFrame, make: Callable[[], models.Model], min_area: float = 0.0, skip_annotated: bool = True, tries: int | None = None, wait: float = 1.0) -> DataFrame:
     """doc_id, raw, merged, expected, errors: ``responses`` (doc_id, raw; one row a document) with their figures' annotations.
 
     Pages with figures are asked for in calls of at most eight images. A call that fails leaves its error; the others'

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.config import Options
 from lexmill.operators.correction import words
 
 
@@ -54,13 +55,14 @@ def provider(name: str) -> Model:
         raise ValueError(f"unknown provider {name!r}; known: {', '.join(PROVIDERS)}") from None
 
 
-def ask(prompts: DataFrame, make: Callable[[], Model], key: str, prompt: str = "prompt", tries: int = 4, wait: float = 1.0, on_failure: str = "skip", every: bool = False) -> DataFrame:
+def ask(prompts: DataFrame, make: Callable[[], Model], key: str, prompt: str = "prompt", tries: int | None = None, wait: float = 1.0, on_failure: str = "skip", every: bool = False) -> DataFrame:
     """key, reply, error of every prompt. Transient failures (``every``: all) are tried again with growing waits.
 
     on_failure: 'skip' leaves a null reply and the error, 'raise' fails the task, 'settle' fails it unless the last
     failure is transient. Join answered prompts away first
-    (``store.cached``): a task that Spark repeats asks again.
+    (``store.cached``): a task that Spark repeats asks again. The session's option says how often to try unless given.
     """
+    tries = Options.of(prompts.sparkSession).model_tries if tries is None else tries
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make()
@@ -87,12 +89,14 @@ def ask(prompts: DataFrame, make: Callable[[], Model], key: str, prompt: str = "
     return prompts.select(key, prompt).mapInPandas(run, f"{key} {kind}, reply string, error string")
 
 
-def embed(texts: DataFrame, make: Callable[[], Callable[[list[str]], list[list[float]]]], key: str, text: str = "text", batch: int = 50, tries: int = 4, wait: float = 1.0, transient: Callable[[Exception], bool] = lambda error: False) -> DataFrame:
+def embed(texts: DataFrame, make: Callable[[], Callable[[list[str]], list[list[float]]]], key: str, text: str = "text", batch: int | None = None, tries: int | None = None, wait: float = 1.0, transient: Callable[[Exception], bool] = lambda error: False) -> DataFrame:
     """key, vector: texts in batches of ``batch``, a batch that fails in passing tried again with growing waits.
 
     A call that answers with fewer vectors than texts fails the task. ``make`` gives the call for documents or for
-    queries, whichever the texts are.
+    queries, whichever the texts are. Batch size and tries are the session's options unless given.
     """
+    options = Options.of(texts.sparkSession)
+    batch, tries = options.embed_batch if batch is None else batch, options.model_tries if tries is None else tries
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = make()

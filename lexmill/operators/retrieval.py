@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
+from lexmill.config import Options
 from lexmill.functions.text import boosted_kind, case_variants, is_empty_section
 from lexmill.operators import vectors
 
@@ -68,14 +69,14 @@ def _accepted(chunks: DataFrame, match: Mapping[str, Column] | None) -> dict[str
     return {c: vectors.accepted(wanted, dict(chunks.dtypes)[c]) for c, wanted in (match or {}).items()}
 
 
-def pool_size(top_k: int, reranker: bool) -> int:
-    return POOL_WITH_RERANKER if reranker else max(3 * top_k, 10)
+def pool_size(top_k: int, reranker: bool, with_reranker: int = POOL_WITH_RERANKER) -> int:
+    return with_reranker if reranker else max(3 * top_k, 10)
 
 
 def retrieve(
     chunks: DataFrame,
     queries: DataFrame,
-    top_k: int = 5,
+    top_k: int | None = None,
     match: Mapping[str, Column] | None = None,
     reranker: Callable[[DataFrame], DataFrame] | None = None,
     parents: DataFrame | None = None,
@@ -87,7 +88,9 @@ def retrieve(
     question that asks for a kind adds that kind's own best (a second heap over the same products), the best child stands for its parent, parents that say
     nothing are dropped after the pool's cut, then the reranker (or the dense order) decides.
     """
-    pool = pool_size(top_k, reranker is not None)
+    options = Options.of(chunks.sparkSession)
+    top_k = options.top_k if top_k is None else top_k
+    pool = pool_size(top_k, reranker is not None, options.rerank_pool)
     wanted = _accepted(chunks, match)
     asked = F.coalesce(F.array(boosted_kind(F.col("query"))), F.array().cast("array<string>"))
     asked = F.filter(asked, lambda k: k.isNotNull())  # no kind asked for: nothing is accepted
@@ -107,9 +110,9 @@ def retrieve(
     return ranked.drop("_n", "_pool")
 
 
-def round_robin(ranked: DataFrame, most: int = 8, by: str = "query_index", parent: str = "parent_id", group: list[str] | None = None) -> DataFrame:
-    """Several queries' results as one: by rank, then by query; a parent counts once; at most ``most`` rows a group."""
-    group = group or []
+def round_robin(ranked: DataFrame, most: int | None = None, by: str = "query_index", parent: str = "parent_id", group: list[str] | None = None) -> DataFrame:
+    """Several queries' results as one: by rank, then by query; a parent counts once; at most ``most`` rows a group (the session's option unless given)."""
+    group, most = group or [], Options.of(ranked.sparkSession).most_many if most is None else most
     first = Window.partitionBy(*group, parent).orderBy("rank", by)
     order = Window.partitionBy(*group).orderBy("rank", by) if group else Window.orderBy("rank", by)
     once = ranked.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")

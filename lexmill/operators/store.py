@@ -7,11 +7,12 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.operators.ordered import greedy_bins
+from lexmill.config import Options
+from lexmill.operators import ranks
+from lexmill.operators.ordered import checkpointed, greedy_bins
 from lexmill.operators.retrieval import metadata_filter
 
-BATCH_BYTES, BATCH_ROWS, BYTES_PER_DIM = 16 * 1024 * 1024, 256, 20
-JOB_CAP = 200
+BYTES_PER_DIM = 20
 TERMINAL = ("done", "failed")
 
 
@@ -36,12 +37,13 @@ def point_bytes(fields: list[Column], vector: Column | None = None) -> Column:
     return (size + (F.coalesce(F.size(vector), F.lit(0)) * BYTES_PER_DIM if vector is not None else 0)).cast("bigint")
 
 
-def write_batches(rows: DataFrame, group: str, order: str, size: str, capacity: int = BATCH_BYTES, most: int = BATCH_ROWS) -> DataFrame:
+def write_batches(rows: DataFrame, group: str, order: str, size: str, capacity: int | None = None, most: int | None = None) -> DataFrame:
     """(group, batch, rows, bytes): each group's rows in order, closed by bytes or count; an oversize row goes alone.
 
-    A group of any length will do: its rows are never gathered.
+    Both limits are the session's options unless given. A group of any length will do: its rows are never gathered.
     """
-    return greedy_bins(rows, group, order, size, capacity, most)
+    options = Options.of(rows.sparkSession)
+    return greedy_bins(rows, group, order, size, options.batch_bytes if capacity is None else capacity, options.batch_rows if most is None else most)
 
 
 def replace_sources(stored: DataFrame, fresh: DataFrame, key: str = "source") -> DataFrame:
@@ -84,16 +86,24 @@ def ingest_result(children: DataFrame, by: str = "source") -> DataFrame:
     return children.groupBy(by).agg(F.count("*").alias("chunks"), F.countDistinct("parent_id").alias("parents"))
 
 
-def jobs(log: DataFrame, cap: int = JOB_CAP) -> DataFrame:
+def jobs(log: DataFrame, cap: int | None = None) -> DataFrame:
     """The registry that a log of (job_id, ts, status) leaves: newest first, oldest finished jobs beyond the cap evicted.
 
-    A job's creation is its first row; later rows only update it.
+    A job's creation is its first row; later rows only update it. The cap is the session's option unless given. The last
+    creation to go is found by rank, so the finished jobs are never sorted as one; only those of that very moment are.
     """
+    cap = Options.of(log.sparkSession).job_cap if cap is None else cap
     state = log.groupBy("job_id").agg(F.min("ts").alias("created"), F.max("ts").alias("updated"), F.max_by("status", F.struct("ts", "status")).alias("status"))
+    state = checkpointed(state)
     over = state.count() - cap
     if over > 0:
-        gone = state.where(F.col("status").isin(*TERMINAL)).orderBy("created", "job_id").limit(over).select("job_id")
-        state = state.join(gone, "job_id", "left_anti")
+        at = F.unix_micros(F.col("created").cast("timestamp"))
+        ended = state.where(F.col("status").isin(*TERMINAL)).select("job_id", at.alias("at"), F.lit(0).alias("all"))
+        last = ranks.values_at(ended, "all", "at", {"last": F.least(F.lit(over), F.col("n"))}).first()
+        if last is not None and last["last"] is not None:
+            before = ended.where(F.col("at") < last["last"])
+            more = ended.where(F.col("at") == last["last"]).orderBy("job_id").limit(over - before.count())
+            state = state.join(before.select("job_id").unionByName(more.select("job_id")), "job_id", "left_anti")
     return state.orderBy(F.desc("created"), F.desc("job_id"))
 
 

@@ -408,7 +408,34 @@ def test_case_memory():
     assert ingest.remember("Cas clinique 2\n1. Quelle ?", "Patient") == (True, "Cas clinique 2")
 
 
-def test_options(spark):
-    spark.conf.set("spark.lexmill.top_k", "7")
-    assert Options.of(spark).top_k == 7 and Options.of(spark).parent_chars == 1500
-    spark.conf.unset("spark.lexmill.top_k")
+def test_options_are_what_operators_take_by_default(spark):
+    rows = spark.createDataFrame([("a", i, 5) for i in range(6)], "source string, doc int, n int")
+    log = spark.createDataFrame([(i, i, "done") for i in range(9)], "job_id int, ts int, status string").selectExpr("job_id", "timestamp_seconds(ts) AS ts", "status")
+    ranked = spark.createDataFrame([(q, r, f"p{q}{r}") for q in range(3) for r in range(4)], "query_index int, rank int, parent_id string")
+
+    class Failing:
+        def answer(self, prompt):
+            raise ValueError(prompt)
+
+        def transient(self, error):
+            return True
+
+    taken = lambda: (store.write_batches(rows, "source", "doc", "n").count(), sorted(r.job_id for r in store.jobs(log).collect()), retrieval.round_robin(ranked).count())
+    assert Options.of(spark) == Options() and taken() == (1, list(range(9)), 8)
+    names = {"batch_rows": 2, "job_cap": 4, "most_many": 3, "top_k": 7, "embed_batch": 1, "model_tries": 1}
+    try:
+        for name, value in names.items():
+            spark.conf.set(f"spark.lexmill.{name}", str(value))
+        assert Options.of(spark).top_k == 7 and taken() == (3, [5, 6, 7, 8], 3)
+        sizes = models.embed(rows.withColumn("text", F.lit("x")).coalesce(1), lambda: lambda texts: [[float(len(texts))]] * len(texts), "doc").collect()
+        assert {r.vector[0] for r in sizes} == {1.0}
+        assert models.ask(rows.select("doc", F.lit("p").alias("prompt")), Failing, "doc", wait=60.0).where("error = 'ValueError: p'").count() == 6  # one try: no wait
+    finally:
+        for name in names:
+            spark.conf.unset(f"spark.lexmill.{name}")
+
+
+def test_jobs_of_one_moment_go_in_order(spark):
+    log = spark.createDataFrame([(i, 10 if i < 6 else 20, "failed" if i != 2 else "processing") for i in range(8)], "job_id int, ts int, status string").selectExpr("job_id", "timestamp_seconds(ts) AS ts", "status")
+    assert sorted(r.job_id for r in store.jobs(log, 5).collect()) == [2, 4, 5, 6, 7]
+    assert sorted(r.job_id for r in store.jobs(log, 0).collect()) == [2]
