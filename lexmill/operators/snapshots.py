@@ -95,8 +95,8 @@ class ChunkTable:
                 raise ConcurrentChange(f"{self.path}: snapshot {snapshot['version']} is another's") from error
             raise
 
-    def _rewrite(self, snapshot: dict, touched: list[int], rows: DataFrame) -> None:
-        """The next snapshot: ``rows`` in place of all rows of the ``touched`` buckets."""
+    def _rewrite(self, snapshot: dict, touched: list[int], rows: DataFrame, **noted: object) -> None:
+        """The next snapshot: ``rows`` in place of all rows of the ``touched`` buckets, and what is ``noted``."""
         folders = {b: fs for b, fs in snapshot["folders"].items() if int(b) not in touched}
         if touched:
             data = f"data/{uuid.uuid4().hex}"
@@ -107,7 +107,7 @@ class ChunkTable:
                 name = status.getPath().getName()
                 if name.startswith("_bucket="):
                     folders[name.removeprefix("_bucket=")] = [f"{data}/{name}"]
-        self._commit(snapshot | {"version": snapshot["version"] + 1, "folders": folders})
+        self._commit(snapshot | noted | {"version": snapshot["version"] + 1, "folders": folders})
 
     def _touched(self, snapshot: dict, rows: DataFrame) -> list[int]:
         """The buckets of ``rows``: no more than the table has."""
@@ -131,6 +131,21 @@ class ChunkTable:
         self._rewrite(now, touched, stays.unionByName(full))
         return gone, added
 
+    def replace_rows(self, keys: DataFrame, fresh: DataFrame, **noted: object) -> None:
+        """Rows that agree with a row of ``keys`` (the table's key among its columns; nulls agree) give way to ``fresh``, in one snapshot.
+
+        What is ``noted`` stands in the snapshot, so that a caller can tell whether a change was made before.
+        """
+        now = self.snapshot()
+        touched = self._touched(now, keys.select(now["key"]).unionByName(fresh.select(now["key"])))
+        gone = keys.toDF(*[f"_{c}" for c in keys.columns]).distinct()
+        agrees = [F.col(f"`{c}`").eqNullSafe(F.col(f"`_{c}`")) for c in keys.columns]
+        test = agrees[0]
+        for more in agrees[1:]:
+            test = test & more
+        stays = self._rows(now, touched).join(gone, test, "left_anti")
+        self._rewrite(now, touched, stays.unionByName(fresh.select(*stays.columns)), **noted)
+
     def delete(self, meta: Mapping[str, object]) -> int:
         """Deletes the rows that match ``meta`` and returns their number; with no condition nothing is deleted."""
         test = metadata_filter(meta)

@@ -11,39 +11,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from lexmill.operators.chunking import chunk_documents
-
-
-#: Most files that a batch writes for a source, so that a source that holds most documents isn't one task's.
-FILES = 16
-
-
-def stored(spark: SparkSession, path: str) -> bool:
-    """Whether a folder stands at ``path``, on any file system that Spark knows."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+from lexmill.operators.snapshots import ChunkTable
 
 
 def ingest_stream(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Parquet documents (doc_id, source, text, ..) from a folder to chunks partitioned by source.
+    """Parquet documents (doc_id, source, text, ..) from a folder to a chunk table (``snapshots.ChunkTable``) at ``target``.
 
     A batch replaces the chunks of its own documents; a source's other documents keep theirs, so a source may arrive in
-    several batches, and a repeated batch changes nothing. Of a document that comes twice in a batch the one of the newest
-    file counts (ties: the greater file name, then text). Only partitions of sources that the batch holds are rewritten.
+    several batches. Each batch is one snapshot that notes its number, so a repeated batch changes nothing, and one that is
+    cut short leaves the table as it was. Of a document that comes twice in a batch the one of the newest file counts (ties:
+    the greater file name, then text).
     """
     stream = spark.readStream.schema(schema).parquet(source)
     stream = stream.select("*", F.struct("_metadata.file_modification_time", "_metadata.file_name").alias("_file"))
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
         newest = F.max_by("text", F.struct("_file", "text"))
         last = batch.groupBy("doc_id", "source").agg(newest.alias("text"))
         out = chunk_documents(last)
-        if stored(spark, target):
-            # dynamic overwrite moves the new partitions in place only after all tasks have read the old ones
-            old = spark.read.schema(out.schema).parquet(target).select(*out.columns)
-            sources = last.select("source").distinct()
-            out = out.unionByName(old.join(sources, "source", "left_semi").join(last, ["doc_id", "source"], "left_anti"))
-        out = out.repartition("source", F.pmod(F.xxhash64("doc_id"), F.lit(FILES)))
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(target)
+        table = ChunkTable(spark, target)
+        table.create(out.schema)
+        done = table.snapshot().get("batches", {})
+        if done.get(checkpoint, -1) < number:
+            table.replace_rows(last.select("doc_id", "source"), out, batches=done | {checkpoint: number})
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

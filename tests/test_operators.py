@@ -12,6 +12,7 @@ from lexmill.config import Options
 from lexmill.functions import text as tx
 from lexmill.functions.pack import greedy_pack
 from lexmill.operators import chunking, correction, exam, models, ocr, profile, retrieval, store
+from lexmill.operators.snapshots import ChunkTable
 from lexmill.sources import docx, files
 from lexmill.streaming import ingest
 
@@ -387,7 +388,9 @@ def test_ingest_stream_is_idempotent(spark, tmp_path):
     for n, text in enumerate(("first. " * 100, "second. " * 200)):
         spark.createDataFrame([(1, "a", text), (2 + n, f"b{n}", text)], kind).coalesce(1).write.mode("append").parquet(src)
         ingest.ingest_stream(spark, src, kind, target, str(tmp_path / "cp")).awaitTermination()
-    rows = spark.read.parquet(target)
+    table = ChunkTable(spark, target)
+    rows = table.read()
+    assert table.snapshot()["batches"] == {str(tmp_path / "cp"): 1} and table.versions() == [0, 1, 2]
     assert {r.source for r in rows.select("source").distinct().collect()} == {"a", "b0", "b1"}
     assert rows.where("source = 'a'").where("text LIKE '%first%'").count() == 0
 
@@ -398,10 +401,22 @@ def test_ingest_stream_keeps_a_sources_other_documents(spark, tmp_path):
     for rows in ([(1, "a", "one. " * 100), (2, "a", "two. " * 100)], [(2, "a", "new. " * 100), (3, "b", "three. " * 100)]):
         spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(src)
         ingest.ingest_stream(spark, src, kind, target, str(tmp_path / "cp")).awaitTermination()
-    got = {(r.source, r.doc_id, r.text[:4]) for r in spark.read.parquet(target).collect()}
+    got = {(r.source, r.doc_id, r.text[:4]) for r in ChunkTable(spark, target).read().collect()}
     assert got == {("a", 1, "one."), ("a", 2, "new."), ("b", 3, "thre")}
 
 
+def test_a_repeated_batch_changes_nothing(spark, tmp_path):
+    kind = "doc_id long, source string, text string"
+    src, target, state = str(tmp_path / "in"), str(tmp_path / "out"), tmp_path / "cp"
+    spark.createDataFrame([(1, "a", "one. " * 100)], kind).write.parquet(src)
+    ingest.ingest_stream(spark, src, kind, target, str(state)).awaitTermination()
+    before = ChunkTable(spark, target).snapshot()
+    for name in ("0", ".0.crc"):  # as if the driver was lost before it could note the batch's end
+        (state / "commits" / name).unlink()
+    ingest.ingest_stream(spark, src, kind, target, str(state)).awaitTermination()
+    assert ChunkTable(spark, target).snapshot() == before
+
+
 def test_case_memory():
     assert ingest.remember("Patient de 60 ans.\n1. Quelle ?", "") == (True, "Patient de 60 ans.")
     assert ingest.remember("Bilan : ASAT 40\n3. Quelle ?", "Patient") == (False, "Patient\n\nBilan : ASAT 40")
