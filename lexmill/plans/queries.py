@@ -376,6 +376,242 @@ def contents_pages(spark, sf_dir):
     return found.select("doc_id", F.array_join(F.col("toc_pages").cast("array<string>"), ",").alias("toc_pages"), F.array_join(F.col("index_pages").cast("array<string>"), ",").alias("index_pages"))
 
 
+@query(
+    "SELECT n_nationkey, CASE WHEN n <= 18 THEN array_to_string(range(n), ',') ELSE array_to_string(list_sort(list_distinct([0, 1, 2] || range(3, n - 3, greatest(1, (n - 6) // 12))[1:12] || [n - 3, n - 2, n - 1])), ',') END AS sampled,"
+    " CASE WHEN n = 0 THEN '' ELSE array_to_string(list_sort(list_distinct([0, n // 4, n // 2, 3 * n // 4, n - 1])), ',') END AS thumbnails,"
+    " array_to_string(list_filter(range(n_nationkey, n_nationkey + n_regionkey + 1), lambda p: p NOT IN (n_nationkey + 1, 7)), ',') AS to_bill FROM (SELECT *, n_nationkey * 5 AS n FROM nation)"
+)
+def page_picks(spark, sf_dir):
+    """Sampled pages, thumbnails and pages to bill."""
+    n, k = (F.col("n_nationkey") * 5).cast("int"), F.col("n_nationkey").cast("int")
+    join = lambda c: F.array_join(c.cast("array<string>"), ",")
+    return read(spark, sf_dir, "nation").select("n_nationkey", join(profile.sample_pages(n)).alias("sampled"), join(profile.thumbnail_pages(n)).alias("thumbnails"), join(profile.page_spec(k, k + F.col("n_regionkey").cast("int"), F.array(k + 1, F.lit(7)))).alias("to_bill"))
+
+
+# ── exam documents and conversations ──
+
+
+@query("SELECT conv_id, turn, CASE WHEN own <> '' THEN text WHEN turn % 2 = 1 THEN coalesce(last_value(nullif(own, '') IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), '') ELSE '' END AS filled FROM (SELECT *, CASE WHEN turn % 3 = 0 THEN trim(text) ELSE '' END AS own FROM conversations)")
+def case_forward_fill(spark, sf_dir):
+    """A case's text, given once, on the questions that belong to it."""
+    t = F.col("turn")
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(t % 3 == 0, F.col("text")).otherwise("").alias("case_text"), F.when(t % 2 == 1, t).alias("case_index"))
+    return exam.fill_case_text(rows, "conv_id", "turn").select("conv_id", "turn", "filled")
+
+
+_EXAM = "CASE turn % 4 WHEN 0 THEN '1. ' || text || chr(10) || '2. ' || role WHEN 1 THEN role || chr(10) || chr(10) || '3) ' || text WHEN 2 THEN '## Cas clinique' || chr(10) || text || chr(10) || '**4.** x' || chr(10) || '**5. y' ELSE 'Question 7' || chr(10) || text || chr(10) || 'question 8' END"
+
+
+def _exam(spark, sf_dir):
+    k = F.col("turn") % 4
+    nl = F.lit("\n")
+    t = F.when(k == 0, F.concat(F.lit("1. "), "text", nl, F.lit("2. "), "role")).when(k == 1, F.concat("role", F.lit("\n\n3) "), "text")).when(k == 2, F.concat(F.lit("## Cas clinique\n"), "text", F.lit("\n**4.** x\n**5. y"))).otherwise(F.concat(F.lit("Question 7\n"), "text", F.lit("\nquestion 8")))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", t.alias("t"))
+
+
+@query(
+    f"WITH l AS (SELECT conv_id, turn, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS i FROM (SELECT conv_id, turn, {_EXAM} AS t FROM conversations)),"
+    " o AS (SELECT *, trim(line) AS s, coalesce(sum(length(line) + 1) OVER w, 0) AS pos, lag(trim(line)) OVER (PARTITION BY conv_id, turn ORDER BY i) AS before FROM l WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),"
+    r" b AS (SELECT * FROM o WHERE pos > 0 AND (regexp_matches(s, '^(\*\*|\*)?\d+\s*[\.\)\-:]\s') OR regexp_matches(s, '(?i)^(\*\*|\*)?(Question\s+\d+|Cas\s+clinique)') OR regexp_matches(s, '^#{1,3}\s')) AND NOT (regexp_matches(s, '^\d+\s*[\.\)\-:]\s') AND coalesce(before, '') <> ''))"
+    " SELECT c.conv_id, c.turn, '0' || coalesce(string_agg(',' || pos::BIGINT, '' ORDER BY pos), '') AS boundaries FROM conversations c LEFT JOIN b USING (conv_id, turn) GROUP BY ALL"
+)
+def question_boundaries(spark, sf_dir):
+    """Offsets of questions, headings and cases."""
+    return _exam(spark, sf_dir).select("conv_id", "turn", F.array_join(exam.question_boundaries(F.col("t")).cast("array<string>"), ",").alias("boundaries"))
+
+
+@query()
+def exam_chunks(spark, sf_dir):
+    """Chunks at boundaries with the context of the one before."""
+    whole = _exam(spark, sf_dir).groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "t"))), lambda x: x["t"]), "\n\n").alias("text"))
+    out = exam.exam_chunks(whole, "conv_id", "text", 800)
+    return out.select("conv_id", "chunk_index", F.length("text").alias("n_chars"), F.md5("context").alias("context_md5"), "is_continuation")
+
+
+_ASKS = "range(1, CASE WHEN turn % 2 = 1 THEN 2 ELSE 3 + (conv_id + turn) % 11 END)"
+
+
+@query(
+    f"WITH x AS (SELECT conv_id, turn, {sql.strip('text')} AS lead, list_transform({_ASKS}, lambda q: q || ') Laquelle, après ' || role || ' ?' || chr(10) || 'A. ' || q || chr(10) || 'B. ' || {sql.strip("string_split(text, chr(10))[1]")}) AS qs FROM conversations)"
+    " SELECT conv_id, turn, least(len(qs), 8)::INTEGER AS pieces, md5(lead || CASE WHEN len(qs) = 1 THEN chr(10) ELSE chr(10) || chr(10) END || qs[1]) AS first_md5, md5(lead || chr(10) || CASE WHEN len(qs) = 1 THEN '' ELSE chr(10) END || qs[least(len(qs), 8)]) AS last_md5 FROM x"
+)
+def question_split(spark, sf_dir):
+    """One piece for each question with its lead, eight at most; a message with one question stays whole."""
+    n = F.when(F.col("turn") % 2 == 1, 1).otherwise(2 + (F.col("conv_id") + F.col("turn")) % 11)
+    first_line = tx.strip(F.get(F.split("text", "\n"), F.lit(0)))
+    asks = F.transform(F.sequence(F.lit(1), n.cast("int")), lambda q: F.concat(q, F.lit(") Laquelle, après "), "role", F.lit(" ?\nA. "), q, F.lit("\nB. "), first_line))
+    parts = exam.split_questions(F.concat(tx.strip(F.col("text")), F.lit("\n"), F.array_join(asks, "\n")))
+    out = read(spark, sf_dir, "conversations").select("conv_id", "turn", parts.alias("p"))
+    return out.select("conv_id", "turn", F.size("p").alias("pieces"), F.md5(F.get("p", F.lit(0))).alias("first_md5"), F.md5(F.element_at("p", -1)).alias("last_md5"))
+
+
+@query(
+    r"SELECT conv_id, turn, CASE WHEN turn % 5 = 0 OR turn % 4 = 0 THEN 'new' WHEN turn % 3 = 0 THEN 'continuation' ELSE 'ask' END AS decision, (CASE WHEN turn % 3 = 0 THEN 3 ELSE 1 END)::INTEGER AS first_number,"
+    rf" {sql.strip("CASE WHEN turn % 5 = 0 THEN 'Cas clinique ' ELSE '' END || text")} AS lead FROM conversations"
+)
+def case_detection(spark, sf_dir):
+    """New case or continuation by header, memory and first number."""
+    k = F.col("turn")
+    t = F.concat(F.when(k % 5 == 0, "Cas clinique ").otherwise(""), "text", F.lit("\n"), F.when(k % 3 == 0, "3").otherwise("1"), F.lit(". Quelle ?"))
+    memory = F.when(k % 4 == 0, "").otherwise("avant")
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", exam.detect_case(t, memory).alias("decision"), exam.first_question_number(t).alias("first_number"), exam.leading_context(t).alias("lead"))
+
+
+@query("SELECT source, arg_min(lang, (-n, first)) AS dominant FROM (SELECT source, lang, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY ALL) GROUP BY source")
+def dominant_course(spark, sf_dir):
+    """The mode, ties to the value met first."""
+    return exam.dominant(read(spark, sf_dir, "documents"), "source", "lang", "doc_id")
+
+
+@query(
+    "WITH x AS (SELECT source, doc_id, CASE WHEN lang = 'fr' THEN 'Non classé' ELSE lang END AS course FROM documents), f AS (SELECT *, min(doc_id) OVER (PARTITION BY source, course) AS first FROM x)"
+    " SELECT source, doc_id, course, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1)::INTEGER AS global_index, (dense_rank() OVER (PARTITION BY source ORDER BY first) - 1)::INTEGER AS course_order FROM f"
+)
+def questions_by_course(spark, sf_dir):
+    """Courses in the order met, a running index."""
+    d = read(spark, sf_dir, "documents").select("source", "doc_id", F.when(F.col("lang") == "fr", "").otherwise(F.col("lang")).alias("course"))
+    return exam.by_course(d, "source", "course", "doc_id").select("source", "doc_id", "course", "global_index", "course_order")
+
+
+@query("SELECT source AS doc_id, lang AS case_id, min(doc_id)::INTEGER AS from_index, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS question_indices FROM documents WHERE lang <> 'en' GROUP BY ALL")
+def case_groups(spark, sf_dir):
+    """First question and question list of a case."""
+    d = read(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.nullif("lang", F.lit("en")).alias("case_id"), F.col("doc_id").cast("int").alias("question_index"))
+    return exam.case_groups(d).withColumn("question_indices", F.array_join(F.col("question_indices").cast("array<string>"), ","))
+
+
+@query()
+def case_updates(spark, sf_dir):
+    """Parts that a case's changing context adds."""
+    c = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.lit(0).alias("case_id"), F.lit("Intro").alias("intro"), F.col("turn").alias("question_index"), F.when(F.col("role") == "user", F.col("text")).otherwise("Intro").alias("context"))
+    return exam.case_updates(c)
+
+
+@query()
+def global_cases(spark, sf_dir):
+    """Local case numbers of chunks as document-wide ones."""
+    c = read(spark, sf_dir, "conversations")
+    found = c.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("chunk_index"), F.lit(0).alias("ord"), (F.col("role") != "system").alias("is_child"), F.lit(0).alias("local_id"), F.array(F.concat(F.lit("Cas clinique "), F.col("turn"))).alias("names"), F.array(F.substring("text", 1, 60)).alias("intros"), F.lit("").alias("context"), (F.col("turn") > 0).alias("is_continuation"))
+    return exam.globalize_cases(found)
+
+
+@query("SELECT c.conv_id AS doc_id, (turn * 10 + 5)::INTEGER AS pos, 'img_' || turn AS key, (SELECT max(b.turn * 10) FROM conversations b WHERE b.conv_id = c.conv_id AND b.role = 'user' AND b.turn * 10 <= c.turn * 10 + 5)::INTEGER AS boundary FROM conversations c")
+def placeholder_asof(spark, sf_dir):
+    """The last boundary before each image placeholder."""
+    c = read(spark, sf_dir, "conversations")
+    marks = c.select(F.col("conv_id").alias("doc_id"), (F.col("turn") * 10 + 5).cast("int").alias("pos"), F.concat(F.lit("img_"), "turn").alias("key"))
+    bounds = c.where("role = 'user'").select(F.col("conv_id").alias("doc_id"), (F.col("turn") * 10).cast("int").alias("pos"))
+    return exam.place_images(marks, bounds)
+
+
+@query("SELECT conv_id, string_agg(CASE role WHEN 'user' THEN 'user' ELSE 'model' END || ':' || text, chr(10) ORDER BY turn) AS turns FROM conversations GROUP BY conv_id")
+def history_contents(spark, sf_dir):
+    """A conversation's turns in order, roles mapped."""
+    turns = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit(":"), x["text"])), "\n")
+    return correction.contents(read(spark, sf_dir, "conversations")).select("conv_id", turns.alias("turns"))
+
+
+# ── structured question records ──
+
+
+@query(
+    "SELECT conv_id, turn, 'A:' || trim(substring(text, 1, 20), ' ' || chr(10)) || '|' || CASE WHEN turn % 2 = 0 THEN 'C' ELSE 'D' END || ':vrai|C:' || role AS labels FROM conversations"
+)
+def normalized_labels(spark, sf_dir):
+    """Labels given, in the text, or by place."""
+    c = lambda label, letter, text: F.struct(label.alias("label"), letter.alias("letter"), text.alias("text"), F.lit(None).cast("string").alias("explanation"), F.lit(None).cast("boolean").alias("isCorrect"))
+    none = F.lit(None).cast("string")
+    given = F.array(c(none, F.lit("a"), F.concat(F.lit("B) "), F.substring("text", 1, 20))), c(none, none, F.when(F.col("turn") % 2 == 0, "c - vrai").otherwise("d. vrai")), c(F.lit(""), none, F.col("role")))
+    text = F.array_join(F.transform(correction.normalize_labels(given), lambda x: F.concat(x["label"], F.lit(":"), x["text"])), "|")
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("labels"))
+
+
+@query(f"SELECT doc_id, 0 AS ord, 'Q' || doc_id || ' [x]' AS description, 'A' AS label, md5({sql.strip('text')}) AS text_md5 FROM documents WHERE doc_id % 3 <> 2")
+def parsed_replies(spark, sf_dir):
+    """Questions in fenced or noisy replies; replies without JSON give none."""
+    choice = F.struct(F.lit("a").alias("letter"), F.concat(F.lit("A. "), "text").alias("text"))
+    j = F.to_json(F.array(F.struct(F.concat(F.lit("Q"), "doc_id", F.lit(" [x]")).alias("description"), F.array(choice).alias("choices"))))
+    reply = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("```json\n"), j, F.lit("\n```"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("Voici : "), j, F.lit(" SOURCES [1] {web}"))).otherwise(F.lit("rien [ {"))
+    out = correction.parse_questions(read(spark, sf_dir, "documents").select("doc_id", reply.alias("reply")), "doc_id", "reply")
+    first = F.get("choices", F.lit(0))
+    return out.select("doc_id", "ord", "description", first["label"].alias("label"), F.md5(tx.strip(first["text"])).alias("text_md5"))
+
+
+@query(
+    "WITH s AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'A' WHEN 1 THEN ' b ' ELSE 'C' END AS label, text FROM conversations),"
+    " t AS (SELECT conv_id, lower(trim(label)) AS l, arg_max(role, turn) AS role FROM (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'B' ELSE 'z' END AS label, role FROM conversations) GROUP BY ALL)"
+    " SELECT s.conv_id, s.turn, trim(s.label) AS label, coalesce(t.role, '') AS text, (CASE WHEN trim(s.text) <> '' AND coalesce(t.role, '') = '' THEN 1 ELSE 0 END)::INTEGER AS missing FROM s LEFT JOIN t ON s.conv_id = t.conv_id AND lower(trim(s.label)) = t.l"
+)
+def label_align(spark, sf_dir):
+    """Translations on the source's labels; what is missing is counted."""
+    c, k = read(spark, sf_dir, "conversations"), F.col("turn") % 3
+    left = c.select(F.col("conv_id").alias("question_id"), F.col("turn").alias("ord"), F.when(k == 0, "A").when(k == 1, " b ").otherwise("C").alias("label"), "text", F.lit("").alias("explanation"))
+    right = c.select(F.col("conv_id").alias("question_id"), F.col("turn").alias("ord"), F.when(k == 0, "a").when(k == 1, "B").otherwise("z").alias("label"), F.col("role").alias("text"), F.lit("").alias("explanation"))
+    return correction.align(left, right).select(F.col("question_id").alias("conv_id"), F.col("ord").alias("turn"), "label", "text", "missing")
+
+
+@query(
+    "WITH p AS (SELECT lang, source, min(doc_id) AS o, list_sort(list(DISTINCT doc_id % 7)) AS ps FROM documents GROUP BY ALL)"
+    " SELECT lang, string_agg(source || ' (pages ' || array_to_string(ps, ', ') || ')', ' | ' ORDER BY o) AS label FROM p GROUP BY lang"
+)
+def source_labels(spark, sf_dir):
+    """Documents with their pages in one label."""
+    return correction.source_label(read(spark, sf_dir, "documents").select("lang", "doc_id", "source", (F.col("doc_id") % 7).alias("page")), "lang", "doc_id")
+
+
+_WORDS = f"list_distinct(list_filter(regexp_split_to_array(lower(text), '{tx.SPACE}+'), lambda w: w <> ''))"
+
+
+@query(
+    f"WITH c AS (SELECT conv_id, turn AS choice_id, {_WORDS} AS w FROM conversations WHERE role = 'user' AND trim(text) <> ''), h AS (SELECT conv_id, turn AS hit_id, {_WORDS} AS w FROM conversations WHERE role = 'assistant'),"
+    " s AS (SELECT conv_id, choice_id, hit_id, len(list_intersect(c.w, h.w)) AS overlap FROM c JOIN h USING (conv_id))"
+    " SELECT conv_id, choice_id, hit_id, overlap::INTEGER AS overlap FROM s QUALIFY row_number() OVER (PARTITION BY conv_id, choice_id ORDER BY CASE WHEN overlap > 2 THEN overlap ELSE 0 END DESC, hit_id) = 1"
+)
+def source_attribution(spark, sf_dir):
+    """The snippet that shares most words, else the first."""
+    c = read(spark, sf_dir, "conversations")
+    choices = c.where("role = 'user'").select("conv_id", F.col("turn").alias("choice_id"), F.col("text").alias("explanation"))
+    hits = c.where("role = 'assistant'").select("conv_id", F.col("turn").alias("hit_id"), F.col("turn").alias("ord"), F.col("text").alias("snippet"))
+    return correction.attribute(choices, hits, "conv_id")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 40 < 25 THEN (doc_id % 40)::VARCHAR END AS suggested_id, n_name AS suggested_name FROM documents LEFT JOIN nation ON n_nationkey = doc_id % 40")
+def catalogue_check(spark, sf_dir):
+    """Unknown suggestions are null, names are the catalogue's."""
+    given = read(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 40).alias("suggested_id"))
+    return correction.with_catalogue(given, read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))).select("doc_id", "suggested_id", "suggested_name")
+
+
+@query("SELECT n_regionkey AS module, string_agg('- « ' || n_name || ' » → « ' || lower(n_name) || ' »' || CASE n_nationkey % 3 WHEN 0 THEN '  (sens)' WHEN 1 THEN '  (note)' ELSE '' END, chr(10) ORDER BY n_nationkey) AS block FROM nation WHERE n_nationkey % 5 <> 4 GROUP BY n_regionkey")
+def glossary_block(spark, sf_dir):
+    """Complete pairs with their sense or note."""
+    k = F.col("n_nationkey")
+    g = read(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("module"), k.alias("ord"), F.col("n_name").alias("termFr"), F.when(k % 5 != 4, F.lower("n_name")).alias("termEn"), F.when(k % 3 == 0, "sens").alias("sense"), F.when(k % 3 == 1, "note").otherwise("").alias("note"))
+    return correction.glossary_lines(g, "module", "ord")
+
+
+@query("SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'A,C' WHEN 1 THEN 'B' ELSE '' END AS answers FROM nation")
+def ktype_answers(spark, sf_dir):
+    """The sub-items that a combination names."""
+    k = F.col("n_nationkey") % 3
+    found = correction.ktype_answers(F.when(k == 0, "A + C").when(k == 1, "B").otherwise("E, F"), F.array(*map(F.lit, "ABCD")))
+    return read(spark, sf_dir, "nation").select("n_nationkey", F.array_join(found, ",").alias("answers"))
+
+
+@query("SELECT n_regionkey, string_agg('- ' || n_nationkey || ': ' || n_name, chr(10) ORDER BY n_nationkey) AS listing FROM nation GROUP BY n_regionkey")
+def catalogue_listing(spark, sf_dir):
+    """A catalogue as lines."""
+    n = read(spark, sf_dir, "nation")
+    return correction.listing(n, "n_regionkey", "n_nationkey", F.concat(F.lit("- "), "n_nationkey", F.lit(": "), "n_name"))
+
+
+@query()
+def nearest_course(spark, sf_dir):
+    """The offline baseline of classification, by shared words."""
+    docs = read(spark, sf_dir, "conversations").where("role = 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("question_id"), "text")
+    return models.nearest_entry(docs, read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("name")))
+
+
 # ── OCR ──
 
 

@@ -43,4 +43,5 @@ def test_query(spark, duck, name):
 def test_entry_registers_what_the_core_has():
     import __spark_entry__ as entry
 
+    assert len(queries.QUERIES) >= 73 and len(queries.ORACLES) >= 64  # none is ever dropped
     assert set(queries.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
