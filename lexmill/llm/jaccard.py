@@ -38,8 +38,12 @@ HOT_IN_BATCH = 2
 HELD_NUMBERS, HELD_CLASSES = 600_000, 100_000
 #: Shared numbers with at most so many holders are met pair by pair.
 FEW_HOLDERS = 6
+#: Steps in which a number's place in a prefix is told.
+PLACES = 256
 #: Bands of set sizes in a factor of 1 / threshold.
 BANDS = 10
+#: Bits of the table that tells, but for chance, which documents' sets are asked for.
+TABLE_BITS = 1 << 25
 #: Numbers and sets of a block of a large cluster.
 BLOCK_NUMBERS, BLOCK_SETS = 500_000, 1_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], "u8")
@@ -310,11 +314,11 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, threshold: Fraction
             sent.update(once)
             if once:
                 keys = [order(s)[: prefix_length(len(s), threshold)] for s in once.values()]
-                n = np.repeat(np.array([len(s) for s in once.values()], "i4"), [len(k) for k in keys])
+                size = np.concatenate([len(s) * PLACES + np.arange(len(k)) * PLACES // len(k) for s, k in zip(once.values(), keys, strict=True)])
                 cls = np.repeat(np.array(list(once), "i8"), [len(k) for k in keys])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype("i8")), pa.array(n), pa.array(cls)], names=["number", "n", "class_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype("i8")), pa.array(size), pa.array(cls)], names=["number", "size", "class_id"])
 
-    found = base.where("text IS NOT NULL").select("text").mapInArrow(prefixes, "number long, n int, class_id long")
+    found = base.where("text IS NOT NULL").select("text").mapInArrow(prefixes, "number long, size long, class_id long")
     edges = checkpointed(candidate_ties(found, threshold))
     clusters = connected_components(edges, "a", "b").select(F.col("node").alias("class_id"), F.col("component").alias("cluster"))
     clusters = checkpointed(clusters.join(classes, "class_id"))
@@ -334,9 +338,19 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, threshold: Fraction
     member = checkpointed(known.join(sizes, "cluster").select("class_id", "doc_id", "n", "cluster", "blocks", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int").alias("block")))
 
     def sets_of(members: DataFrame) -> DataFrame:
-        wanted = sized(checkpointed(members.select("doc_id").distinct()))
-        texts = base.where("text IS NOT NULL").join(wanted, base["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text")
-        return texts.mapInArrow(ordered, "class_id long, numbers binary").join(sized(members.drop("doc_id")), "class_id")
+        # texts are chosen by a bit table of fixed size, so that none is shuffled; sets that pass it by chance are not members
+        place = F.pmod(F.xxhash64("doc_id"), F.lit(TABLE_BITS))
+        bits = members.select(F.shiftright(place, 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int")).alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+        table = np.zeros(TABLE_BITS >> 6, "i8")
+        table[bits.column("at").to_numpy()] = bits.column("bits").to_numpy()
+
+        def asked(batches):
+            for batch in batches:
+                at = batch.column(1).to_numpy()
+                yield from ordered([batch.filter(pa.array((table[at >> 6] >> (at & 63) & 1).astype(bool)))])
+
+        texts = base.where("text IS NOT NULL").select("text", place.alias("place"))
+        return texts.mapInArrow(asked, "class_id long, numbers binary").join(sized(members.drop("doc_id")), "class_id")
 
     # 4. links: inside blocks, between neighbouring blocks, then of all that is not in its cluster's largest component
     def joined(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -387,7 +401,12 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, threshold: Fraction
 
 
 def candidate_ties(found: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
-    """a, b: ties of classes; whatever links by ``threshold`` is connected by them. ``found``: number, n, class_id of prefixes.
+    """a, b: ties of classes; whatever links by ``threshold`` is connected by them.
+
+    ``found``: number, size, class_id of prefixes; size is a set's size n, and the number's place in the prefix in
+    ``PLACES``-ths of its length, in one long. Of two sets of sizes n >= m with overlap o, the first o - t n + 1 shared
+    numbers stand where the smaller set has t n numbers left at least, this one included (and the larger one too, by its
+    prefix), or what follows couldn't make up the overlap. Only such places count below.
 
     A number of the list is below 0 here. Only it can have a large share of all holders; its tallies (a row each, as many
     as the list is long) are summed before the shuffle and broadcast, and its holders are never gathered.
@@ -395,21 +414,25 @@ def candidate_ties(found: DataFrame, threshold: Fraction = THRESHOLD) -> DataFra
     t, num, den = float(threshold), threshold.numerator, threshold.denominator
     up = lambda x, d: F.floor((x + (d - 1)) / d)
     step = math.log(1 / t) / BANDS
+    found = found.withColumn("n", F.shiftright("size", PLACES.bit_length() - 1))
+    long = F.col("n") - up(num * F.col("n"), den) + 1  # the prefix
+    found = found.withColumn("left", F.col("n") - up(F.pmod("size", F.lit(PLACES)) * long, PLACES))  # or somewhat more
     band = F.floor(F.log("n") / step).cast("int")
     bit = lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(b, F.lit(64)).cast("int"))
     # a listed number's holders are dealt out; here they only pass through
     salt = F.when(F.col("number") < 0, F.pmod(F.xxhash64("class_id"), F.lit(1 << 12))).otherwise(0)
     all_of = Window.partitionBy("number", salt)
     own = all_of.orderBy("n", "class_id")
-    back = [F.struct(F.lag("class_id", k).over(own).alias("b"), F.lag("n", k).over(own).alias("m")) for k in range(1, FEW_HOLDERS)]
-    held = found.select("class_id", "n", "number", F.count("*").over(all_of).alias("holders"), F.bit_or(bit(band)).over(all_of).alias("bands"), F.array(*back).alias("back")).where("holders > 1 OR number < 0")
-    fits = lambda x: x["b"].isNotNull() & (x["b"] != F.col("class_id")) & (x["m"] * den >= F.col("n") * num)
+    back = [F.struct(F.lag("class_id", k).over(own).alias("b"), F.lag("n", k).over(own).alias("m"), F.lag("left", k).over(own).alias("left")) for k in range(1, FEW_HOLDERS)]
+    held = found.select("class_id", "n", "left", "number", F.count("*").over(all_of).alias("holders"), F.bit_or(bit(band)).over(all_of).alias("bands"), F.array(*back).alias("back")).where("holders > 1 OR number < 0")
+    fits = lambda x: x["b"].isNotNull() & (x["b"] != F.col("class_id")) & (x["left"] * den >= F.col("n") * num)
     few = (F.col("holders") <= FEW_HOLDERS) & (F.col("number") >= 0)
     again = F.coalesce(F.get("back", 0)["b"] == F.col("class_id"), F.lit(False)) & ~few
-    held = checkpointed(held.where(~again).withColumn("back", F.when(few, F.filter("back", fits))))
-    plain, listed = held.where("number >= 0"), held.where("number < 0").select("class_id", "n", "number")
+    met = F.transform(F.filter("back", fits), lambda x: F.struct(x["b"].alias("b"), x["m"].alias("m")))
+    held = checkpointed(held.where(~again).withColumn("back", F.when(few, met)).where("back IS NULL OR size(back) > 0"))
+    plain, listed = held.where("number >= 0"), held.where("number < 0").select("class_id", "n", "left", "number")
     tally = listed.groupBy("number").agg(F.count("*").alias("holders"), F.bit_or(bit(band)).alias("bands"), F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).where("lo < hi").drop("lo", "hi")
-    listed = listed.join(F.broadcast(checkpointed(tally)), "number").select("class_id", "n", "number", "holders", "bands")
+    listed = listed.join(F.broadcast(checkpointed(tally)), "number").select("class_id", "n", "left", "number", "holders", "bands")
     common = plain.where("back IS NULL").drop("back").union(listed)
 
     # pairs at numbers of few holders, weighed by what they share there and at most share elsewhere
@@ -425,11 +448,11 @@ def candidate_ties(found: DataFrame, threshold: Fraction = THRESHOLD) -> DataFra
 
     # ties at numbers of many holders: beyond a number a set holds `more` commoner ones. A link to a set of size m needs
     # t (n + m) / (1 + t) - t max(n, m) shared numbers of prefixes at least; that is least at the end of a band of sizes
-    # that lies farther from n
+    # that lies farther from n. A larger set's size is t-th part of what this one has left at most
     more = F.row_number().over(Window.partitionBy("class_id").orderBy(F.desc("holders"), F.desc("number"))) - 1
     need = lambda m: t / (1 + t) * (F.col("n") + m) - t * F.greatest(F.col("n").cast("double"), m)
     edge = lambda b: F.exp(b * F.lit(step))
-    may = lambda b: (F.col("bands").bitwiseAND(bit(b)) != 0) & (F.least(need(edge(b) * (1 - 1e-9)), need(edge(b + 1) * (1 + 1e-9))) <= F.col("more") + 1 + 1e-6)
+    may = lambda b: (F.col("bands").bitwiseAND(bit(b)) != 0) & (F.least(need(edge(b) * (1 - 1e-9)), need(edge(b + 1) * (1 + 1e-9))) <= F.col("more") + 1 + 1e-6) & (t * edge(b) * (1 - 1e-9) <= F.col("left"))
     reach = F.filter(F.sequence(F.col("band") - (BANDS + 1), F.col("band") + BANDS + 1), may)
     common = common.withColumn("more", more).withColumn("band", band).select("class_id", "number", "band", F.explode(reach).alias("other"))
     keys = ["number", "low_band", "high_band"]

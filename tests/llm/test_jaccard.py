@@ -141,3 +141,48 @@ def test_connected_components(spark):
     assert set(got) == set(parent)
     assert len({(got[n], find(n)) for n in parent}) == len({find(n) for n in parent}) == len(set(got.values()))
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_ties_need_places_that_leave_enough(spark):
+    """Sets that share what stands too late in the smaller one's prefix can't link, and aren't tied; what links is."""
+    t = Fraction(80, 100)
+
+    def ties(sets):
+        rows = []
+        for c, s in enumerate(sets):
+            head = s[: jaccard.prefix_length(len(s), t)]
+            rows += [(x, len(s) * jaccard.PLACES + i * jaccard.PLACES // len(head), c) for i, x in enumerate(head)]
+        return {frozenset(r) for r in jaccard.candidate_ties(spark.createDataFrame(rows, "number long, size long, class_id long"), t).collect()}
+
+    # at these sizes a link needs all of the smaller set, so also its first number
+    x = 10**6
+    small = [[*range(1000 * k, 1000 * k + 10), x, *range(2 * x + 100 * k, 2 * x + 100 * k + 69)] for k in range(8)]
+    large = [[x, *range(10 * x + 1000 * k, 10 * x + 1000 * k + 99)] for k in range(8)]
+    assert ties([small[0], large[0]]) == set()
+    assert ties(small + large) == set()
+    assert ties([small[0], sorted([*small[0], *range(5 * x, 5 * x + 20)])]) == {frozenset((0, 1))}
+    rnd = random.Random(7)
+    sets = [sorted(rnd.sample(range(80), rnd.randrange(1, 50))) for _ in range(60)]
+    sets += [sorted({*s[rnd.randrange(2) :], *rnd.sample(range(80, 90), rnd.randrange(3))} or {1}) for s in sets for _ in range(2)]
+    parent = list(range(len(sets)))
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for i, j in map(sorted, (p for p in ties(sets) if len(p) == 2)):
+        parent[find(i)] = find(j)
+    real = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len({*sets[i]} & {*sets[j]}) >= 4 * len({*sets[i]} | {*sets[j]})]
+    assert len(real) > 40
+    # equal sets are one class; here they are ties like others
+    assert all(find(i) == find(j) for i, j in real)
+
+
+def test_sets_are_chosen_without_a_shuffle_of_texts(spark, monkeypatch):
+    """The table of asked-for documents lets some pass by chance; nothing changes, and no text is joined."""
+    monkeypatch.setattr(jaccard, "TABLE_BITS", 64)
+    rows = near_copies(random.Random(5), 20, 8)
+    docs = spark.createDataFrame([*rows, (None, "an id that is null beside " * 9), (None, "an id that is null beside " * 9 + "it")], "doc_id long, text string")
+    got = jaccard.jaccard_components(docs).select("doc_id", "n_shingles", "component_id").where("doc_id IS NOT NULL")
+    assert sorted(map(tuple, got.collect())) == brute_components(rows)
