@@ -31,6 +31,8 @@ PART, WORDS, SAMPLE_ROWS, ROUNDS = 4, 256, 8_192, 8
 TILE_ROWS, TILE_LEAST, TILES = 65_536, 2_048, 64
 #: Anchors and rows that are bounded at once inside a tile.
 STEP_ANCHORS, STEP_ROWS = 256, 4_096
+#: Pairs are scored one by one where fewer than this part of all is left.
+DENSE = 64
 #: Floating point sums of integers are exact below this product of norms.
 EXACT = float(1 << 52)
 LONG = (1 << 63) - 1
@@ -142,6 +144,9 @@ def first_of_own_label(tile: Tile, pdf: pd.DataFrame, codewords: np.ndarray, k:
 
 
 def _scores(a: np.ndarray, at: np.ndarray, b: np.ndarray, to: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+    """Exact products of the pairs (at, to); where many pairs are asked for, by one product of both sides, in floats that are exact."""
+    if len(at) * DENSE >= len(a) * len(b) > 0 and np.linalg.norm(a, axis=1).max() * np.linalg.norm(b, axis=1).max() < EXACT:
+        return (a @ b.T)[at, to].astype("i8")
     return np.concatenate([np.zeros(0, "i8"), *(products(a[at[i : i + step]], b[to[i : i + step]]) for i in range(0, len(at), step))])
 
 

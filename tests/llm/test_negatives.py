@@ -67,3 +67,18 @@ def test_bounds_hold():
     true = q @ x.T
     assert (low <= true).all() and (true <= high).all()
     assert (high - low).mean() < 0.8 * 2 * np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1)).mean()
+
+
+def test_many_pairs_are_scored_at_once(monkeypatch):
+    """Where bounds leave most pairs, they aren't gathered one by one; large components still are."""
+    rng = np.random.default_rng(6)
+    a, b = np.floor(rng.normal(0, 300, (30, 8))), np.floor(rng.normal(0, 300, (50, 8)))
+    at, to = np.nonzero(rng.random((30, 50)) < 0.7)
+    alone, calls = N.products, []
+    monkeypatch.setattr(N, "products", lambda x, y: calls.append(len(x)) or alone(x, y))
+    assert N._scores(a, at, b, to).tolist() == [sum(int(u) * int(v) for u, v in zip(a[p], b[q], strict=True)) for p, q in zip(at, to, strict=True)]
+    assert calls == []
+    big = np.vstack([a[:-1], np.full(8, 2.0**50) + a[-1]])
+    assert N._scores(big, at, b, to).tolist() == alone(big[at], b[to]).tolist()
+    assert sum(calls) == len(at)
+    assert N._scores(a, at[:0], b, to[:0]).tolist() == []
