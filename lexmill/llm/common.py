@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 #: Bytes up to which a lookup side is broadcast after it has been measured; beyond it the same join is shuffled.
 BROADCAST_BYTES = 8 << 20
+#: Edges or nodes for each task of a round of components.
+ROUND_ROWS = 1 << 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +38,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """A checkpointed or written frame in as few tasks as its counted rows ask for, without a shuffle."""
+    return df.coalesce(spread(df.count(), ROUND_ROWS))
+
+
 def _bytes(name: str, kind: T.DataType) -> Column:
     """About the bytes of a row's value: the content of strings, binaries and arrays counts."""
     value = F.col(f"`{name}`")
@@ -73,16 +80,21 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     nodes. Empty input gives an empty result.
     """
     a, b = F.col(src).cast("long"), F.col(dst).cast("long")
-    e, levels = written(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct()), []
-    while not levels or not e.isEmpty():
+    # tasks follow the rows that are left, not the shuffle's partitions: each leaves files and a record of itself in every round
+    n = edges.count()
+    first = edges.coalesce(spread(n, ROUND_ROWS)).select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct()
+    e, levels = written(first.coalesce(spread(n, ROUND_ROWS))), []
+    while not levels or (n := e.count()):
         by = lambda x: F.struct(F.xxhash64(F.lit(len(levels)), x).alias("h"), F.col(x).alias("label"))  # noqa: E731, B023
+        tasks = spread(n, ROUND_ROWS)
+        e = e.coalesce(tasks)
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(F.min(by("v")).alias("low"))
-        level = checkpointed(both.select(F.col("u").alias("node"), F.least("low", by("u"))["label"].alias("label")))
+        level = checkpointed(both.select(F.col("u").alias("node"), F.least("low", by("u"))["label"].alias("label")).coalesce(2 * tasks))
         levels.append(level)
         near = sized(level)
         ends = e.where("u <> v").join(near.toDF("u", "a"), "u").join(near.toDF("v", "b"), "v").where("a <> b")
         # written, not checkpointed: a checkpoint keeps the planner's size estimate, which joins multiply from round to round
-        e = written(ends.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+        e = written(ends.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct().coalesce(tasks))
     out = levels.pop()
     while levels:
         above = sized(checkpointed(out)).toDF("label", "_above")

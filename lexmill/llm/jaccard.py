@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import checkpointed, connected_components, sized
+from lexmill.llm.common import checkpointed, connected_components, gathered, sized
 
 WORDS = 5
 THRESHOLD = Fraction(80, 100)
@@ -321,7 +321,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, threshold: Fraction
     found = base.where("text IS NOT NULL").select("text").mapInArrow(prefixes, "number long, size long, class_id long")
     edges = checkpointed(candidate_ties(found, threshold))
     clusters = connected_components(edges, "a", "b").select(F.col("node").alias("class_id"), F.col("component").alias("cluster"))
-    clusters = checkpointed(clusters.join(classes, "class_id"))
+    clusters = gathered(checkpointed(classes.join(sized(checkpointed(clusters)), "class_id")))
 
     # 3. sets of clustered classes, one of each
     known = clusters.select("class_id", "cluster", "n", F.col("low").alias("doc_id"))

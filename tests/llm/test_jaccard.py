@@ -186,3 +186,24 @@ def test_sets_are_chosen_without_a_shuffle_of_texts(spark, monkeypatch):
     docs = spark.createDataFrame([*rows, (None, "an id that is null beside " * 9), (None, "an id that is null beside " * 9 + "it")], "doc_id long, text string")
     got = jaccard.jaccard_components(docs).select("doc_id", "n_shingles", "component_id").where("doc_id IS NOT NULL")
     assert sorted(map(tuple, got.collect())) == brute_components(rows)
+
+
+def test_rounds_of_components_take_few_tasks(spark, monkeypatch):
+    """Small tables dealt over many partitions don't leave files for each of them in every round."""
+    from lexmill.llm import common
+
+    tasks, checkpointed, written = [], common.checkpointed, common.written
+    monkeypatch.setattr(common, "checkpointed", lambda df: tasks.append((x := checkpointed(df)).rdd.getNumPartitions()) or x)
+    monkeypatch.setattr(common, "written", lambda df: tasks.append(df.rdd.getNumPartitions()) or written(df))
+    monkeypatch.setattr(common, "ROUND_ROWS", 100)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        edges = spark.createDataFrame([(i, i + 1) for i in range(150)], "src long, dst long").repartition(40)
+        got = common.connected_components(edges).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(got) == 151 and len({r["component"] for r in got}) == 1
+    assert len(tasks) > 4 and max(tasks) <= 4
