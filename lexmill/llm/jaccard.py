@@ -420,16 +420,17 @@ def candidate_ties(found: DataFrame, threshold: Fraction = THRESHOLD) -> DataFra
     band = F.floor(F.log("n") / step).cast("int")
     bit = lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(b, F.lit(64)).cast("int"))
     # a listed number's holders are dealt out; here they only pass through
-    salt = F.when(F.col("number") < 0, F.pmod(F.xxhash64("class_id"), F.lit(1 << 12))).otherwise(0)
-    all_of = Window.partitionBy("number", salt)
+    found = found.withColumn("salt", F.when(F.col("number") < 0, F.pmod(F.xxhash64("class_id"), F.lit(1 << 12))).otherwise(0))
+    all_of = Window.partitionBy("number", "salt")
     own = all_of.orderBy("n", "class_id")
+    # a class that several tasks sent is one holder
+    found = found.withColumn("again", F.coalesce(F.lag("class_id").over(own) == F.col("class_id"), F.lit(False))).where("NOT again").drop("again")
     back = [F.struct(F.lag("class_id", k).over(own).alias("b"), F.lag("n", k).over(own).alias("m"), F.lag("left", k).over(own).alias("left")) for k in range(1, FEW_HOLDERS)]
     held = found.select("class_id", "n", "left", "number", F.count("*").over(all_of).alias("holders"), F.bit_or(bit(band)).over(all_of).alias("bands"), F.array(*back).alias("back")).where("holders > 1 OR number < 0")
-    fits = lambda x: x["b"].isNotNull() & (x["b"] != F.col("class_id")) & (x["left"] * den >= F.col("n") * num)
+    fits = lambda x: x["b"].isNotNull() & (x["left"] * den >= F.col("n") * num)
     few = (F.col("holders") <= FEW_HOLDERS) & (F.col("number") >= 0)
-    again = F.coalesce(F.get("back", 0)["b"] == F.col("class_id"), F.lit(False)) & ~few
     met = F.transform(F.filter("back", fits), lambda x: F.struct(x["b"].alias("b"), x["m"].alias("m")))
-    held = checkpointed(held.where(~again).withColumn("back", F.when(few, met)).where("back IS NULL OR size(back) > 0"))
+    held = checkpointed(held.withColumn("back", F.when(few, met)).where("back IS NULL OR size(back) > 0"))
     plain, listed = held.where("number >= 0"), held.where("number < 0").select("class_id", "n", "left", "number")
     tally = listed.groupBy("number").agg(F.count("*").alias("holders"), F.bit_or(bit(band)).alias("bands"), F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).where("lo < hi").drop("lo", "hi")
     listed = listed.join(F.broadcast(checkpointed(tally)), "number").select("class_id", "n", "left", "number", "holders", "bands")

@@ -188,6 +188,22 @@ def test_sets_are_chosen_without_a_shuffle_of_texts(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == brute_components(rows)
 
 
+def test_a_class_that_many_tasks_sent_is_one_holder(spark):
+    """Copies dealt over many tasks tie nothing more than one of them does."""
+    t = Fraction(80, 100)
+    rnd = random.Random(11)
+    sets = [sorted(rnd.sample(range(60), rnd.randrange(5, 40))) for _ in range(30)]
+    rows = []
+    for c, s in enumerate(sets):
+        head = s[: jaccard.prefix_length(len(s), t)]
+        rows += [(x if x % 7 else x - 2**63, len(s) * jaccard.PLACES + i * jaccard.PLACES // len(head), c) for i, x in enumerate(head)]
+    ties = lambda rows: sorted(map(tuple, jaccard.candidate_ties(spark.createDataFrame(rows, "number long, size long, class_id long"), t).collect()))
+    once = ties(rows)
+    assert once and ties(rows * 9) == once
+    alone = [(x, 40 * jaccard.PLACES + x, 1) for x in range(8)]
+    assert ties(alone * 9) == []
+
+
 def test_rounds_of_components_take_few_tasks(spark, monkeypatch):
     """Small tables dealt over many partitions don't leave files for each of them in every round."""
     from lexmill.llm import common
