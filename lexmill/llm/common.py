@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 #: Bytes up to which a lookup side is broadcast after it has been measured; beyond it the same join is shuffled.
 BROADCAST_BYTES = 8 << 20
+#: Rows of a batch of texts: the JVM and a worker hold one each, per task.
+BATCH_ROWS = 2_500
 #: Edges or nodes for each task of a round of components.
 ROUND_ROWS = 1 << 16
 
@@ -32,10 +34,19 @@ def _folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut in the shared checkpoint folder."""
+def checkpointed(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
+    """``df`` with its lineage cut in the shared checkpoint folder; its Arrow batches have at most ``batch_rows`` rows, if given."""
     _folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    if batch_rows is None:
+        return df.checkpoint(eager=True)
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    # no limit is written as 0 or less
+    conf.set(key, str(min(int(before), batch_rows) if int(before) > 0 else batch_rows))
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        conf.set(key, before)
 
 
 def gathered(df: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import checkpointed, connected_components, gathered, sized
+from lexmill.llm.common import BATCH_ROWS, checkpointed, connected_components, gathered, sized
 
 WORDS = 5
 THRESHOLD = Fraction(80, 100)
@@ -288,7 +288,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, threshold: Fraction
                 nothing = pa.nulls(len(u), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(u), "i4")), nothing, pa.array(n), pa.array(u), nothing, nothing], names=names)
 
-    both = checkpointed(base.mapInArrow(classify, "kind int, doc_id long, n_shingles long, class_id long, twin long, text_hash long"))
+    both = checkpointed(base.mapInArrow(classify, "kind int, doc_id long, n_shingles long, class_id long, twin long, text_hash long"), BATCH_ROWS)
     rows = both.where("kind = 0").drop("kind")
     hot = both.where("kind = 1").groupBy("class_id").agg(F.sum("n_shingles").alias("n")).orderBy(F.desc("n"), "class_id").limit(hot_shingles).collect()
     order = Order(np.array([r[0] for r in reversed(hot)], "u8"))
@@ -363,9 +363,9 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, threshold: Fraction
         return members.select("cluster", *key, "class_id", "numbers", "component").groupBy("cluster", *key).applyInPandas(joined, "a long, b long")
 
     # clusters are many and mostly small: their tasks are dealt by hash of the cluster
-    links = checkpointed(links_of(sets_of(member.where("blocks = 1")).withColumn("component", F.col("class_id"))))
+    links = checkpointed(links_of(sets_of(member.where("blocks = 1")).withColumn("component", F.col("class_id"))), BATCH_ROWS)
     if not member.where("blocks > 1").isEmpty():
-        small, large = links, checkpointed(sets_of(member.where("blocks > 1")))
+        small, large = links, checkpointed(sets_of(member.where("blocks > 1")), BATCH_ROWS)
         links = checkpointed(links_of(large.withColumn("component", F.col("class_id")), "block"))
 
         def with_components(frame: DataFrame) -> DataFrame:
@@ -430,7 +430,7 @@ def candidate_ties(found: DataFrame, threshold: Fraction = THRESHOLD) -> DataFra
     fits = lambda x: x["b"].isNotNull() & (x["left"] * den >= F.col("n") * num)
     few = (F.col("holders") <= FEW_HOLDERS) & (F.col("number") >= 0)
     met = F.transform(F.filter("back", fits), lambda x: F.struct(x["b"].alias("b"), x["m"].alias("m")))
-    held = checkpointed(held.withColumn("back", F.when(few, met)).where("back IS NULL OR size(back) > 0"))
+    held = checkpointed(held.withColumn("back", F.when(few, met)).where("back IS NULL OR size(back) > 0"), BATCH_ROWS)
     plain, listed = held.where("number >= 0"), held.where("number < 0").select("class_id", "n", "left", "number")
     tally = listed.groupBy("number").agg(F.count("*").alias("holders"), F.bit_or(bit(band)).alias("bands"), F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).where("lo < hi").drop("lo", "hi")
     listed = listed.join(F.broadcast(checkpointed(tally)), "number").select("class_id", "n", "left", "number", "holders", "bands")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm import bpe
-from lexmill.llm.common import checkpointed, spread
+from lexmill.llm.common import BATCH_ROWS, checkpointed, spread
 
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
@@ -222,5 +222,5 @@ def best_fit_packing(docs: DataFrame, path: str | None = None, capacity: int = C
     Null and empty texts are packed as one separator; very long ones are cut; repeated rows are packed as often as
     they occur; an empty table gives no rows; further columns are not looked at.
     """
-    pieces = checkpointed(token_pieces(docs, path, capacity, separator))
+    pieces = checkpointed(token_pieces(docs, path, capacity, separator), BATCH_ROWS)
     return pack(pieces, ["doc_id", "piece", "ids_crc32"], "length", capacity)

@@ -145,3 +145,27 @@ def test_plan_places_every_rank_once():
             places += [(q + k, o, s) for (a, q, o), b in zip(seg, ends, strict=True) for k in range(b - a)]
         assert len(places) == len(sizes)
         assert assert_packed(places, 30) <= -(-sum(sizes) // 30) * 1.25 + 1
+
+
+def test_texts_reach_the_packing_in_small_batches(spark, monkeypatch):
+    """A batch is held by the JVM and a worker at once, so it is bounded; the session's own limit comes back."""
+    import pyarrow as pa
+
+    from lexmill.llm import common, packing
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+
+    def rows(docs, *_):
+        def count(batches):
+            for b in batches:
+                n = pa.array([b.num_rows] * b.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([n, pa.array([0] * len(n), pa.int32()), pa.array([0] * len(n), pa.int64()), pa.array([1] * len(n), pa.int64()), n], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+
+        return docs.select("doc_id").mapInArrow(count, "doc_id long, piece int, start long, length long, ids_crc32 long")
+
+    monkeypatch.setattr(packing, "token_pieces", rows)
+    docs = spark.range(6_000).toDF("doc_id").coalesce(1)
+    got = packing.best_fit_packing(docs).collect()
+    assert len(got) == 6_000 and max(r["doc_id"] for r in got) == common.BATCH_ROWS
+    assert spark.conf.get(key) == before
