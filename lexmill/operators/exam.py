@@ -140,14 +140,17 @@ def has_option(segment: Column) -> Column:
     return F.exists(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: x.rlike(OPTION))
 
 
-def split_questions(message: Column, remembered: Column | None = None, most: int = MAX_QUESTIONS) -> Column:
+def split_questions(message: Column, remembered: Column | None = None, most: int = MAX_QUESTIONS, preamble: Column | None = None) -> Column:
     """One text for each question, so that each is searched for itself; the whole message if there are fewer than two.
 
     A stem without options waits for the piece that has them; one left at the end joins the last. What stands before the
-    first question (else the remembered context) leads every piece.
+    first question (else the remembered context) leads every piece. A ``preamble`` that isn't null is known to stand before
+    the message: no question is looked for in it, whatever its words, and it begins the lead as it is, empty or not.
     """
+    told = preamble if preamble is not None else F.lit(None).cast("string")
     memory = F.coalesce(remembered, F.lit("")) if remembered is not None else F.lit("")
-    whole = F.array(F.when(memory != "", strip(F.concat(memory, F.lit("\n\n"), message))).otherwise(message))
+    full = F.when(told.isNotNull(), F.concat(told, F.lit("\n"), message)).otherwise(message)
+    whole = F.array(F.when(memory != "", strip(F.concat(memory, F.lit("\n\n"), full))).otherwise(full))
 
     def cut(lines: Column) -> Column:
         numbered = F.transform(lines, lambda x, i: F.struct(is_question_start(x).alias("q"), i.alias("i")))
@@ -166,8 +169,9 @@ def split_questions(message: Column, remembered: Column | None = None, most: int
                 joined = F.concat(F.slice(a["done"], 1, F.greatest(n - 1, F.lit(0))), F.array(F.concat(F.element_at(a["done"], -1), F.lit("\n"), a["open"])))
                 return F.when(a["open"] == "", a["done"]).when(n > 0, joined).otherwise(F.array(a["open"]))
 
-            lead = let(strip(F.array_join(F.slice(lines, 1, F.get(s, F.lit(0))), "\n")), lambda x: F.when(x != "", x).otherwise(memory))
-            led = lambda parts: let(lead, lambda h: F.transform(parts, lambda p: F.when(h != "", F.concat(h, F.lit("\n\n"), p)).otherwise(p)))
+            own = strip(F.array_join(F.slice(lines, 1, F.get(s, F.lit(0))), "\n"))
+            lead = let(own, lambda x: F.when(told.isNotNull(), F.when(x != "", F.concat(told, F.lit("\n"), x)).otherwise(told)).when(x != "", x).otherwise(memory))
+            led = lambda parts: let(lead, lambda h: F.transform(parts, lambda p: F.when(told.isNotNull() | (h != ""), F.concat(h, F.lit("\n\n"), p)).otherwise(p)))
             return let(F.aggregate(pieces, zero, step, finish), lambda parts: F.when(F.size(parts) < 2, whole).otherwise(F.slice(led(parts), 1, most)))
 
         return let(starts, lambda s: F.when(F.size(s) < 2, whole).otherwise(merged(s)))
