@@ -4,9 +4,11 @@ import duckdb
 import pytest
 from test_queries import plain
 
-from lexmill.operators import exam
+from lexmill.operators import chunking, exam
 from lexmill.plans import queries
 
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
 
 def twins(spark, folder, name, table, schema, rows):
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/{table}.parquet")
@@ -31,3 +33,10 @@ def test_question_split_with_a_preamble(spark):
     got = [r[0] for r in rows.select(exam.split_questions(rows["m"], preamble=rows["p"])).collect()]
     lead = "Quel cas ?\nA. x\nPatient."
     assert got == [[f"{lead}\n\nQuelle ?\nA. a", f"{lead}\n\nLequel ?\nB. b"], ["\n\nQuelle ?\nA. a", "\n\nLequel ?\nB. b"], ["Quelle ?\nA. a", "Lequel ?\nB. b"], ["Quel cas ?\nQuelle ?\nA. a"]]
+
+
+@pytest.mark.parametrize("text", ["", " \n", None, "un <!--loc:page=7--> deux", "<!--loc:section=x-->", "a"])
+def test_located_stretches_of_blank_and_marked_texts(spark, tmp_path, text):
+    rows = [(i, text, lang, source, 0) for i, (lang, source) in enumerate([("en", "src1"), ("", "src1"), (None, "src1"), ("en", None), ("en", ""), (" ", " "), ("<!--loc:page=1-->", "s")])]
+    got, want = twins(spark, tmp_path, "located_stretches", "documents", DOCUMENTS, [*rows, (None, text, "en", "src1", 0)])
+    assert len(want) == 24 and got == want
