@@ -40,3 +40,16 @@ def test_located_stretches_of_blank_and_marked_texts(spark, tmp_path, text):
     rows = [(i, text, lang, source, 0) for i, (lang, source) in enumerate([("en", "src1"), ("", "src1"), (None, "src1"), ("en", None), ("en", ""), (" ", " "), ("<!--loc:page=1-->", "s")])]
     got, want = twins(spark, tmp_path, "located_stretches", "documents", DOCUMENTS, [*rows, (None, text, "en", "src1", 0)])
     assert len(want) == 24 and got == want
+
+
+@pytest.mark.parametrize("text", ["", " \n", None, " src1 > en", "a "])
+def test_context_prefix_of_blank_texts(spark, tmp_path, text):
+    named = [("en", "src1"), (None, "src1"), ("en", None), ("en", ""), ("", " s"), ("", "")]
+    rows = [(6 * k + i, text, lang, source, 0) for k, (lang, source) in enumerate(named) for i in range(6)]
+    got, want = twins(spark, tmp_path, "context_prefix", "documents", DOCUMENTS, [*rows, (None, text, "en", "src1", 0)])
+    assert len(want) == 36 and got == want
+
+
+def test_text_to_embed(spark):
+    rows = spark.createDataFrame([("p", "s", "t"), ("p", None, ""), ("", "", "t"), (None, "s", " "), ("p", "s", None)], "p string, s string, t string")
+    assert [r[0] for r in rows.select(chunking.enrich(rows["t"], rows["p"], rows["s"])).collect()] == ["p s t", "p ", "t", "s  ", None]
