@@ -53,3 +53,11 @@ def test_context_prefix_of_blank_texts(spark, tmp_path, text):
 def test_text_to_embed(spark):
     rows = spark.createDataFrame([("p", "s", "t"), ("p", None, ""), ("", "", "t"), (None, "s", " "), ("p", "s", None)], "p string, s string, t string")
     assert [r[0] for r in rows.select(chunking.enrich(rows["t"], rows["p"], rows["s"])).collect()] == ["p s t", "p ", "t", "s  ", None]
+
+
+def test_paged_documents_in_volumes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "VOLUME_PAGES", 3)
+    sources = ["src1"] * 6 + ["", "a/b", "x=1%2F+ é", "007", "7", None]
+    rows = [(None if i == 57 else 97 * i % 60, ["a\n b \n\nc", "", "x\fy", None][min(i % 9, 3)] if i % 9 < 4 else f"t{i}", "en", sources[i % 12], 0) for i in range(60)]
+    got, want = twins(spark, tmp_path, "paged_documents", "documents", DOCUMENTS, rows)
+    assert len({r[2] for r in want}) == 6 and got == want

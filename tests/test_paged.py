@@ -1,6 +1,10 @@
 """The paged source with an extractor of a made-up format: pages parted by form feeds."""
 
+import itertools
+import uuid
+
 import pytest
+from pyspark.sql import functions as F
 
 from lexmill.operators import chunking
 from lexmill.sources import paged
@@ -58,3 +62,35 @@ def test_documents_and_images(rows, spark):
     parents = chunking.parent_chunks(paged.documents(rows).selectExpr("1L AS doc_id", "source", "text")).collect()
     assert {(p["page"], "foie" in p["parent_text"]) for p in parents} >= {(3, True), (5, False)}
     assert paged.documents(rows.where("false")).count() == 0 == paged.images(rows.where("false")).count()
+
+
+def test_a_file_is_opened_for_its_bytes_not_its_pages(spark, tmp_path, monkeypatch):
+    folder, log = tmp_path / "in", tmp_path / "log"
+    folder.mkdir(), log.mkdir()
+    (folder / "a.pdf").write_text("\f".join("x" * 10 for _ in range(1000)))
+
+    class Logged(Plain):
+        def __init__(self, data: bytes):
+            super().__init__(data)
+            (log / uuid.uuid4().hex).touch()
+
+    paged.register(spark, "logged_pages", Logged)
+    assert spark.read.format("logged_pages").load(str(folder)).where("kind = 'line'").count() == 1000
+    assert len(list(log.iterdir())) == 1
+    # larger files: as many ranges as their bytes need, of 64 pages at least
+    for size, ranges in ((11_000, 1), (4_000, 3), (100, 16)):
+        monkeypatch.setattr(paged, "RANGE_BYTES", size)
+        parts = paged._Reader(str(folder), None, Plain).partitions()
+        assert len(parts) == ranges and (parts[0].last is None or (parts[0].first, parts[-1].last) == (0, 1000) and all(a.last == b.first for a, b in itertools.pairwise(parts)))
+
+
+def test_parts_of_a_document(spark, tmp_path):
+    for name, text in (("a.2.pdf", "c\f!two\f?"), ("a.10.pdf", "d"), ("a.1.pdf", "a\f!one\nb"), ("b.1.pdf", "z")):
+        (tmp_path / name).write_text(text)
+    paged.register(spark, "plain_pages", Plain)
+    part = lambda n: F.regexp_extract("source", r"(.)\.(\d+)\.pdf", n)
+    rows = paged.joined(spark.read.format("plain_pages").load(str(tmp_path)), part(1), part(2).cast("int"))
+    got = {r.source: r.text.split("\n") for r in paged.documents(rows).collect()}
+    m = "<!--loc:page={}-->".format
+    assert got == {"a": [m(1), "a", "", m(2), "[[IMG_1]]", "b", "", m(3), "c", "", m(4), "[[IMG_2]]", "", m(6), "d", ""], "b": [m(1), "z", ""]}
+    assert [(r.source, r.page) for r in rows.where("kind = 'error'").collect()] == [("a", 4)]
