@@ -149,7 +149,8 @@ def register(spark: SparkSession, format_name: str, extract: Callable[[bytes], E
 
     Option pagesPerPartition sets the range; without it a file of up to ``RANGE_BYTES`` is one range, which the driver doesn't
     open, and a larger one has a range for as many bytes. Rows: source (the file's name below the path), page (from 0), ord, kind (marker, line, image, table or
-    error), text, image, error. A file or a page that fails leaves an error row. The path is one that pyarrow can open.
+    error), text, image, error. A file or a page that fails leaves an error row. The path is one that pyarrow can open;
+    names like ``x.gz`` are compressed files, and an extractor gets what they hold.
     """
 
     class Pages(DataSource):
